@@ -270,7 +270,7 @@ def conversation_summary(convs: DataFrame) -> DataFrame:
             F.countDistinct(F.nullif("brand_author", F.lit(""))).alias("brand_accounts"),
         ]
     lengths = convs.groupBy("num_turns").agg(F.count("*").alias("n"))
-    median = lengths.agg(F.percentile("num_turns", 0.5, "n")).scalar()
+    median = lengths.agg(F.percentile("num_turns", F.lit(0.5), F.col("n"))).scalar()
     share = lambda c: F.try_divide(F.col(c) * 100.0, F.col("total")).alias(f"{c}_pct")
     return convs.agg(*metrics).withColumn("median_turns", median).select(
         "*", share("responded"), share("customer_multi"), share("suitable"), share("flagged")

@@ -554,7 +554,7 @@ def _concept_sql() -> str:
         )
         parts.append(
             f"SELECT doc_id, '{name}' AS term, len(list_filter(regexp_extract_all(lower(text), '{q.WORD}+'), "
-            f"x -> x IN ({single})))::DOUBLE + ({phrase or '0.0'})::DOUBLE AS x FROM {{src}}"
+            f"lambda x: x IN ({single})))::DOUBLE + ({phrase or '0.0'})::DOUBLE AS x FROM {{src}}"
         )
     return " UNION ALL ".join(parts)
 
@@ -1277,12 +1277,12 @@ failed AS (
       CASE WHEN n = 0 THEN 'Empty reply generated.'
            WHEN n > 150 THEN 'Reply exceeds maximum length (' || n || ' words).' END,
       CASE WHEN escalate AND escalation_reason IS NULL
-           THEN 'Escalate set to true but missing escalation reason.' END], x -> x IS NOT NULL),
-    list_transform(list_filter(amounts, x -> NOT list_contains(backed, x)),
-      x -> 'Unsupported monetary amount generated: ' || x),
+           THEN 'Escalate set to true but missing escalation reason.' END], lambda x: x IS NOT NULL),
+    list_transform(list_filter(amounts, lambda x: NOT list_contains(backed, x)),
+      lambda x: 'Unsupported monetary amount generated: ' || x),
     CASE WHEN contains(lower(reply), 'i have refunded') AND NOT contains(evidence, 'i have refunded')
       THEN ['Unsupported claim of completed action: ''i have refunded'''] ELSE [] END,
-    list_transform(list_filter(links, x -> NOT contains(evidence, lower(x))), x -> 'Unsupported URL generated: ' || x)
+    list_transform(list_filter(links, lambda x: NOT contains(evidence, lower(x))), lambda x: 'Unsupported URL generated: ' || x)
   ) AS failures FROM parts)"""
 
 
@@ -1405,7 +1405,7 @@ fails AS (
   SELECT example_id, unnest(list_filter([
     CASE WHEN predicted_intent = 'other' THEN 'intent' END,
     CASE WHEN {q.words('text')} > 150 THEN 'length' END,
-    CASE WHEN predicted_escalate AND quality <> 1 THEN 'reason' END], x -> x IS NOT NULL)) AS kind FROM ok
+    CASE WHEN predicted_escalate AND quality <> 1 THEN 'reason' END], lambda x: x IS NOT NULL)) AS kind FROM ok
   UNION ALL SELECT example_id, 'amount' FROM (SELECT example_id, unnest(regexp_extract_all(text, '\\$\\d+(?:\\.\\d+)?')) FROM ok) a
   UNION ALL SELECT example_id, 'url' FROM (SELECT example_id, unnest(regexp_extract_all(text,
     'https?://[a-zA-Z0-9$-_@.&+!*\\\\(),%]+')) AS u FROM ok) b WHERE NOT contains(lower(u), 'amazon'))"""

@@ -20,15 +20,15 @@ TWEETS = """tw AS (
   SELECT conv_id * (SELECT max(turn) + 2 FROM conversations) + turn AS tweet_id, conv_id, turn,
          role = 'user' AS inbound,
          CASE WHEN role = 'user' THEN 'user' || (conv_id % 37) ELSE 'Brand' || (conv_id % 5) END AS author_id,
-         TIMESTAMP '2017-10-30 10:00:00' + to_hours((conv_id % 1000)::INT) + to_minutes(turn::INT) AS at,
+         TIMESTAMP '2017-10-30 10:00:00' + to_hours((conv_id % 1000)::INT) + to_minutes(turn::INT) AS posted,
          conv_id % 17 = 3 AND turn = 1 AS broken,
          CASE WHEN role = 'user' AND turn % 3 = 0 THEN '@Brand' || ((conv_id + turn) % 7) || ' ' ELSE '' END
            || text AS text
   FROM conversations WHERE role IN ('user', 'assistant')),
 tweets AS (
   SELECT tweet_id, conv_id, turn, inbound, author_id, text,
-         CASE WHEN broken THEN 'unknown' ELSE strftime(at, '%a %b %d %H:%M:%S +0000 %Y') END AS created_at,
-         CASE WHEN broken THEN NULL ELSE at END AS ts,
+         CASE WHEN broken THEN 'unknown' ELSE strftime(posted, '%a %b %d %H:%M:%S +0000 %Y') END AS created_at,
+         CASE WHEN broken THEN NULL ELSE posted END AS ts,
          CASE WHEN turn > 0 THEN tweet_id - 1
               WHEN conv_id % 7 = 0 THEN -(conv_id // 21) - 1 END AS parent_id,
          CASE WHEN (conv_id + turn) % 4 = 3 THEN NULL ELSE tweet_id + 1 END AS answer_id
@@ -161,7 +161,7 @@ def tags(text: str, lexicon: Mapping[str, Sequence[str]]) -> str:
     for key, keywords in lexicon.items():
         hit = " OR ".join(f"contains(lower({text}), '{w}')" for w in keywords)
         parts.append(f"CASE WHEN {hit} THEN '{key}' END")
-    return f"list_filter([{', '.join(parts)}], x -> x IS NOT NULL)"
+    return f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
 
 
 def any_of(text: str, keywords: str) -> str:
