@@ -101,31 +101,37 @@ def distinct_messages(
     )
 
 
+def plain_words(c: Column | str) -> Column:
+    """Lower-cased text without links, mentions and ASCII punctuation."""
+    bare = F.regexp_replace(F.lower(_col(c)), URL, "")
+    return F.translate(F.regexp_replace(bare, MENTION, ""), PUNCTUATION, "")
+
+
 def tokenize(c: Column | str, stop_words: Iterable[str] = STOP_WORDS) -> Column:
     """T5: words with links, mentions, punctuation, stop words, digits removed."""
-    bare = F.regexp_replace(F.lower(_col(c)), URL, "")
-    bare = F.translate(F.regexp_replace(bare, MENTION, ""), PUNCTUATION, "")
-    words = F.split(bare, SPACE + "+")
+    words = F.split(plain_words(c), SPACE + "+")
     stop = list(stop_words)
     kept = F.filter(words, lambda w: (w != "") & ~w.rlike(DIGITS_ONLY))
     return F.filter(kept, lambda w: ~w.isin(stop)) if stop else kept
 
 
 def token_rows(
-    docs: DataFrame, doc: str, text: Column | str, stop_words: Iterable[str] = STOP_WORDS
+    docs: DataFrame,
+    doc: str,
+    text: Column | str,
+    stop_words: Iterable[str] = STOP_WORDS,
+    also: Iterable[str] = (),
 ) -> DataFrame:
-    """T5 in long form, one row per kept token: (doc_id, term).
+    """T5 in long form, one row per kept token: (doc_id, *also, term).
 
     The text is hashed by document before it is split: raw text is smaller
     than its tokens, and every later step per document reuses this placement.
     """
-    stop = [w for w in sorted(set(stop_words))]
-    bare = F.regexp_replace(F.lower(F.col("_text")), URL, "")
-    bare = F.translate(F.regexp_replace(bare, MENTION, ""), PUNCTUATION, "")
+    stop = sorted(set(stop_words))
     rows = (
-        docs.select(F.col(doc).alias("doc_id"), _col(text).alias("_text"))
+        docs.select(F.col(doc).alias("doc_id"), *also, _col(text).alias("_text"))
         .repartition("doc_id")
-        .select("doc_id", F.explode(F.split(bare, SPACE + "+")).alias("term"))
+        .select("doc_id", *also, F.explode(F.split(plain_words("_text"), SPACE + "+")).alias("term"))
         .where((F.col("term") != "") & ~F.col("term").rlike(DIGITS_ONLY))
     )
     return rows.where(~F.col("term").isin(stop)) if stop else rows

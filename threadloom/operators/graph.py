@@ -66,7 +66,7 @@ def _large_star(pairs: DataFrame) -> DataFrame:
     around = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     larger = around.where("v > u").join(least, "u")
-    return larger.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return larger.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:

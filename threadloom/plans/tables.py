@@ -14,7 +14,7 @@ from threadloom.operators.graph import connected_components, reply_edges, thread
 from threadloom.operators.predict import grounding_failures
 from threadloom.operators.retrieval import band
 from threadloom.operators.tagging import silver_label, tag_intents
-from threadloom.session import cut_lineage
+from threadloom.session import cut_lineage, spread
 
 # Words that occur in the given texts, as a stand-in for support keywords.
 LANG_HINTS = {
@@ -43,6 +43,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Documents, with text work spread over all cores."""
+    return spread(table(spark, sf, "documents").select(*columns))
+
+
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     """Dialogue turns: user is the customer, assistant the brand, system is left out."""
     rows = table(spark, sf, "conversations").where(F.col("role").isin("user", "assistant"))
@@ -112,7 +117,7 @@ def brand_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return text_table(spark, sf, "doc_id", "text", "lang", "source", "n_chars")
 
 
 def openings(spark: SparkSession, sf: str) -> DataFrame:
