@@ -6,7 +6,7 @@ mean the Unicode sets, not the ASCII ones that ``\\w`` and ``\\s`` stand for.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,10 @@ from threadloom.functions.lexicons import CONTRAST_WORDS, PRAISE_WORDS, STOP_WOR
 
 WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+SPACES = (
+    " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 SOLID = r"[^\s\x0b\x1c-\x1f\x85\p{Z}]"
 MENTION = "@" + WORD + "+"
 URL = "http" + SOLID + "+"
@@ -28,7 +32,17 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Drop white space of any kind from both ends."""
-    return F.regexp_replace(_col(c), f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(_col(c), F.lit(SPACES))
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def has_words(c: Column, n: int) -> Column:
+    """At least ``n`` words; stops reading after the n-th."""
+    return c.rlike(f"{SOLID}+(?:{SPACE}+{SOLID}+){{{n - 1}}}")
 
 
 def word_count(c: Column | str) -> Column:
@@ -44,8 +58,9 @@ def drop_links(c: Column | str) -> Column:
 
 def is_valid_message(c: Column | str, min_chars: int = 15, min_words: int = 3) -> Column:
     """Enough characters and words once mentions and links are gone."""
-    clean = drop_links(strip(c))
-    return (F.length(clean) >= min_chars) & (word_count(clean) >= min_words)
+    return bind(
+        drop_links(strip(c)), lambda s: (F.length(s) >= min_chars) & has_words(s, min_words)
+    )
 
 
 def contains_any(c: Column, words: Iterable[str]) -> Column:
@@ -65,12 +80,13 @@ def is_support_message(
     praise_below_words: int = 10,
 ) -> Column:
     """As T1, and short pure praise is dropped too."""
-    clean = drop_links(F.lower(_col(c)))
-    words = word_count(clean)
-    pure_praise = (
-        (words < praise_below_words) & contains_any(clean, praise) & ~contains_any(clean, contrast)
-    )
-    return (F.length(clean) >= min_chars) & (words >= min_words) & ~pure_praise
+
+    def keep(clean: Column) -> Column:
+        short = ~has_words(clean, praise_below_words)
+        pure_praise = short & contains_any(clean, praise) & ~contains_any(clean, contrast)
+        return (F.length(clean) >= min_chars) & has_words(clean, min_words) & ~pure_praise
+
+    return bind(drop_links(F.lower(_col(c))), keep)
 
 
 def norm_key(c: Column | str) -> Column:

@@ -45,6 +45,44 @@ def confusion(
     )
 
 
+def _label_counts(preds: DataFrame, true: str, pred: str, by: Sequence[str]) -> DataFrame:
+    """One row per system: rows, hits, and support, hits and guesses per label as a map.
+
+    Reads the predictions once; the map holds one entry per label.
+    """
+    n = F.col("n")
+    hit = F.when(F.col("true_label") == F.col("pred_label"), n).otherwise(0)
+    zero = F.lit(0).cast("long")
+    sides = F.array(
+        F.struct(F.col("true_label").alias("label"), n.alias("support"), hit.alias("tp"), zero.alias("guessed")),
+        F.struct(F.col("pred_label").alias("label"), zero.alias("support"), zero.alias("tp"), n.alias("guessed")),
+    )
+    counts = (
+        confusion(preds, true, pred, by)
+        .select(*by, F.inline(sides))
+        .groupBy(*by, "label")
+        .agg(*[F.sum(c).alias(c) for c in ("support", "tp", "guessed")])
+    )
+    entry = F.struct("label", F.struct("support", "tp", "guessed"))
+    return counts.groupBy(*by).agg(
+        F.coalesce(F.sum("support"), F.lit(0)).alias("n"),
+        F.coalesce(F.sum("tp"), F.lit(0)).alias("hits"),
+        F.map_from_entries(F.collect_list(F.when(F.col("label").isNotNull(), entry))).alias("m"),
+    )
+
+
+def _per_label(counts: DataFrame, labels: Sequence[str], by: Sequence[str]) -> DataFrame:
+    listed = F.explode(F.array(*[F.lit(x) for x in labels])).alias("label")
+    rows = counts.select(*by, "n", "hits", "m", listed)
+    cell = lambda c: F.coalesce(F.try_element_at("m", F.col("label"))[c], F.lit(0)).alias(c)
+    rows = rows.select(*by, "n", "hits", "label", cell("support"), cell("tp"), cell("guessed"))
+    p = _ratio(F.col("tp"), F.col("guessed"))
+    r = _ratio(F.col("tp"), F.col("support"))
+    return rows.select(
+        *by, "n", "hits", "label", p.alias("precision"), r.alias("recall"), _f1(p, r).alias("f1"), "support"
+    )
+
+
 def class_metrics(
     preds: DataFrame,
     labels: Sequence[str] = INTENTS,
@@ -53,27 +91,8 @@ def class_metrics(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Precision, recall, F1 and support per label; labels without rows get zeros."""
-    cells = confusion(preds, true, pred, by)
     by = list(by)
-    truth = cells.select(*by, F.col("true_label").alias("label"), "n", (F.col("true_label") == F.col("pred_label")).alias("hit"))
-    guess = cells.select(*by, F.col("pred_label").alias("label"), "n")
-    support = truth.groupBy(*by, "label").agg(
-        F.sum("n").alias("support"), F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("tp")
-    )
-    guessed = guess.groupBy(*by, "label").agg(F.sum("n").alias("guessed"))
-    dim = preds.sparkSession.createDataFrame([(l,) for l in labels], "label string")
-    if by:
-        dim = preds.select(*by).distinct().select(
-            *by, F.explode(F.array(*[F.lit(l) for l in labels])).alias("label")
-        )
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    rows = dim.join(support, [*by, "label"], "left").join(guessed, [*by, "label"], "left")
-    rows = rows.select(*by, "label", zero("support"), zero("tp"), zero("guessed"))
-    p = _ratio(F.col("tp"), F.col("guessed"))
-    r = _ratio(F.col("tp"), F.col("support"))
-    return rows.select(
-        *by, "label", p.alias("precision"), r.alias("recall"), _f1(p, r).alias("f1"), "support"
-    )
+    return _per_label(_label_counts(preds, true, pred, by), labels, by).drop("n", "hits")
 
 
 def overall_metrics(
@@ -85,19 +104,12 @@ def overall_metrics(
 ) -> DataFrame:
     """Accuracy, macro F1 over the full label list, weighted F1."""
     by = list(by)
-    per = class_metrics(preds, labels, true, pred, by)
-    f1 = per.groupBy(*by).agg(
+    per = _per_label(_label_counts(preds, true, pred, by), labels, by)
+    return per.groupBy(*by, "n").agg(
+        _ratio(F.max("hits"), F.max("n")).alias("accuracy"),
         F.avg("f1").alias("macro_f1"),
         _ratio(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"),
     )
-    acc = preds.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        _ratio(F.count_if(F.col(true) == F.col(pred)), F.count("*")).alias("accuracy"),
-    )
-    if by:
-        return acc.join(f1, by)
-    one = F.lit(1).alias("_one")
-    return acc.withColumn("_one", one).join(f1.withColumn("_one", one), "_one").drop("_one")
 
 
 def binary_metrics(

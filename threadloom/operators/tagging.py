@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.lexicons import BOUNDARY_RULES, INTENT_HINTS, OTHER
 from threadloom.functions.ordering import sample_key
-from threadloom.functions.text import WORD, contains_any
+from threadloom.functions.text import WORD, bind, contains_any
 
 
 def _col(c: Column | str) -> Column:
@@ -35,9 +35,12 @@ def tag_intents(
     whole_word: bool = False,
 ) -> Column:
     """Array of every intent with a keyword in the text, in lexicon order."""
-    low = F.lower(_col(text))
-    marks = [F.when(_mentions(low, words, whole_word), F.lit(i)) for i, words in lexicon.items()]
-    return F.filter(F.array(*marks), lambda m: m.isNotNull())
+
+    def hits(low: Column) -> Column:
+        marks = [F.when(_mentions(low, words, whole_word), F.lit(i)) for i, words in lexicon.items()]
+        return F.array_compact(F.array(*marks))
+
+    return bind(F.lower(_col(text)), hits)
 
 
 def silver_label(tags: Column | str, other: str = OTHER) -> Column:
@@ -52,10 +55,10 @@ def silver_escalation(num_turns: Column | str, at_least: int = 5) -> Column:
 
 
 def rule_classes(
-    text: Column | str, rules: Sequence[Sequence[str]] = BOUNDARY_RULES
+    low: Column, rules: Sequence[Sequence[str]] = BOUNDARY_RULES
 ) -> tuple[list[Column], list[Column]]:
-    """R2 per rule: (strong, false positive) columns. A negation turns a hit into the latter."""
-    low = F.lower(_col(text))
+    """R2 per rule on lower-cased text: (strong, false positive). A negation turns a hit
+    into the latter."""
     strong, doubtful = [], []
     for rule in rules:
         hit = _mentions(low, rule[1].split("|"), False)
@@ -69,19 +72,23 @@ def match_rules(
     messages: DataFrame, text: str, rules: Sequence[Sequence[str]] = BOUNDARY_RULES
 ) -> DataFrame:
     """R2: one row per (message, rule hit) with its class and the rule's priority."""
-    strong, doubtful = rule_classes(text, rules)
-    marks = [
-        F.when(
-            s | d,
-            F.struct(
-                F.lit(i).alias("priority"),
-                F.lit(rule[0]).alias("intent_id"),
-                F.when(s, "strong").otherwise("false_positive").alias("match"),
-            ),
-        )
-        for i, (rule, s, d) in enumerate(zip(rules, strong, doubtful))
-    ]
-    hits = F.filter(F.array(*marks), lambda m: m.isNotNull())
+
+    def classes(low: Column) -> Column:
+        strong, doubtful = rule_classes(low, rules)
+        marks = [
+            F.when(
+                s | d,
+                F.struct(
+                    F.lit(i).alias("priority"),
+                    F.lit(rule[0]).alias("intent_id"),
+                    F.when(s, "strong").otherwise("false_positive").alias("match"),
+                ),
+            )
+            for i, (rule, s, d) in enumerate(zip(rules, strong, doubtful))
+        ]
+        return F.array_compact(F.array(*marks))
+
+    hits = bind(F.lower(_col(text)), classes)
     return messages.withColumn("_hits", hits).select(*messages.columns, F.inline("_hits"))
 
 
@@ -89,10 +96,13 @@ def assign_by_priority(
     text: Column | str, rules: Sequence[Sequence[str]] = BOUNDARY_RULES, other: str = OTHER
 ) -> Column:
     """The first rule in order that matches strongly, else other."""
-    strong, _ = rule_classes(text, rules)
-    return F.coalesce(
-        *[F.when(s, F.lit(rule[0])) for rule, s in zip(rules, strong)], F.lit(other)
-    )
+
+    def first(low: Column) -> Column:
+        strong, _ = rule_classes(low, rules)
+        marks = [F.when(s, F.lit(rule[0])) for rule, s in zip(rules, strong)]
+        return F.coalesce(*marks, F.lit(other))
+
+    return bind(F.lower(_col(text)), first)
 
 
 def prevalence(

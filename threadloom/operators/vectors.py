@@ -84,34 +84,31 @@ def concept_vectors(
     """V4: (doc_id, term, w) over concept axes, scaled to length one.
 
     A phrase that occurs adds 2; a single keyword adds its number of whole-word
-    occurrences. All axes are columns of one projection, so a message is scored
-    where it is read.
+    occurrences. Phrases found are put behind the words of a message (no word
+    holds a space), so all axes are counted in one pass over that list and one
+    row per message is shuffled.
     """
-    lowered = F.lower(F.col(text))
-    words = F.col("_words")
-
-    def axis(keywords: Sequence[str]) -> Column:
-        single = [k for k in keywords if " " not in k]
-        score = F.lit(0.0)
-        if single:
-            wanted = F.array(*[F.lit(k) for k in single])
-            score = F.size(F.filter(words, lambda t: F.array_contains(wanted, t))).cast("double")
-        for phrase in (k for k in keywords if " " in k):
-            score = score + F.when(F.col("_low").contains(phrase), 2.0).otherwise(0.0)
-        return score
-
     names = list(concepts)
-    rows = messages.select(
-        F.col(doc).alias("doc_id"),
-        lowered.alias("_low"),
-        F.regexp_extract_all(lowered, F.lit(f"({WORD}+)"), 1).alias("_words"),
+    phrases = {c: [k for k in concepts[c] if " " in k] for c in names}
+    singles = {c: [k for k in concepts[c] if " " not in k] for c in names}
+    low = F.col("_low")
+    found = [F.when(low.contains(p), F.lit(p)) for c in names for p in phrases[c]]
+    items = F.split(low, f"[^{WORD[1:]}+")
+    if found:
+        items = F.concat(items, F.array_distinct(F.array_compact(F.array(*found))))
+    words = messages.select(F.col(doc).alias("doc_id"), F.lower(F.col(text)).alias("_low")).select(
+        "doc_id", F.explode(items).alias("_item")
     )
-    scored = rows.select("doc_id", *[axis(concepts[c]).alias(c) for c in names])
+
+    def score(c: str) -> Column:
+        once = F.count_if(F.col("_item").isin(singles[c])).cast("double")
+        return once + 2.0 * F.count_if(F.col("_item").isin(phrases[c])) if phrases[c] else once
+
+    scored = words.groupBy("doc_id").agg(*[score(c).alias(c) for c in names])
     norm = F.sqrt(sum((F.col(c) * F.col(c) for c in names), F.lit(0.0)))
-    entries = F.array(*[F.struct(F.lit(c).alias("term"), (F.col(c) / F.col("_norm")).alias("w")) for c in names])
+    entries = F.array(*[F.struct(F.lit(c).alias("term"), F.col(c).alias("x")) for c in names])
     return (
-        scored.withColumn("_norm", norm)
-        .where(F.col("_norm") > 0)
-        .select("doc_id", F.inline(entries))
-        .where(F.col("w") > 0)
+        scored.select("doc_id", norm.alias("_norm"), F.inline(entries))
+        .where(F.col("x") > 0)
+        .select("doc_id", "term", (F.col("x") / F.col("_norm")).alias("w"))
     )
