@@ -1039,11 +1039,51 @@ def sample_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(CONV, "num_turns", "bucket")
 
 
-@register()
+GOLD_QUOTAS = {("other_or_unclear" if k == "other" else k): n for k, n in DOC_QUOTAS.items()}
+
+
+@register(
+    f"""WITH RECURSIVE {BUILT},
+fq AS (
+  SELECT conversation_id, turn_number, author_id, created_at, text AS customer_message, {q.fingerprint('text')} AS fp
+  FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn_number) AS first FROM num
+        WHERE speaker = 'customer' AND {q.words('text')} >= 4) z WHERE first = 1),
+ord AS (
+  SELECT conversation_id, md5(fp) AS t, author_id AS a,
+    row_number() OVER (ORDER BY {q.sample_key('conversation_id')}, conversation_id) AS n FROM fq),
+walk(n, conversation_id, texts, authors) AS (
+  SELECT 0::BIGINT, NULL::VARCHAR, []::VARCHAR[], []::VARCHAR[]
+  UNION ALL
+  SELECT o.n, CASE WHEN list_contains(w.texts, o.t) OR list_contains(w.authors, o.a) THEN NULL ELSE o.conversation_id END,
+    CASE WHEN list_contains(w.texts, o.t) OR list_contains(w.authors, o.a) THEN w.texts ELSE list_append(w.texts, o.t) END,
+    CASE WHEN list_contains(w.texts, o.t) OR list_contains(w.authors, o.a) THEN w.authors ELSE list_append(w.authors, o.a) END
+  FROM walk w JOIN ord o ON o.n = w.n + 1),
+tagged AS (
+  SELECT *, {q.tags('customer_message', t.LANG_HINTS)} AS tags FROM fq
+  WHERE conversation_id IN (SELECT conversation_id FROM walk WHERE conversation_id IS NOT NULL)),
+strat AS (
+  SELECT *, CASE WHEN len(tags) >= 2 THEN 'difficult' WHEN len(tags) = 1 THEN tags[1] ELSE 'other_or_unclear' END AS stratum
+  FROM tagged),
+chosen AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {q.sample_key('conversation_id')}, conversation_id) AS place
+    FROM strat) z WHERE place <= {QUOTA_SQL}),
+context AS (
+  SELECT c.conversation_id,
+    coalesce(string_agg(p.text, ' | ' ORDER BY p.turn_number) FILTER (p.turn_number < c.turn_number), '') AS previous_turns,
+    coalesce(string_agg(p.speaker, ', ' ORDER BY p.turn_number) FILTER (p.turn_number < c.turn_number), '') AS previous_speakers,
+    arg_min(p.text, p.turn_number) FILTER (p.speaker = 'brand' AND p.turn_number > c.turn_number) AS brand_response
+  FROM chosen c JOIN num p USING (conversation_id) GROUP BY 1)
+SELECT 'gold_' || lpad((row_number() OVER (ORDER BY {q.sample_key('conversation_id', 43)}, conversation_id))::VARCHAR, 4, '0')
+    AS example_id,
+  conversation_id, created_at, customer_message, previous_turns, previous_speakers, brand_response,
+  array_to_string(tags, ', ') AS candidate_intents, NULL::VARCHAR AS human_intent, NULL::BOOLEAN AS human_escalate,
+  NULL::VARCHAR AS human_reason, NULL::VARCHAR AS annotation_notes
+FROM chosen JOIN context USING (conversation_id)"""
+)
 def golden_candidates(spark: SparkSession, sf: str) -> DataFrame:
     turns = conv.number_turns(t.brand_turns(spark, sf))
-    quotas = {k: v for k, v in {**DOC_QUOTAS, "other_or_unclear": 25}.items() if k != "other"}
-    rows = sampling.golden_candidates(turns, t.LANG_HINTS, quotas)
+    rows = sampling.golden_candidates(turns, t.LANG_HINTS, GOLD_QUOTAS)
     return rows.withColumns(
         {
             "previous_turns": F.array_join("previous_turns", " | "),
