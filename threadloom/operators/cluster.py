@@ -19,6 +19,10 @@ from threadloom.functions.ordering import sample_key
 from threadloom.session import cut_lineage
 
 
+# Centroid weights that may be sent to every executor; counted before each round.
+BROADCAST_CELLS = 4_000_000
+
+
 def spherical_kmeans(
     vectors: DataFrame, k: int, seed: int = 42, max_iters: int = 30
 ) -> DataFrame:
@@ -28,6 +32,10 @@ def spherical_kmeans(
     per term with an array of k weights, so a round joins each posting to at
     most one row and keeps k running sums per document instead of k rows.
 
+    Documents lie together in one partition each, so a round adds up complete
+    sums inside a task; postings are shuffled only when the counted centroids
+    are too many to broadcast.
+
     The first centroids are the k first documents of the seeded order. Ties and
     documents that share no term with any centroid go to the lowest cluster. An
     empty cluster restarts from the next document in that order.
@@ -84,10 +92,12 @@ def _centroids(placed: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
         ]
     )
     sums = cut_lineage(sums)
-    row = sums.agg(*[F.sqrt(F.sum(F.col(f"c{i}") * F.col(f"c{i}"))) for i in range(k)]).first()
+    squares = [F.sqrt(F.sum(F.col(f"c{i}") * F.col(f"c{i}"))) for i in range(k)]
+    terms, *row = sums.agg(F.count("*"), *squares).first()
     norms = [float(v or 0.0) for v in row]
     cells = [F.col(f"c{i}") / F.lit(norms[i]) if norms[i] else F.lit(0.0) for i in range(k)]
-    return sums.select("term", F.array(*cells).alias("c")), norms
+    table = sums.select("term", F.array(*cells).alias("c"))
+    return (F.broadcast(table) if terms * k <= BROADCAST_CELLS else table), norms
 
 
 def _restart(centroids: DataFrame, vectors: DataFrame, fresh: list[tuple], k: int) -> DataFrame:
