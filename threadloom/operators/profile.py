@@ -75,11 +75,10 @@ def infer_types(df: DataFrame, order_col: str, rows: int = 100, values: int = 20
             F.array(
                 *[
                     F.struct(
-                        F.lit(i).alias("pos"),
                         F.lit(c).alias("column_name"),
                         F.col(c).cast("string").alias("v"),
                     )
-                    for i, c in enumerate(columns)
+                    for c in columns
                 ]
             )
         ).alias("cell"),
@@ -93,7 +92,7 @@ def infer_types(df: DataFrame, order_col: str, rows: int = 100, values: int = 20
         F.bool_and(safe_long("v").isNotNull()).alias("is_int"),
         F.bool_and(text.try_cast("double").isNotNull()).alias("is_float"),
     )
-    names = cells.select("pos", "column_name").distinct()
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "pos int, column_name string")
     kind = (
         F.when(F.col("is_bool"), "bool")
         .when(F.col("is_int"), "int")

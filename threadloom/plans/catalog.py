@@ -204,11 +204,16 @@ def head_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(
-    f"""SELECT i - 1 AS pos, c AS column_name, c <> 'retweets' AS present
-FROM (SELECT unnest([{q.quoted(TWEET_COLUMNS)}, 'retweets']) AS c, unnest(range(1, 9)) AS i)"""
+    f"""WITH {q.TWEETS}
+SELECT i - 1 AS pos, c AS column_name, c <> 'retweets' AS present,
+  CASE c WHEN 'retweets' THEN NULL WHEN 'text' THEN (SELECT count(*) FROM tweets WHERE trim(text) = '')
+    WHEN 'in_response_to_tweet_id' THEN (SELECT count(*) FROM tweets WHERE parent_id IS NULL) ELSE 0 END AS missing
+FROM (SELECT unnest([{q.quoted(TWEET_COLUMNS)}, 'retweets']) AS c, unnest(range(1, 9)) AS i) x"""
 )
 def expected_columns(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.expected_columns(t.raw_tweets(spark, sf), [*TWEET_COLUMNS, "retweets"])
+    rows = t.raw_tweets(spark, sf)
+    checked = profile.expected_columns(rows, [*TWEET_COLUMNS, "retweets"])
+    return checked.join(profile.missing_counts(rows), "column_name", "left")
 
 
 # ---------------------------------------------------------------- reply graph and threads
