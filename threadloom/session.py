@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +62,18 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers of every executor, once per application.
+
+    Needed where workers run functions of the package and it isn't installed on
+    the executors. The archive is sent by Spark's own file service.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_threadloom_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="spark-")
+    root = Path(__file__).resolve().parent
+    sc.addPyFile(shutil.make_archive(f"{folder}/threadloom", "zip", root.parent, root.name))
+    sc._threadloom_shipped = True
