@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadloom.llm.batches import map_batches
+
 #: Lengths of one slice of the suffix sums. The longest text sets the number of slices.
 SLICE = 1024
 
@@ -43,7 +45,7 @@ def token_lengths(df: DataFrame, ranks_file: str, text: str = "text") -> DataFra
             lengths = [len(encode(x.as_py() or "")) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int64())], ["n_tokens"])
 
-    return df.select(text).mapInArrow(run, "n_tokens long")
+    return map_batches(df.select(text), run, "n_tokens long")
 
 
 def histogram(lengths: DataFrame) -> DataFrame:

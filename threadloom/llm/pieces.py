@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from threadloom.llm.batches import extended, map_batches, put
 from threadloom.llm.words import run_hash
 
 MARK = "▁"
@@ -330,17 +331,6 @@ def plain(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def put(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.RecordBatch:
-    """The batch with columns added, in place of those of the same name."""
-    kept = [name for name in batch.schema.names if name not in added]
-    return pa.RecordBatch.from_arrays([batch.column(name) for name in kept] + list(added.values()), kept + list(added))
-
-
-def extended(df: DataFrame, added: dict[str, T.DataType]) -> T.StructType:
-    fields = [f for f in df.schema.fields if f.name not in added]
-    return T.StructType(fields + [T.StructField(name, kind) for name, kind in added.items()])
-
-
 def encode(df: DataFrame, model_file: str, text: str = "text", out: str = "ids", end: bool = True, check: str | None = None) -> DataFrame:
     """Add the ids of ``text`` as an array of integers."""
 
@@ -350,7 +340,7 @@ def encode(df: DataFrame, model_file: str, text: str = "text", out: str = "ids",
             ids = pieces.checked(plain(batch.column(text)), end, check)
             yield put(batch, {out: pa.array(ids, pa.list_(pa.int32()))})
 
-    return df.mapInArrow(run, extended(df, {out: T.ArrayType(T.IntegerType())}))
+    return map_batches(df, run, extended(df, {out: T.ArrayType(T.IntegerType())}))
 
 
 def decode(df: DataFrame, model_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -362,7 +352,7 @@ def decode(df: DataFrame, model_file: str, ids: str = "ids", out: str = "decoded
             texts = [pieces.decode(x or []) for x in batch.column(ids).to_pylist()]
             yield put(batch, {out: pa.array(texts, pa.string())})
 
-    return df.mapInArrow(run, extended(df, {out: T.StringType()}))
+    return map_batches(df, run, extended(df, {out: T.StringType()}))
 
 
 def round_trip(df: DataFrame, model_file: str, text: str = "text", check: str | None = "stretches") -> DataFrame:
@@ -392,4 +382,4 @@ def round_trip(df: DataFrame, model_file: str, text: str = "text", check: str |
             )
 
     added = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
-    return df.mapInArrow(run, extended(df, added))
+    return map_batches(df, run, extended(df, added))

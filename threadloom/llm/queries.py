@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import lengths, pieces
+from threadloom.llm import forest, lengths, pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,3 +37,31 @@ def op7_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histogram of encoded lengths with suffix sums, for every context limit."""
     docs = table(spark, sf_dir, "documents", "text")
     return lengths.histogram(lengths.token_lengths(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
+@register
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose shingle sets are alike in 75 of 100 parts or more."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return forest.components(docs).withColumnRenamed("id", "doc_id")
+
+
+WORDS = "regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')"
+
+SQL["op9_near_duplicates"] = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, {WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 OR w IS NULL THEN []
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM w),
+g AS MATERIALIZED (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS g FROM s),
+p AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT s.doc_id, len(s) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c ON c.a = s.doc_id"""
