@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.batches import map_batches
+from threadloom.llm.keyfilter import mark_maybe
 from threadloom.llm.words import find_words, gram_hash, inside, mix, slices
 from threadloom.operators.graph import connected_components
 from threadloom.session import cut_lineage
@@ -50,8 +51,6 @@ BLOCK = 2048
 SALTS = 16
 #: Candidates per class in the first completion pass; the second has no limit.
 FIRST_BEST = 8
-#: The filter of involved texts has this many 64-bit words at any input size.
-FILTER_WORDS = 1 << 17
 
 _MULTIPLIERS = mix(np.arange(1, VALUES + 1, dtype=np.uint64), 9) | np.uint64(1)
 #: Tree t reads the signature from its own place onward.
@@ -197,15 +196,11 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _involved_texts(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> DataFrame:
     """The text of each wanted class, read from its chosen document.
 
-    A bit table of fixed size, made of the hashes of wanted texts, keeps most
-    other texts out of the shuffle; the join behind it is exact.
+    A filter of fixed size keeps most other texts out of the shuffle; the join
+    behind it is exact.
     """
-    word = lambda h: F.pmod(F.shiftright(h, 6), F.lit(FILTER_WORDS))
-    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    bits = wanted.groupBy(word(F.col("h")).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = rows.withColumn("_word", word(F.col("h"))).join(F.broadcast(bits), "_word")
-    rows = rows.where(F.col("_bits").bitwiseAND(bit) != 0)
+    rows = mark_maybe(rows, wanted, "h").where("maybe").select("id", "text", "h")
     same = (rows["h"] == wanted["h"]) & rows["id"].eqNullSafe(wanted["id"])
     return rows.join(wanted, same).select("cls", "text").dropDuplicates(["cls"])
 

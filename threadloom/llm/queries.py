@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import forest, lengths, pieces
+from threadloom.llm import forest, lengths, pieces, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,3 +65,28 @@ r AS (
   UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
 c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
 SELECT s.doc_id, len(s) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c ON c.a = s.doc_id"""
+
+
+@register
+def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in 35-word windows that occur more than once are removed."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    out = substrings.remove_repeats(docs, digests=True)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+SQL["op2_repeated_substrings"] = f"""
+WITH w AS (SELECT doc_id, coalesce({WORDS.format(text="text")}, []) AS w FROM documents),
+p AS MATERIALIZED (
+  SELECT doc_id, unnest(generate_series(1, len(w) - 34)) AS i, w FROM w WHERE len(w) >= 35),
+h AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM p),
+r AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+g AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS i FROM h WHERE h IN (SELECT h FROM r)),
+k AS (
+  SELECT doc_id, unnest(generate_series(1, len(w))) AS i, unnest(w) AS word FROM w),
+kept AS (
+  SELECT k.doc_id, string_agg(word, ' ' ORDER BY k.i) AS t, count(*) AS n
+  FROM k ANTI JOIN g ON g.doc_id = k.doc_id AND g.i = k.i GROUP BY k.doc_id)
+SELECT w.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id"""

@@ -143,3 +143,13 @@ def inside(first: np.ndarray, n: int) -> np.ndarray:
     total = int(runs.sum())
     skip = np.repeat(first[:-1] - (np.cumsum(runs) - runs), runs)
     return np.arange(total) + skip
+
+
+def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs ``values[start:end]``, which may overlap."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    total = np.zeros(len(values) + 1, np.uint64)
+    up, down = _Powers.upto(len(values) + 1)
+    np.cumsum(values * up[: len(values)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] ^ (end - start).astype(np.uint64))
