@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import forest, lengths, pieces, substrings
+from threadloom.llm import forest, lengths, mixing, pieces, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,6 +32,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(docs, model).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@register
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source weights 5, 2, 1, ... with fitted budgets."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return mixing.mix(docs, carry=["doc_id"])
+
+
 @register
 def op7_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histogram of encoded lengths with suffix sums, for every context limit."""
