@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import forest, lengths, mixing, pieces, substrings
+from threadloom.llm import forest, language, lengths, mixing, pieces, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,6 +32,14 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(docs, model).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@register
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text by a byte network that learnt from two thirds of the labels."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    rows = docs.select("doc_id", "text", language.held_out().alias("held_out"))
+    return language.predict(rows, language.train(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @register
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights 5, 2, 1, ... with fitted budgets."""
