@@ -324,6 +324,35 @@ def asked(blocks: DataFrame, limit: int | None) -> DataFrame:
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``docs``."""
+    return grouped(docs, doc_id, text).select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component, that with the smallest id (nulls last); documents without words all stay.
+
+    Only documents that may go, or whose id and text come up again, are shuffled.
+    """
+    rows = cut_lineage(grouped(docs, doc_id, text).select("id", "h", "group"))
+    named = rows.where("group is not null")
+    best = named.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("best")).select("best.id", "best.h")
+    copies = named.groupBy("id", "h").agg(F.count("*").alias("copies"))
+    best = best.select("id", "h", F.lit(True).alias("stays"))
+    same = copies["h"].eqNullSafe(best["h"]) & copies["id"].eqNullSafe(best["id"])
+    told = copies.join(best, same, "left").select(copies["id"], copies["h"], F.coalesce("stays", F.lit(False)).alias("stays"), "copies")
+    told = cut_lineage(told.where("not stays or copies > 1").select(F.col("id").alias("_i"), F.col("h").alias("_k"), "stays"))
+    marked = mark_maybe(docs.withColumn("_h", F.xxhash64(text)), told.withColumnRenamed("_k", "_h"), "_h", "_maybe")
+    maybe = marked.where("_maybe")
+    maybe = maybe.join(told, (maybe["_h"] == told["_k"]) & maybe[doc_id].eqNullSafe(told["_i"]), "left")
+    once = maybe.where("stays").dropDuplicates(["_i", "_k"])
+    parts = [marked.where("not _maybe"), maybe.where("stays is null"), once]
+    first, *rest = (p.select(*docs.columns) for p in parts)
+    for part in rest:
+        first = first.unionByName(part)
+    return first
+
+
+def grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, h, n_shingles, component_id, group) per row; group tells components apart and is null without words."""
     rows = cut_lineage(signatures(docs, doc_id, text))
     # One class per set, with the smallest id and one document to read its text from.
     classes = rows.where("cls is not null").groupBy("cls").agg(
@@ -348,13 +377,12 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     found = found.select(F.col("id").alias("cls"), "component")
     linked = found.join(classes, "cls")
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = linked.select("cls", "component").join(least, "component").select("cls", "component_id")
+    linked = linked.select("cls", "component").join(least, "component").select("cls", "component_id", F.col("component").alias("group"))
     # Classes of one document without links keep their own id and need no join.
-    copies = classes.where("copies > 1").join(linked, "cls", "left_anti").select("cls", F.col("least").alias("component_id"))
+    copies = classes.where("copies > 1").join(linked, "cls", "left_anti").select("cls", F.col("least").alias("component_id"), F.col("cls").alias("group"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    named = linked.unionByName(copies).select("cls", "component_id", F.lit(True).alias("named"), salts)
+    named = linked.unionByName(copies).select("cls", "component_id", "group", F.lit(True).alias("named"), salts)
     rows = rows.select("id", "h", "n_shingles", "cls", F.pmod(F.xxhash64("id", "h"), F.lit(SALTS)).cast("int").alias("salt"))
     out = rows.join(named, ["cls", "salt"], "left")
     component = F.when(F.col("named"), F.col("component_id")).otherwise(F.col("id"))
-    out = out.select("id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    return out.select("id", "h", "n_shingles", component.alias("component_id"), F.coalesce("group", "cls").alias("group"))

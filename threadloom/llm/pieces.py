@@ -355,31 +355,31 @@ def decode(df: DataFrame, model_file: str, ids: str = "ids", out: str = "decoded
     return map_batches(df, run, extended(df, {out: T.StringType()}))
 
 
-def round_trip(df: DataFrame, model_file: str, text: str = "text", check: str | None = "stretches") -> DataFrame:
+def round_trip(df: DataFrame, model_file: str, text: str = "text", check: str | None = "stretches", keep_ids: bool = False) -> DataFrame:
     """Encode with an end id, decode, and add n_tokens and the SHA-256 of both results.
 
     The digests are of the decimal ids joined by one space and of the decoded
-    text. Ids and decoded texts stay in the worker, so nothing longer than a
-    digest is passed on.
+    text. Decoded texts stay in the worker, and so do ids unless ``keep_ids``
+    adds them as an array.
     """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_file)
         for batch in source:
-            n_tokens, ids_hash, text_hash = [], [], []
+            n_tokens, ids_hash, text_hash, all_ids = [], [], [], []
             for part in runs_of(plain(batch.column(text))):
                 for ids in pieces.checked(part, True, check):
                     n_tokens.append(len(ids))
+                    if keep_ids:
+                        all_ids.append(np.array(ids, np.int32))
                     ids_hash.append(sha256(" ".join(map(pieces.decimal.__getitem__, ids)).encode()).hexdigest())
                     text_hash.append(sha256(pieces.decode(ids).encode()).hexdigest())
-            yield put(
-                batch,
-                {
-                    "n_tokens": pa.array(n_tokens, pa.int64()),
-                    "ids_sha256": pa.array(ids_hash, pa.string()),
-                    "decoded_sha256": pa.array(text_hash, pa.string()),
-                },
-            )
-
-    added = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
-    return map_batches(df, run, extended(df, added))
+            new = {
+                "n_tokens": pa.array(n_tokens, pa.int64()),
+                "ids_sha256": pa.array(ids_hash, pa.string()),
+                "decoded_sha256": pa.array(text_hash, pa.string()),
+            }
+            yield put(batch, new | ({"ids": pa.array(all_ids, pa.list_(pa.int32()))} if keep_ids else {}))
+
+    added: dict[str, T.DataType] = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+    return map_batches(df, run, extended(df, added | ({"ids": T.ArrayType(T.IntegerType())} if keep_ids else {})))
