@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import forest, language, lengths, mixing, pieces, substrings
+from threadloom.llm import forest, language, lengths, mixing, pieces, quality, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,3 +105,11 @@ kept AS (
   FROM k ANTI JOIN g ON g.doc_id = k.doc_id AND g.i = k.i GROUP BY k.doc_id)
 SELECT w.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id"""
+
+
+@register
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text rules and the log-likelihood ratio of trusted documents against all."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    return quality.judge(docs, labels.where("quality = 1 and toxic = 0"))
