@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import forest, language, lengths, mixing, pieces, quality, substrings
+from threadloom.llm import forest, language, lengths, mixing, pieces, quality, reputation, substrings, syncmers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,6 +47,17 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, carry=["doc_id"])
 
 
+@register
+def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and host reputations. A page's outcome is the label of the document that its path names."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    outcome = labels.groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
+    named = reputation.with_host(pages).select("url", F.expr("try_cast(regexp_extract(path, '^/[^/]+/([0-9]+)', 1) as long)").alias("doc_id"))
+    labelled = named.join(outcome, "doc_id").select("url", "bad")
+    return reputation.judge(pages, labelled).select("page_id", "host", "path", "rule", "verdict", "bad_mean", "bad_low")
+
+
 @register
 def op7_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histogram of encoded lengths with suffix sums, for every context limit."""
@@ -54,6 +65,12 @@ def op7_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.histogram(lengths.token_lengths(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
+@register
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed-syncmer fingerprints of every text, its edited form and the next document."""
+    return syncmers.edited_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @register
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose shingle sets are alike in 75 of 100 parts or more."""
@@ -113,3 +130,55 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
     return quality.judge(docs, labels.where("quality = 1 and toxic = 0"))
+
+
+SQL["op6_url_reputation"] = """
+WITH r AS (
+  SELECT page_id, url, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END, '') AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM r),
+p AS MATERIALIZED (
+  SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM h),
+l AS (
+  SELECT page_id, host, path, regexp_replace(host, ':[0-9]*$', '') AS name, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS s FROM p),
+z AS (
+  SELECT *, CASE WHEN array_to_string(s[greatest(1, len(s) - 1):], '.') IN
+    ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'com.br', 'co.jp', 'co.kr', 'co.in', 'com.cn') THEN 2 ELSE 1 END AS k FROM l),
+n AS MATERIALIZED (
+  SELECT page_id, host, path, name, array_to_string(s[greatest(1, len(s) - k):], '.') AS domain,
+    array_to_string(s[greatest(1, len(s) - k + 1):], '.') AS suffix FROM z),
+o AS (SELECT doc_id, max((quality = 0 OR toxic = 1)::int) AS bad FROM labels GROUP BY doc_id),
+b AS (
+  SELECT n.*, bad FROM n JOIN o ON o.doc_id = try_cast(regexp_extract(path, '^/[^/]+/([0-9]+)', 1) AS bigint) WHERE bad IS NOT NULL),
+hosts AS MATERIALIZED (SELECT name, domain, suffix, sum(bad)::double AS bad, count(*)::double AS pages FROM b GROUP BY ALL),
+domains AS MATERIALIZED (SELECT domain, suffix, sum(bad) AS bad, sum(pages) AS pages FROM hosts GROUP BY ALL),
+suffixes AS MATERIALIZED (SELECT suffix, sum(bad) AS bad, sum(pages) AS pages FROM domains GROUP BY ALL),
+m AS MATERIALIZED (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(pages), 0) + 1) AS m FROM suffixes),
+units AS (
+  SELECT 1 AS lv, bad, pages FROM suffixes UNION ALL SELECT 2, bad, pages FROM domains UNION ALL SELECT 3, bad, pages FROM hosts),
+sums AS (
+  SELECT lv, sum(bad) / sum(pages) AS p, sum(pages) AS n, count(*) AS k, sum(pages * pages) AS nn,
+    sum(pages * (bad / pages - m) ** 2) AS s FROM units, m GROUP BY lv),
+between_ AS (SELECT lv, k, p * (1 - p) AS c, (s - (k - 1) * p * (1 - p)) / nullif(n - nn / n, 0) AS v FROM sums),
+w AS MATERIALIZED (
+  SELECT lv, least(greatest(coalesce(CASE WHEN k > 1 AND v > 0 THEN (c - v) / v END, 1000.0), 1.0), 1000.0) AS w FROM between_),
+s1 AS (SELECT suffix, (bad + w * m) / (pages + w) AS mean, pages + w AS t FROM suffixes, m, w WHERE lv = 1),
+d1 AS (
+  SELECT domain, domains.suffix, (bad + w * s1.mean) / (pages + w) AS mean, pages + w AS t
+  FROM domains JOIN s1 ON s1.suffix = domains.suffix, w WHERE lv = 2),
+h1 AS (
+  SELECT name, (bad + w * d1.mean) / (pages + w) AS mean, pages + w AS t
+  FROM hosts JOIN d1 ON d1.domain = hosts.domain AND d1.suffix = hosts.suffix, w WHERE lv = 3),
+j AS (
+  SELECT page_id, host, path, coalesce(h1.mean, d1.mean, s1.mean) AS bad_mean,
+    coalesce(h1.mean - 1.645 * sqrt(h1.mean * (1 - h1.mean) / (h1.t + 1)), d1.mean - 1.645 * sqrt(d1.mean * (1 - d1.mean) / (d1.t + 1)),
+      s1.mean - 1.645 * sqrt(s1.mean * (1 - s1.mean) / (s1.t + 1))) AS bad_low
+  FROM n LEFT JOIN h1 ON h1.name = n.name LEFT JOIN d1 ON d1.domain = n.domain LEFT JOIN s1 ON s1.suffix = n.suffix),
+q AS (
+  SELECT *, CASE
+    WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') THEN 'net/' END AS rule FROM j)
+SELECT page_id, host, path, rule, CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow'
+  WHEN 'org/fr/' THEN 'allow' ELSE CASE WHEN bad_low > 0.5 THEN 'block' ELSE 'allow' END END AS verdict, bad_mean, bad_low FROM q"""
