@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import forest, language, lengths, mixing, pieces, quality, reputation, substrings, syncmers
+from threadloom.llm import forest, language, lengths, mixing, pieces, quality, reputation, substrings, syncmers, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,6 +32,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(docs, model).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@register
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages to archives and read them back."""
+    manifest = warc.write(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return warc.read(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @register
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text by a byte network that learnt from two thirds of the labels."""
@@ -182,3 +189,13 @@ q AS (
     WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') THEN 'net/' END AS rule FROM j)
 SELECT page_id, host, path, rule, CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow'
   WHEN 'org/fr/' THEN 'allow' ELSE CASE WHEN bad_low > 0.5 THEN 'block' ELSE 'allow' END END AS verdict, bad_mean, bad_low FROM q"""
+
+
+SQL["op3_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+k AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper, count(*) OVER (PARTITION BY payload_digest) AS n FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND n > 1 AND page_id IS DISTINCT FROM keeper AND keeper IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND n > 1 AND page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to FROM k"""
