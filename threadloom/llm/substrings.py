@@ -357,14 +357,14 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", ou
     was. With ``digests`` the SHA-256 of the kept words joined by one space is
     added as kept_sha256 in place of the text.
     """
-    keyed = df.withColumn("doc", F.xxhash64(doc_id, text))
-    docs = keyed.select("doc", F.col(text).alias("text"))
+    keyed = df.withColumn("_doc", F.xxhash64(doc_id, text))
+    docs = keyed.select(F.col("_doc").alias("doc"), F.col(text).alias("text"))
     cut = repeated_windows(docs).groupBy("doc").agg(F.collect_set(F.struct("start", "size")).alias("_cut"))
-    cut = cut_lineage(cut)
-    marked = mark_maybe(keyed, cut, "doc")
-    whole = marked.where("not maybe").withColumn("_cut", F.lit(None).cast("array<struct<start:int,size:int>>"))
-    some = marked.where("maybe").join(cut, "doc", "left")
-    rows = whole.unionByName(some).drop("doc", "maybe")
+    cut = cut_lineage(cut.withColumnRenamed("doc", "_doc"))
+    marked = mark_maybe(keyed, cut, "_doc", "_maybe")
+    whole = marked.where("not _maybe").withColumn("_cut", F.lit(None).cast("array<struct<start:int,size:int>>"))
+    some = marked.where("_maybe").join(cut, "_doc", "left")
+    rows = whole.unionByName(some).drop("_doc", "_maybe")
     added: dict[str, T.DataType] = {"n_words": T.LongType(), "n_removed": T.LongType()}
     added |= {"kept_sha256": T.StringType()} if digests else {out: T.StringType()}
 

@@ -80,7 +80,7 @@ class Archive:
     """One archive being written. Records wait until the dictionary can be built."""
 
     def __init__(self, fs, path: str):
-        self.out, self.path = fs.open_output_stream(path), path
+        self.out, self.path = fs.open_output_stream(path, compression=None), path
         self.waiting: list[bytes] = []
         self.bytes = self.records = 0
         self.compressor = None
@@ -211,7 +211,7 @@ def read(manifest: DataFrame) -> DataFrame:
             for path, count, folder in zip(*(batch.column(c).to_pylist() for c in ("path", "records", "folder"))):
                 fs, _ = file_system(folder)
                 rows, size, seen = [], 0, 0
-                with fs.open_input_stream(path) as stream:
+                with fs.open_input_stream(path, compression=None) as stream:
                     for head, block in records(stream):
                         http, _, body = block.partition(b"\r\n\r\n")
                         length = int(re.search(rb"(?i)content-length: *(\d+)", http)[1])
