@@ -138,7 +138,7 @@ def cluster_keywords(vectors: DataFrame, assignments: DataFrame, top_n: int = 5)
 
 
 def name_by_rules(
-    keywords: Column | str, rules: Sequence[tuple[str, Sequence[str]]] = CLUSTER_NAME_RULES
+    keywords: Column | str, rules: Sequence[tuple[str, Sequence[Sequence[str]]]] = CLUSTER_NAME_RULES
 ) -> Column:
     """K4: first rule whose every word group hits the joined keywords, else unknown_<first>."""
     words = F.col(keywords) if isinstance(keywords, str) else keywords
@@ -148,7 +148,7 @@ def name_by_rules(
         holds = F.lit(True)
         for group in groups:
             any_word = F.lit(False)
-            for word in group.split("|"):
+            for word in group:
                 any_word = any_word | joined.contains(word)
             holds = holds & any_word
         name = F.when(holds, label) if name is None else name.when(holds, label)

@@ -158,10 +158,10 @@ def shape_of_turns(turns: DataFrame, order: str = "turn_number") -> DataFrame:
 
 
 def nest_turns(turns: DataFrame, max_turns_per_row: int = 10_000) -> DataFrame:
-    """Ordered list of turns per conversation.
+    """Ordered list of turns per (conversation, part).
 
-    A conversation longer than ``max_turns_per_row`` continues in further rows
-    with part 1, 2, ...; no turn is lost and no row grows without bound.
+    The form is the same at every size: part p holds the turns numbered from
+    p * max_turns_per_row + 1 on, so no turn is lost and no row grows without bound.
     """
     fields = [
         "turn_number", "tweet_id", "author_id", "speaker", "inbound", "text", "created_at",

@@ -12,6 +12,9 @@ from threadloom.functions.lexicons import BOUNDARY_RULES, INTENT_HINTS, OTHER
 from threadloom.functions.ordering import sample_key
 from threadloom.functions.text import WORD, bind, contains_any
 
+#: (intent, keywords, negations, confusable intents, action)
+Rule = tuple[str, Sequence[str], Sequence[str], Sequence[str], str]
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -55,21 +58,21 @@ def silver_escalation(num_turns: Column | str, at_least: int = 5) -> Column:
 
 
 def rule_classes(
-    low: Column, rules: Sequence[Sequence[str]] = BOUNDARY_RULES
+    low: Column, rules: Sequence[Rule] = BOUNDARY_RULES
 ) -> tuple[list[Column], list[Column]]:
     """R2 per rule on lower-cased text: (strong, false positive). A negation turns a hit
     into the latter."""
     strong, doubtful = [], []
     for rule in rules:
-        hit = _mentions(low, rule[1].split("|"), False)
-        negated = _mentions(low, rule[2].split("|"), False)
+        hit = _mentions(low, rule[1], False)
+        negated = _mentions(low, rule[2], False)
         strong.append(hit & ~negated)
         doubtful.append(hit & negated)
     return strong, doubtful
 
 
 def match_rules(
-    messages: DataFrame, text: str, rules: Sequence[Sequence[str]] = BOUNDARY_RULES
+    messages: DataFrame, text: str, rules: Sequence[Rule] = BOUNDARY_RULES
 ) -> DataFrame:
     """R2: one row per (message, rule hit) with its class and the rule's priority."""
 
@@ -93,7 +96,7 @@ def match_rules(
 
 
 def assign_by_priority(
-    text: Column | str, rules: Sequence[Sequence[str]] = BOUNDARY_RULES, other: str = OTHER
+    text: Column | str, rules: Sequence[Rule] = BOUNDARY_RULES, other: str = OTHER
 ) -> Column:
     """The first rule in order that matches strongly, else other."""
 
@@ -106,7 +109,7 @@ def assign_by_priority(
 
 
 def prevalence(
-    messages: DataFrame, text: str, rules: Sequence[Sequence[str]] = BOUNDARY_RULES, other: str = OTHER
+    messages: DataFrame, text: str, rules: Sequence[Rule] = BOUNDARY_RULES, other: str = OTHER
 ) -> DataFrame:
     """Messages and share per intent, intents without any included."""
     counts = messages.groupBy(assign_by_priority(text, rules, other).alias("intent_id")).agg(
@@ -145,7 +148,7 @@ def rule_examples(
     messages: DataFrame,
     text: str,
     key: str,
-    rules: Sequence[Sequence[str]] = BOUNDARY_RULES,
+    rules: Sequence[Rule] = BOUNDARY_RULES,
     other: str = OTHER,
     strong: int = 15,
     doubtful: int = 5,
@@ -170,12 +173,12 @@ def taxonomy_report(
     messages: DataFrame,
     text: str,
     key: str,
-    rules: Sequence[Sequence[str]] = BOUNDARY_RULES,
+    rules: Sequence[Rule] = BOUNDARY_RULES,
     other: str = OTHER,
 ) -> DataFrame:
     """One row per intent with prevalence, action, confusable intents and examples."""
     info = messages.sparkSession.createDataFrame(
-        [(r[0], [c for c in r[3].split("|") if c], r[4]) for r in rules] + [(other, [], "KEEP")],
+        [(r[0], list(r[3]), r[4]) for r in rules] + [(other, [], "KEEP")],
         "intent_id string, confusable_intents array<string>, recommended_action string",
     )
     picks = rule_examples(messages, text, key, rules, other)

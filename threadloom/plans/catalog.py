@@ -700,7 +700,8 @@ def evidence_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- clustering
 
-K, ROUNDS = 4, 3
+# The check writes out as many rounds as the operator may take; after the fixed point they change nothing.
+K, ROUNDS = 4, 30
 
 MESSAGES = """msgs AS (
   SELECT conv_id * (SELECT max(turn) + 2 FROM conversations) + turn AS doc_id, text
@@ -1259,13 +1260,13 @@ def majority_predict(spark: SparkSession, sf: str) -> DataFrame:
 def _training(spark: SparkSession, sf: str) -> DataFrame:
     return t.documents(spark, sf).select(
         F.col("doc_id").alias("case_id"), F.col("lang").alias("intent"),
-        (F.col("n_chars") >= 2000).alias("escalate"), F.left("text", F.lit(60)).alias("reply"),
+        (F.col("n_chars") >= 2000).alias("escalate"), F.col("text").alias("reply"),
     )
 
 
 VOTES = f"""{q.retrieval(3, 0.0, False)},
 votes AS (
-  SELECT query_id, rank, similarity, lang AS intent, n_chars >= 2000 AS escalate, left(text, 60) AS reply
+  SELECT query_id, rank, similarity, lang AS intent, n_chars >= 2000 AS escalate, text AS reply
   FROM hits JOIN documents ON doc_id = case_id),
 win AS (
   SELECT query_id, intent FROM (SELECT query_id, intent, count(*) AS n, min(rank) AS r FROM votes GROUP BY 1, 2) z
@@ -1383,7 +1384,7 @@ ev AS (
     || chr(10) || 'A: ' || left(d.source, 200) || chr(10), '' ORDER BY rank) AS e
   FROM hits JOIN documents d ON doc_id = case_id GROUP BY 1)
 SELECT query_id, 'CUSTOMER MESSAGE:' || chr(10) || text || chr(10) || chr(10)
-  || 'CONVERSATION CONTEXT:' || chr(10) || '- CUSTOMER: ' || left(text, 20) || chr(10) || chr(10)
+  || 'CONVERSATION CONTEXT:' || chr(10) || '- CUSTOMER: ' || text || chr(10) || chr(10)
   || 'RETRIEVAL CONFIDENCE: ' || confidence || chr(10) || chr(10) || 'EVIDENCE:' || chr(10)
   || coalesce(e, 'None.' || chr(10)) AS prompt
 FROM openings JOIN bands USING (query_id) LEFT JOIN ev USING (query_id)"""
@@ -1404,7 +1405,7 @@ def _prompts(spark: SparkSession, sf: str) -> DataFrame:
         .join(retrieval.evidence_pack(hits, cases), "query_id", "left")
     )
     context = F.array(
-        F.struct(F.lit("customer").alias("speaker"), F.left("customer_message", F.lit(20)).alias("text"))
+        F.struct(F.lit("customer").alias("speaker"), F.col("customer_message").alias("text"))
     )
     return rows.withColumn("context", context).withColumn("prompt", predict.prompt_text())
 
@@ -1603,13 +1604,13 @@ def judge_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {PREDS} SELECT example_id, 'Customer intent: ' || predicted_intent || chr(10) || 'Evidence:' || chr(10)
-  || CASE WHEN quality = 1 THEN '- ' || left(text, 30) ELSE 'None' END || chr(10) || chr(10) || 'Reply:' || chr(10)
+    f"""WITH {PREDS} SELECT example_id, '{evaluate.REVIEW_REQUEST}Customer intent: ' || predicted_intent || chr(10) || 'Evidence:' || chr(10)
+  || CASE WHEN quality = 1 THEN '- ' || text ELSE 'None' END || chr(10) || chr(10) || 'Reply:' || chr(10)
   || text || chr(10) || chr(10) || 'Escalated: ' || predicted_escalate || chr(10) || 'Reason: None' || chr(10) AS request
 FROM ok"""
 )
 def judge_requests(spark: SparkSession, sf: str) -> DataFrame:
-    known = F.array(F.struct(F.left("reply", F.lit(30)).alias("reason")))
+    known = F.array(F.struct(F.col("reply").alias("reason")))
     none = F.array().cast("array<struct<reason:string>>")
     rows = _ok(spark, sf).withColumns(
         {
@@ -1618,10 +1619,7 @@ def judge_requests(spark: SparkSession, sf: str) -> DataFrame:
             "predicted_escalation_reason": F.lit(None).cast("string"),
         }
     )
-    request = evaluate.judge_prompt()
-    return rows.select("example_id", request.alias("r")).select(
-        "example_id", F.concat(F.lit("Customer intent: "), F.substring_index("r", "Customer intent: ", -1)).alias("request")
-    )
+    return rows.select("example_id", evaluate.judge_prompt().alias("request"))
 
 
 @register(

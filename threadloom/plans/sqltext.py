@@ -164,8 +164,8 @@ def tags(text: str, lexicon: Mapping[str, Sequence[str]]) -> str:
     return f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
 
 
-def any_of(text: str, keywords: str) -> str:
-    found = [f"contains(lower({text}), '{w}')" for w in keywords.split("|") if w]
+def any_of(text: str, keywords: Sequence[str]) -> str:
+    found = [f"contains(lower({text}), '{w}')" for w in keywords]
     return "(" + " OR ".join(found) + ")" if found else "false"
 
 

@@ -25,10 +25,10 @@ LANG_HINTS = {
 }
 LANGS = (*LANG_HINTS, "other")
 LANG_RULES = (
-    ("en", " the | with ", " que | der ", "de", "KEEP"),
-    ("es", " que | los ", " les | der ", "fr", "KEEP"),
-    ("fr", " les | une ", " los ", "es", "KEEP"),
-    ("de", " der | und ", "", "en", "KEEP"),
+    ("en", (" the ", " with "), (" que ", " der "), ("de",), "KEEP"),
+    ("es", (" que ", " los "), (" les ", " der "), ("fr",), "KEEP"),
+    ("fr", (" les ", " une "), (" los ",), ("es",), "KEEP"),
+    ("de", (" der ", " und "), (), ("en",), "KEEP"),
 )
 WORD_CONCEPTS = {
     "article": ("the", "der", "la", "el", "les"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators.conversations import CONV, nest_turns
 
+# The columns of the flat form, in order.
 FLAT_COLUMNS = (
     "conversation_id", "turn_number", "tweet_id", "author_id", "speaker", "inbound", "created_at",
     "text", "response_tweet_id", "in_response_to_tweet_id", "customer_author", "brand_author",
@@ -16,12 +17,12 @@ FLAT_COLUMNS = (
 
 
 def nested_conversations(convs: DataFrame, turns: DataFrame, max_turns_per_row: int = 10_000) -> DataFrame:
-    """Conversation rows with their ordered turns."""
+    """Conversation rows with their ordered turns; (conversation, part) is the key, from part 0 on."""
     return convs.drop("start_ts").join(nest_turns(turns, max_turns_per_row), CONV)
 
 
 def write_conversations(nested: DataFrame, path: str, fmt: str = "parquet", mode: str = "error") -> None:
-    """One row (or JSON line) per conversation."""
+    """One row (or JSON line) per conversation and part, whatever the length of conversations."""
     nested.write.format(fmt).mode(mode).save(path)
 
 
