@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,7 +45,15 @@ def flag_false(c: Column | str) -> Column:
     return F.coalesce(F.lower(strip(c)).isin("false", "0", "no"), F.lit(False))
 
 
-def yes_no(c: Column | str) -> Column:
-    """Yes for true / "Yes" / "true" / "True", else No."""
-    value = _col(c).cast("string")
-    return F.when(value.isin("true", "True", "Yes"), "Yes").otherwise("No")
+#: Values of a label that mean yes and no. A boolean column reads as "true" and "false".
+LABEL_YES, LABEL_NO = ("true", "Yes"), ("false", "No")
+
+
+def yes_no(c: Column | str, yes: Sequence[str] = (*LABEL_YES, "True")) -> Column:
+    """Yes for the values in ``yes``, else No."""
+    return F.when(_col(c).cast("string").isin(*yes), "Yes").otherwise("No")
+
+
+def has_error(c: Column | str = "api_error") -> Column:
+    """True where a call failed; null and the empty text both mean that it didn't."""
+    return F.coalesce(_col(c), F.lit("")) != ""

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import first_mention
+from threadloom.session import loose
 
 # -- fixed values: score weights and verdict tiers
 SCORE_WEIGHTS = {"complete": 0.35, "multi": 0.25, "response": 0.20, "customers": 0.10, "length": 0.10}
@@ -87,7 +88,7 @@ def customers_per_brand(tweets: DataFrame, attribution: DataFrame) -> DataFrame:
     lists = attribution.groupBy("thread").agg(F.array_sort(F.collect_set("brand")).alias("brands"))
     authors = tweets.where("inbound").select("thread", "author_id").distinct()
     per_author = (
-        authors.join(lists, "thread")
+        authors.join(loose(lists), "thread")
         .select("author_id", "brands")
         .distinct()
         .groupBy("author_id")

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions.lexicons import INTENTS
+from threadloom.functions.parsing import has_error
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -34,7 +35,7 @@ def latest_predictions(preds: DataFrame, key: str = "example_id", order: str = "
 
 def successful(preds: DataFrame) -> DataFrame:
     """E5: predictions without an API error."""
-    return preds.where(F.coalesce("api_error", F.lit("")) == "")
+    return preds.where(~has_error())
 
 
 def confusion(
@@ -138,7 +139,7 @@ def binary_metrics(
 
 def error_counts(preds: DataFrame) -> DataFrame:
     """Predictions, API errors, and overrides by guardrails."""
-    error = F.coalesce("api_error", F.lit("")) != ""
+    error = has_error()
     fails = F.col("validation_failures")
     override = ~error & (F.size(fails) > 0) & ~F.array_contains(fails, "LLM Error")
     return preds.agg(
@@ -326,7 +327,7 @@ def failure_breakdown(preds: DataFrame) -> DataFrame:
         )
     )
     e = F.lower("api_error")
-    api = preds.where(F.coalesce("api_error", F.lit("")) != "").select(
+    api = preds.where(has_error()).select(
         F.lit("api").alias("source"),
         F.when(is_rate_limit("api_error"), "rate_limit")
         .when(e.contains("json"), "invalid_json")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.parsing import safe_long
-from threadloom.session import cut_lineage
+from threadloom.session import cut_lineage, loose
 
 
 def reply_edges(tweets: DataFrame, split_multi: bool = False) -> DataFrame:
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Alternates large-star and small-star steps until nothing changes. The
     minimum per vertex is combined before the shuffle, and the join that hands
-    it back matches each edge to one row, so a hub can be split by AQE. The edge
+    it back matches each edge to one row and has plain exchanges on both sides,
+    so AQE can split a hub. The edge
     list is checkpointed every round: the plan stays short and the loop goes on
     after the loss of an executor.
     """
@@ -65,14 +66,14 @@ def _large_star(pairs: DataFrame) -> DataFrame:
     """Link every larger neighbour of a vertex to the smallest vertex around it."""
     around = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    larger = around.where("v > u").join(least, "u")
+    larger = around.where("v > u").join(loose(least), "u")
     return larger.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
     """Link a vertex and its smaller neighbours to the smallest of them."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    moved = pairs.join(least, "u").where("v <> m").select(
+    moved = pairs.join(loose(least), "u").where("v <> m").select(
         F.col("v").alias("u"), F.col("m").alias("v")
     )
     kept = least.select("u", F.col("m").alias("v"))
@@ -101,7 +102,7 @@ def thread_of_tweets(tweet_ids: DataFrame, components: DataFrame) -> DataFrame:
     )
     placed = placed.withColumn("component", F.coalesce("component", "tweet_id"))
     names = placed.groupBy("component").agg(F.min("tweet_id").alias("thread"))
-    return placed.join(names, "component").select("tweet_id", "thread")
+    return placed.join(loose(names), "component").select("tweet_id", "thread")
 
 
 def select_brand_threads(tweets: DataFrame, brands: list[str]) -> DataFrame:
@@ -111,4 +112,4 @@ def select_brand_threads(tweets: DataFrame, brands: list[str]) -> DataFrame:
     """
     lowered = [b.lower() for b in brands]
     wanted = tweets.where(F.lower("author_id").isin(lowered)).select("thread").distinct()
-    return tweets.join(wanted, "thread", "left_semi")
+    return tweets.join(loose(wanted), "thread", "left_semi")

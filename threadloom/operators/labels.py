@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.lexicons import INTENTS, OTHER
-from threadloom.functions.parsing import yes_no
+from threadloom.functions.parsing import LABEL_NO, LABEL_YES, yes_no
 from threadloom.functions.text import fingerprint, strip, word_count
+from threadloom.session import loose
 
 LABEL_FIELDS = ("human_intent", "human_escalate", "human_reason", "annotation_notes")
 REQUIRED_FIELDS = (
@@ -65,10 +66,13 @@ def blind_view(candidates: DataFrame) -> DataFrame:
 
 
 def label_violations(
-    rows: DataFrame, expected: int | None = 200, intents: Sequence[str] = INTENTS
+    rows: DataFrame, expected: int | None = 200, intents: Sequence[str] = INTENTS,
+    escalate_values: Sequence[str] = (*LABEL_YES, *LABEL_NO),
 ) -> DataFrame:
     """L4: (rule, example_id, detail) for every broken hard rule.
 
+    ``escalate_values`` are the accepted texts; a boolean column reads as "true" and "false".
+
     Duplicates name every copy after the first in id order; rules on single
     rows are checked in one pass.
     """
@@ -86,7 +90,7 @@ def label_violations(
     )
     checks.append(
         F.when(
-            ~escalate.isin("true", "false", "True", "False", "Yes", "No"),
+            ~escalate.isin(*escalate_values),
             entry("invalid_escalate", escalate),
         )
     )
@@ -101,7 +105,7 @@ def label_violations(
         "example_id", fingerprint("customer_message").alias("fp")
     )
     firsts = keyed.groupBy("fp").agg(F.min("example_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    same_text = keyed.join(firsts, "fp").where(F.col("example_id") != F.col("first")).select(
+    same_text = keyed.join(loose(firsts), "fp").where(F.col("example_id") != F.col("first")).select(
         F.lit("duplicate_message").alias("rule"), "example_id", F.col("first").cast("string").alias("detail")
     )
     out = single.unionByName(same_id).unionByName(same_text)
@@ -128,7 +132,7 @@ def label_warnings(rows: DataFrame, other: str = OTHER) -> DataFrame:
     notes = strip("annotation_notes")
     no_reason = F.coalesce(F.col("human_reason"), F.lit("")) == ""
     marks = F.array(
-        F.when((yes_no("human_escalate") == "Yes") & no_reason, "escalate_without_reason"),
+        F.when((yes_no("human_escalate", LABEL_YES) == "Yes") & no_reason, "escalate_without_reason"),
         F.when((F.coalesce("annotation_notes", F.lit("")) != "") & (F.length(notes) < 5), "short_notes"),
         F.when(F.col("human_intent") == other, "other_or_unclear"),
         F.when(words < 3, "short_message").when(words > 100, "long_message"),

@@ -22,6 +22,7 @@ from threadloom.functions.lexicons import (
     SHORT_STOCK_REPLY,
     STOCK_REPLY,
 )
+from threadloom.functions.parsing import has_error
 from threadloom.functions.text import word_count
 from threadloom.operators.tagging import silver_escalation, silver_label, tag_intents
 
@@ -166,7 +167,7 @@ def draft(
                          bool(got["escalate"]), got.get("escalation_reason"), None)
                     )
                 except Exception as error:  # any failure of the callable is data here
-                    reason = f"Generation/Parsing Error: {error}"
+                    reason = f"LLM Generation/Parsing Error: {error}"
                     rows.append((str(query_id), OTHER, 0.0, OUTAGE_REPLY, True, reason, str(error)))
             yield pd.DataFrame(rows, columns=names)
 
@@ -215,6 +216,7 @@ def grounding_failures(
     words = word_count(reply)
     known = F.coalesce(F.col("intent").isin(list(intents)), F.lit(False))
     no_reason = F.coalesce(F.col("escalation_reason"), F.lit("")) == ""
+    # The failure messages.
     single = F.array(
         F.when(~known, F.concat(F.lit("Invalid intent: "), F.coalesce("intent", F.lit("")))),
         F.when(words == 0, F.lit("Empty reply generated.")).when(
@@ -260,10 +262,10 @@ def apply_safety(drafts: DataFrame, **rules: object) -> DataFrame:
     """
     checked = drafts.withColumn("_text", evidence_text())
     failures = F.when(
-        F.col("api_error").isNotNull(), F.array(F.lit("LLM Error"))
+        has_error(), F.array(F.lit("LLM Error"))
     ).otherwise(grounding_failures(F.col("_text"), **rules))
     checked = checked.withColumn("validation_failures", failures)
-    unsafe = F.col("api_error").isNull() & (F.size("validation_failures") > 0)
+    unsafe = ~has_error() & (F.size("validation_failures") > 0)
     reason = F.concat(
         F.lit("Grounding Validation Failures: "), F.array_join("validation_failures", ", ")
     )

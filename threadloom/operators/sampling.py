@@ -12,7 +12,7 @@ from threadloom.functions.lexicons import DIFFICULT, INTENT_HINTS, OTHER, QUOTAS
 from threadloom.functions.ordering import hash_rank, sample_key, take_by_hash
 from threadloom.functions.text import fingerprint, word_count
 from threadloom.operators.tagging import tag_intents
-from threadloom.session import cut_lineage
+from threadloom.session import cut_lineage, loose
 
 CONV = "conversation_id"
 
@@ -199,7 +199,7 @@ def leaking_turns(turns: DataFrame, golden: DataFrame) -> DataFrame:
     """Customer turns whose fingerprint is that of a golden message."""
     texts = golden.select(fingerprint("customer_message").alias("fp")).distinct()
     said = turns.where(F.col("speaker") == "customer").withColumn("fp", fingerprint("text"))
-    return said.join(texts, "fp", "left_semi")
+    return said.join(loose(texts), "fp", "left_semi")
 
 
 def leakage_audit(turns: DataFrame, golden: DataFrame, splits: DataFrame) -> DataFrame:

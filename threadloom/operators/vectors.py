@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.lexicons import CONCEPTS
 from threadloom.functions.text import WORD
+from threadloom.session import loose
 
 
 def term_counts(tokens: DataFrame) -> DataFrame:
@@ -34,13 +35,13 @@ def inverse_document_frequency(counts: DataFrame, n_docs: Column) -> DataFrame:
 def tfidf(tokens: DataFrame, docs: DataFrame) -> DataFrame:
     """V2: (doc_id, term, w), each document scaled to length one.
 
-    The idf side is one row per term; AQE broadcasts it when it turns out small
-    and otherwise splits the postings of very common terms.
+    The idf side is one row per term, with an exchange of its own; AQE broadcasts
+    it when it turns out small and otherwise splits the postings of very common terms.
     """
     counts = term_counts(tokens)
     n_docs = docs.agg(F.count("*").alias("n")).scalar()
     idf = inverse_document_frequency(counts, n_docs)
-    raw = counts.join(idf, "term").select(
+    raw = counts.join(loose(idf), "term").select(
         "doc_id", "term", (F.col("n") / F.col("doc_len") * F.col("idf")).alias("x")
     )
     return unit_length(raw, "doc_id", "term", "x")

@@ -53,6 +53,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def loose(reduced: DataFrame) -> DataFrame:
+    """Take a reduced side out of its partitioning before it is joined on its key.
+
+    A side that is aggregated by the join key already lies as the join wants it,
+    so it enters without an exchange of its own, and AQE splits a hot key of the
+    other side only between two plain exchanges. The rows moved once more are the
+    reduced ones.
+    """
+    n = reduced.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    return reduced.repartition(int(n))
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Give a file scan at least one partition per core.
 

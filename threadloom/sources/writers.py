@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators.conversations import CONV, nest_turns
+from threadloom.session import loose
 
 # The columns of the flat form, in order.
 FLAT_COLUMNS = (
@@ -33,7 +35,7 @@ def flatten_turns(convs: DataFrame, turns: DataFrame) -> DataFrame:
         F.col("start_time").alias("conversation_start"), F.col("end_time").alias("conversation_end"),
         "num_turns", "brand_responded", "is_multi_turn", "is_flagged", "flag_reason",
     )
-    return turns.join(meta, CONV).select(*FLAT_COLUMNS)
+    return turns.join(loose(meta), CONV).select(*FLAT_COLUMNS)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
@@ -77,7 +79,7 @@ def completed_ids(spark: SparkSession, path: str, key: str = "example_id") -> Da
     """Ids already in the output folder, or None before the first run."""
     try:
         return spark.read.parquet(path).select(key).distinct()
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
