@@ -42,7 +42,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     pairs = cut_lineage(pairs)
     mark = _mark(pairs)
     for _ in range(max_rounds):
-        pairs = cut_lineage(_small_star(_large_star(pairs)))
+        large = cut_lineage(_large_star(pairs))  # read twice by the next step
+        pairs = cut_lineage(_small_star(large))
         new_mark = _mark(pairs)
         if new_mark == mark:
             roots = pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()

@@ -29,9 +29,20 @@ def build_session(app: str = "threadloom", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def drop_used_shuffles(spark: SparkSession) -> None:
+    """Have Spark remove a query's shuffle files when the query ends.
+
+    Jobs of many steps would otherwise keep the files of all steps on disk until
+    the driver's garbage collector finds them. It holds for frames made after
+    this call; a frame that is run again shuffles again.
+    """
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's spark.checkpoint.dir; fall back only in local mode."""
     sc = spark.sparkContext
+    drop_used_shuffles(spark)
     if sc.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -83,6 +94,7 @@ def ship_package(spark: SparkSession) -> None:
     the executors. The archive is sent by Spark's own file service.
     """
     sc = spark.sparkContext
+    drop_used_shuffles(spark)
     if getattr(sc, "_threadloom_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="spark-")
