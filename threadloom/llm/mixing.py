@@ -176,14 +176,13 @@ def fitted(histogram: DataFrame) -> DataFrame:
     ship_package(histogram.sparkSession)
 
     def run(group):
-        group = group[group["size"] > 0].sort_values("size")
-        if len(group):
+        group = group.sort_values("size").assign(passes=0, chosen=0)
+        some = (group["size"] > 0).to_numpy()
+        if some.any():
             whole, target = int(group["source_size"].iloc[0]), round(float(group["target"].iloc[0]))
-            passes = target // whole
-            chosen = fit(group["size"].to_numpy(np.int64), group["count"].to_numpy(np.int64), target - passes * whole)
-            group = group.assign(passes=passes, chosen=chosen)
-        else:
-            group = group.assign(passes=0, chosen=0)
+            sizes, counts = (group.loc[some, c].to_numpy(np.int64) for c in ("size", "count"))
+            group.loc[some, "passes"] = target // whole
+            group.loc[some, "chosen"] = fit(sizes, counts, target % whole)
         return group[["source", "size", "count", "passes", "chosen"]]
 
     return histogram.groupBy("source").applyInPandas(run, "source string, size long, count long, passes long, chosen long")
