@@ -69,3 +69,27 @@ def test_leaking_turns(skewed):
     out = sampling.leaking_turns(turns, golden)
     assert "skew=true" in final_plan(out)
     assert out.count() == 19_600
+
+
+def test_quantiles_with_an_outlier(skewed):
+    """One huge value doesn't press the others into one slice."""
+    import numpy as np
+
+    from threadloom.functions import ordering
+
+    seen = []
+    offsets = ordering._with_offsets
+
+    def watched(df, bucket, weight):
+        seen.append([r["n"] for r in df.groupBy(bucket).agg(F.count("*").alias("n")).collect()])
+        return offsets(df, bucket, weight)
+
+    ordering._with_offsets = watched
+    try:
+        df = skewed.range(20_000).select(F.when(F.col("id") == 0, 1e12).otherwise(F.col("id").cast("double")).alias("x"))
+        got = {r["prob"]: r["x"] for r in ordering.quantiles(df, "x", [0.1, 0.5, 0.999]).collect()}
+    finally:
+        ordering._with_offsets = offsets
+    values = np.array([1e12, *range(1, 20_000)])
+    assert all(abs(got[p] - np.quantile(values, p)) < 1e-6 for p in got) and len(got) == 3
+    assert len(seen[0]) > 4 and max(seen[0]) < 8_000

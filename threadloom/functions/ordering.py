@@ -59,21 +59,19 @@ def take_by_hash(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) ->
     )
 
 
-def quantiles(df: DataFrame, value: str, probs: Sequence[float], slices: int = 2048) -> DataFrame:
+def quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> DataFrame:
     """Exact interpolated quantiles of a numeric column, one row per probability.
 
     Equal values are counted first, so a value shared by most rows is one row.
-    The counts are then cut into equal-width slices and summed slice by slice.
+    The counts are then range-sorted: slices have bounds sampled from the values,
+    so outliers don't press the rest into a few slices. Sums run slice by slice.
     """
     freq = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(
         F.count("*").alias("c")
     )
-    ends = freq.agg(
-        F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n")).alias("e")
-    ).scalar()
-    lo, hi, n = (ends.getField(name) for name in ("lo", "hi", "n"))
-    width = F.greatest(hi - lo, F.lit(1e-300))
-    freq = freq.withColumn("_slice", F.floor((F.col("v") - lo) / width * slices))
+    ranged = freq.repartitionByRange("v").sortWithinPartitions("v")
+    freq = cut_lineage(ranged.withColumn("_slice", F.spark_partition_id()))
+    n = freq.agg(F.sum("c")).scalar()
     freq = _with_offsets(freq, "_slice", F.col("c"))
     upto = F.sum("c").over(
         W.partitionBy("_slice").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
