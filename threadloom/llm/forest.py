@@ -35,6 +35,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.llm.batches import map_batches
@@ -47,10 +48,10 @@ SHINGLE = 5
 TREES, DEPTH, LABEL = 32, 3, 8
 VALUES = TREES * DEPTH
 ESTIMATE = 0.55
-BLOCK = 2048
+BLOCK = 512
 SALTS = 16
-#: Candidates per class in the first completion pass; the second has no limit.
-FIRST_BEST = 8
+#: Candidates per class among neighbours and in the first completion pass; the last pass has no limit.
+FIRST_BEST = 4
 
 _MULTIPLIERS = mix(np.arange(1, VALUES + 1, dtype=np.uint64), 9) | np.uint64(1)
 #: Tree t reads the signature from its own place onward.
@@ -84,23 +85,28 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, h, n_shingles, cls, sig) per document; cls, the digest of its set, and sig are null without words."""
+    """(id, h, n_shingles, cls, sig, low) per document; low has the signature's low 16 bits, enough to estimate.
+
+    cls, the digest of the set, and the signature are null without words.
+    """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            n, cls, sig = [], [], []
+            n, cls, sig, low = [], [], [], []
             for s in shingle_sets(batch.column("text")):
                 n.append(len(s))
                 cls.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sig.append(signature(s).tobytes() if len(s) else None)
+                values = signature(s) if len(s) else None
+                sig.append(values.tobytes() if len(s) else None)
+                low.append(values.astype(np.uint16).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())],
-                ["id", "h", "n_shingles", "cls", "sig"],
+                [batch.column("id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())],
+                ["id", "h", "n_shingles", "cls", "sig", "low"],
             )
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    return map_batches(rows, run, f"id {kind}, h long, n_shingles long, cls binary, sig binary")
+    return map_batches(rows, run, f"id {kind}, h long, n_shingles long, cls binary, sig binary, low binary")
 
 
 def _fixed(column: pa.Array, width: int) -> np.ndarray:
@@ -180,17 +186,31 @@ def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes allow the similarity and whose signatures agree well enough."""
+    """(a, b, estimate) for pairs whose sizes allow the similarity and whose signatures agree well enough."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            x, y = (_fixed(batch.column(c), 4 * VALUES).copy().view(np.uint32) for c in ("sig_a", "sig_b"))
-            yield batch.filter(pa.array((x == y).mean(1) >= ESTIMATE)).select(["a", "b"])
+            x, y = (_fixed(batch.column(c), 2 * VALUES).copy().view(np.uint16) for c in ("low_a", "low_b"))
+            estimate = (x == y).mean(1) if len(x) else np.zeros(0)
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(estimate)], ["a", "b", "estimate"])
+            yield out.filter(pa.array(estimate >= ESTIMATE))
 
-    side = lambda s: classes.select(F.col("cls").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("n_shingles").alias(f"n_{s}"))
+    side = lambda s: classes.select(F.col("cls").alias(s), F.col("low").alias(f"low_{s}"), F.col("n_shingles").alias(f"n_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     near = both.where(100 * F.least("n_a", "n_b") >= 75 * F.greatest("n_a", "n_b"))
-    return map_batches(near.select("a", "b", "sig_a", "sig_b"), run, "a binary, b binary")
+    return map_batches(near.select("a", "b", "low_a", "low_b"), run, "a binary, b binary, estimate double")
+
+
+def best_of_each(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) that are among the ``FIRST_BEST`` best estimates of one of the two.
+
+    A class has at most two neighbours per tree, so the ranked groups are small.
+    What is left out here comes up again in the completion if it is still needed.
+    """
+    ends = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")
+    both = pairs.select("estimate", ends).select("estimate", "e.x", "e.y")
+    rank = F.row_number().over(W.partitionBy("x").orderBy(F.desc("estimate"), "y"))
+    return _ordered(both.withColumn("rank", rank).where(F.col("rank") <= FIRST_BEST), "x", "y")
 
 
 def _involved_texts(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> DataFrame:
@@ -259,7 +279,7 @@ def _blocks(members: DataFrame, components: DataFrame, classes: DataFrame) -> Da
     return both.join(classes.select("cls", "sig", "n_shingles"), "cls").select("block", "asks", "cls", "comp", "sig", "n_shingles")
 
 
-def _ask(group: dict[str, np.ndarray], limit: int | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _ask(group: dict[str, np.ndarray], tree: int, limit: int | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
     asks = group["asks"]
     q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
     left, right = [], []
@@ -269,8 +289,11 @@ def _ask(group: dict[str, np.ndarray], limit: int | None) -> tuple[list[np.ndarr
         other = other[100 * np.minimum(n, group["n"][i]) >= 75 * np.maximum(n, group["n"][i])]
         if not len(other):
             continue
-        estimate = (group["sig"][other] == group["sig"][i]).mean(1)
-        good = np.flatnonzero(estimate >= ESTIMATE)
+        equal = group["sig"][other] == group["sig"][i]
+        estimate = equal.mean(1)
+        # a pair that shares regions of several trees counts in the first of them
+        first = equal.reshape(-1, TREES, DEPTH).all(2).argmax(1)
+        good = np.flatnonzero((estimate >= ESTIMATE) & (first == tree))
         if limit and len(good) > limit:
             good = good[np.argsort(-estimate[good], kind="stable")[:limit]]
         left += [group["cls"][i]] * len(good)
@@ -293,7 +316,8 @@ def asked(blocks: DataFrame, limit: int | None) -> DataFrame:
             left, right, i = [], [], 0
             for j in range(1, len(blocks_) + 1):
                 if j == len(blocks_) or blocks_[j] != blocks_[i]:
-                    a, b = _ask({k: v[i:j] for k, v in cols.items()}, limit)
+                    tree = int.from_bytes(blocks_[i][:4], "big")
+                    a, b = _ask({k: v[i:j] for k, v in cols.items()}, tree, limit)
                     left += a
                     right += b
                     i = j
@@ -356,12 +380,12 @@ def grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = cut_lineage(signatures(docs, doc_id, text))
     # One class per set, with the smallest id and one document to read its text from.
     classes = rows.where("cls is not null").groupBy("cls").agg(
-        F.min("id").alias("least"), F.count("*").alias("copies"), F.min(F.struct("id", "h", "n_shingles", "sig")).alias("r")
+        F.min("id").alias("least"), F.count("*").alias("copies"), F.min(F.struct("id", "h", "n_shingles", "sig", "low")).alias("r")
     )
     classes = cut_lineage(classes.select("cls", "least", "copies", "r.*"))
     near = cut_lineage(neighbours(tree_entries(classes)))
     members = near.where("region is not null").select("region", "cls").distinct()
-    pairs = cut_lineage(likely(_ordered(near.where("other is not null"), "cls", "other"), classes))
+    pairs = cut_lineage(best_of_each(likely(_ordered(near.where("other is not null"), "cls", "other"), classes)))
     links = cut_lineage(confirm(pairs, docs, classes, doc_id, text))
     tested = pairs
     for limit in (FIRST_BEST, None):
