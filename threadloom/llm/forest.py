@@ -8,14 +8,12 @@ the forest with its signature read in that tree's order, and the tree is sorted.
 1. Neighbours. In every tree the classes next to each other are candidates: with
    a common prefix of ``DEPTH`` values, or one less where a class has no such
    neighbour. In a dense region the sort itself goes deeper, so neighbours there
-   share as much as anything does. This gives a few candidates per class, however
-   many copies a region holds, and joins most of each group.
+   share as much as anything does. The ``FIRST_BEST`` likeliest of each class are
+   confirmed, which joins most of each group, however many copies it holds.
 2. Completion. Regions (a tree's classes with a common prefix of ``DEPTH`` values)
    whose classes are not yet all in one component are looked at again: classes
    outside the region's largest component meet all classes of other components,
-   block by block, and pairs whose signatures agree well enough are candidates;
-   first the best few of each class, then, with the components that these give,
-   all that are left. No cap remains at the end.
+   block by block, and all pairs whose signatures agree well enough are candidates.
 
 All candidates are confirmed on full sets: 100 * intersection >= 75 * union.
 A pair of similarity 0.75 misses all 32 regions with probability 3e-8, and a
@@ -50,7 +48,7 @@ VALUES = TREES * DEPTH
 ESTIMATE = 0.55
 BLOCK = 512
 SALTS = 16
-#: Candidates per class among neighbours and in the first completion pass; the last pass has no limit.
+#: Neighbours of a class that are confirmed first. What this leaves out is left to the completion, which has no limit.
 FIRST_BEST = 4
 
 _MULTIPLIERS = mix(np.arange(1, VALUES + 1, dtype=np.uint64), 9) | np.uint64(1)
@@ -279,7 +277,7 @@ def _blocks(members: DataFrame, components: DataFrame, classes: DataFrame) -> Da
     return both.join(classes.select("cls", "sig", "n_shingles"), "cls").select("block", "asks", "cls", "comp", "sig", "n_shingles")
 
 
-def _ask(group: dict[str, np.ndarray], tree: int, limit: int | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _ask(group: dict[str, np.ndarray], tree: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     asks = group["asks"]
     q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
     left, right = [], []
@@ -294,15 +292,13 @@ def _ask(group: dict[str, np.ndarray], tree: int, limit: int | None) -> tuple[li
         # a pair that shares regions of several trees counts in the first of them
         first = equal.reshape(-1, TREES, DEPTH).all(2).argmax(1)
         good = np.flatnonzero((estimate >= ESTIMATE) & (first == tree))
-        if limit and len(good) > limit:
-            good = good[np.argsort(-estimate[good], kind="stable")[:limit]]
         left += [group["cls"][i]] * len(good)
         right += list(group["cls"][other[good]])
     return left, right
 
 
-def asked(blocks: DataFrame, limit: int | None) -> DataFrame:
-    """Candidate pairs (a, b) of different components inside blocks; with a limit the best of each asking class."""
+def asked(blocks: DataFrame) -> DataFrame:
+    """All likely pairs (a, b) of different components inside blocks."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -317,7 +313,7 @@ def asked(blocks: DataFrame, limit: int | None) -> DataFrame:
             for j in range(1, len(blocks_) + 1):
                 if j == len(blocks_) or blocks_[j] != blocks_[i]:
                     tree = int.from_bytes(blocks_[i][:4], "big")
-                    a, b = _ask({k: v[i:j] for k, v in cols.items()}, tree, limit)
+                    a, b = _ask({k: v[i:j] for k, v in cols.items()}, tree)
                     left += a
                     right += b
                     i = j
@@ -375,6 +371,25 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return first
 
 
+def _named(links: DataFrame) -> DataFrame:
+    """(cls, component) of all linked classes."""
+    found = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return cut_lineage(found.select(F.col("id").alias("cls"), "component"))
+
+
+def _joined(found: DataFrame, more: DataFrame) -> DataFrame:
+    """The components with some links more: only those links are walked, between whole components."""
+    if more.isEmpty():
+        return found
+    end = lambda s: found.select(F.col("cls").alias(s), F.col("component").alias(f"_{s}"))
+    ends = more.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    ends = cut_lineage(ends.select("a", "b", F.coalesce("_a", "a").alias("src"), F.coalesce("_b", "b").alias("dst")))
+    top = connected_components(ends).select(F.col("id").alias("component"), F.col("component").alias("_top"))
+    pairs = F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("src").alias("component")), F.struct(F.col("b").alias("cls"), F.col("dst").alias("component"))))
+    nodes = found.unionByName(ends.select(pairs.alias("e")).select("e.*")).distinct()
+    return cut_lineage(nodes.join(top, "component", "left").select("cls", F.coalesce("_top", "component").alias("component")))
+
+
 def grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(id, h, n_shingles, component_id, group) per row; group tells components apart and is null without words."""
     rows = cut_lineage(signatures(docs, doc_id, text))
@@ -387,18 +402,10 @@ def grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     members = near.where("region is not null").select("region", "cls").distinct()
     pairs = cut_lineage(best_of_each(likely(_ordered(near.where("other is not null"), "cls", "other"), classes)))
     links = cut_lineage(confirm(pairs, docs, classes, doc_id, text))
-    tested = pairs
-    for limit in (FIRST_BEST, None):
-        found = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        found = cut_lineage(found.select(F.col("id").alias("cls"), "component"))
-        pairs = asked(_blocks(members, found, classes), limit)
-        pairs = cut_lineage(pairs.join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        links = cut_lineage(links.unionByName(confirm(pairs, docs, classes, doc_id, text)))
-        tested = tested.unionByName(pairs)
-    found = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    found = found.select(F.col("id").alias("cls"), "component")
+    found = _named(links)
+    pairs = cut_lineage(asked(_blocks(members, found, classes)).join(pairs, ["a", "b"], "left_anti"))
+    more = cut_lineage(confirm(pairs, docs, classes, doc_id, text))
+    found = _joined(found, more)
     linked = found.join(classes, "cls")
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = linked.select("cls", "component").join(least, "component").select("cls", "component_id", F.col("component").alias("group"))
