@@ -5,9 +5,9 @@ lower-cased; with fewer words the whole sequence is one shingle). Documents with
 equal sets form one class and are handled once. Each class enters every tree of
 the forest with its signature read in that tree's order, and the tree is sorted.
 
-1. Neighbours. In every tree the classes next to each other are candidates: with
-   a common prefix of ``DEPTH`` values, or one less where a class has no such
-   neighbour. In a dense region the sort itself goes deeper, so neighbours there
+1. Neighbours. In every tree a class and that of its two neighbours with the longer
+   common prefix are candidates, if this has ``DEPTH`` values, or one less where a
+   class has no such neighbour. In a dense region the sort itself goes deeper, so neighbours there
    share as much as anything does. The ``FIRST_BEST`` likeliest of each class are
    confirmed, which joins most of each group, however many copies it holds.
 2. Completion. Regions (a tree's classes with a common prefix of ``DEPTH`` values)
@@ -163,7 +163,9 @@ def neighbours(entries: DataFrame) -> DataFrame:
             n = len(label)
             before, behind = np.append(joined, deep), np.append(deep, False)
             alone = ~(before | behind)
-            pair = np.flatnonzero(deep | ((depth == DEPTH - 1) & (alone[1:] | alone[:-1]))) + 1
+            # of its two neighbours a class takes the one with the longer common prefix
+            longer = (depth >= np.append(depth[1:], -2)) | (depth > np.append(-2, depth[:-1]))
+            pair = np.flatnonzero(longer & (deep | ((depth == DEPTH - 1) & (alone[1:] | alone[:-1])))) + 1
             member = before | behind
             member[-1] = True  # may belong with the next batch; given again there if it does
             member[0] = True
