@@ -32,7 +32,7 @@ from threadloom.llm.words import slices
 
 WINDOW = 256
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 12, 8
-PER_LANGUAGE = 1500
+PER_LANGUAGE = 1000
 UNKNOWN = "und"
 #: Windows that go through the network at once.
 AT_ONCE = 256
