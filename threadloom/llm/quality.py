@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.keyfilter import mark_maybe
+from threadloom.session import cut_lineage
 
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
@@ -88,9 +89,10 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text
     key = trusted.select(F.col(doc_id).alias("_id")).where("_id is not null").distinct().withColumn("_k", F.xxhash64("_id"))
     rows = docs.select(doc_id, text)
     some = mark_maybe(rows.withColumn("_k", F.xxhash64(doc_id)), key, "_k", "_maybe").where("_maybe")
-    some = some.join(key.select("_id"), F.col(doc_id) == F.col("_id"), "left_semi")
+    # The ids grow with the labels, so they are merged at every size and never broadcast.
+    some = some.join(key.select("_id").hint("merge"), F.col(doc_id) == F.col("_id"), "left_semi")
     both = _counts(rows, text, "n_all").join(_counts(some, text, "n_trusted"), "bucket", "left")
-    both = both.withColumn("n_trusted", F.coalesce("n_trusted", F.lit(0)))
+    both = cut_lineage(both.withColumn("n_trusted", F.coalesce("n_trusted", F.lit(0))))  # read for the sums and for the ratios
     sums = both.agg(F.struct(F.sum("n_all").alias("a"), F.sum("n_trusted").alias("t")).alias("s")).scalar()
     share = lambda n, s: F.log((n + SMOOTHING) / (s + SMOOTHING * BUCKETS))
     ratio = share(F.col("n_trusted"), sums.getField("t")) - share(F.col("n_all"), sums.getField("a"))
