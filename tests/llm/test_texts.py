@@ -178,6 +178,20 @@ def test_components_equal_brute_force(spark, texts, monkeypatch, block, best):
     assert got["kept"].tolist() == [i == c for i, (_, c) in zip(ids, want)]
 
 
+@pytest.mark.parametrize("block", [forest.BLOCK, 3])
+def test_completion_alone_equals_brute_force(spark, texts, monkeypatch, block):
+    """No neighbour pair is confirmed first, so only the completion links, in every tree."""
+    monkeypatch.setattr(forest, "BLOCK", block)
+    monkeypatch.setattr(forest, "FIRST_BEST", 0)
+    rnd = random.Random(11)
+    base = [f"v{rnd.randint(0, 999)}" for _ in range(100)]
+    alike = [" ".join(base[:i] + [f"new{i}"] + base[i + 1 :]) for i in range(0, 100, 4)]
+    some = texts + alike
+    ids = [7 * i % 1009 for i in range(len(some))]
+    got = forest.components(frame(spark, some, ids).repartition(4)).toPandas().set_index("id").loc[ids]
+    assert list(zip(got["n_shingles"], got["component_id"])) == brute_components(some, ids)
+
+
 def test_keep_one(spark, texts):
     ids = list(range(len(texts)))
     want = {c for (n, c) in brute_components(texts, ids) if n} | {i for i, t in enumerate(texts) if not words_of(t)}

@@ -130,9 +130,10 @@ def tree_entries(classes: DataFrame) -> DataFrame:
             for i in range(0, whole.num_rows, 1024):
                 batch = whole.slice(i, 1024)
                 sigs = _fixed(batch.column("sig"), 4 * VALUES).copy().view(np.uint32)
-                labels = sigs[:, _ORDERS].astype(">u4")
-                trees = np.broadcast_to(np.arange(TREES, dtype=">u4")[None, :, None], (len(sigs), TREES, 1))
-                rows = np.concatenate([trees, labels], axis=2).reshape(len(sigs) * TREES, LABEL + 1)
+                labels = sigs[:, _ORDERS]
+                trees = np.broadcast_to(np.arange(TREES, dtype=np.uint32)[None, :, None], (len(sigs), TREES, 1))
+                # cast after concatenate, which gives native byte order; asked() reads the tree's number big-endian
+                rows = np.concatenate([trees, labels], axis=2).astype(">u4").reshape(len(sigs) * TREES, LABEL + 1)
                 cls = np.repeat(_fixed(batch.column("cls"), 16), TREES, axis=0)
                 yield pa.RecordBatch.from_arrays([_binary(rows), _binary(cls)], ["label", "cls"])
 
