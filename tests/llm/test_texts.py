@@ -371,6 +371,22 @@ def test_syncmers_are_free_of_context():
     assert anchors(inner) <= anchors(b"some other start " + inner) | set()
 
 
+def long_text(seed, n):
+    rnd = random.Random(seed)
+    return "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)).encode()
+
+
+def test_fingerprints_grow_with_the_text():
+    """Sixty changed characters of 120,000 show wherever they are."""
+    text = long_text(1, 120_000)
+    own = syncmers.sketches([text])[0]
+    assert len(own) > 20_000
+    for at in range(0, 120_000, 10_000):
+        other = syncmers.sketches([text[:at] + long_text(at + 2, 60) + text[at + 60 :]])[0]
+        assert syncmers.hexed(other) != syncmers.hexed(own)
+        assert 0.99 < syncmers.likeness(own, other) < 1
+
+
 # ---------------------------------------------------------------- quality
 
 

@@ -2,14 +2,12 @@
 
 A run of 12 bytes is a closed syncmer if the least of the nine four-byte runs in
 it stands at one of its two ends. That depends on the 12 bytes alone, so an
-anchor survives any edit that doesn't touch it. A fingerprint holds the ``KEPT``
-anchors with the least hashes, each with its first place: a sample of the whole
-text that any two documents draw alike.
+anchor survives any edit that doesn't touch it. A fingerprint holds all distinct
+anchors of a text by hash, each with its first place, so it grows with the text.
 
-The likeness of two fingerprints counts anchors that both hold, below the hash up
-to which both are complete, and of these only the largest set that is shifted
-by the same distance (within ``SLACK`` bytes): twice their number over the anchors
-compared. Equal texts have likeness 1.
+The likeness of two fingerprints counts anchors that both hold, and of these only
+the largest set that is shifted by the same distance (within ``SLACK`` bytes):
+twice their number over all anchors. Equal texts have likeness 1.
 
 Cases: null texts count as empty and have an empty fingerprint, which is like
 another empty one (1) and unlike all others (0); a text without a syncmer is
@@ -24,6 +22,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +31,6 @@ from threadloom.llm.batches import extended, map_batches, put
 from threadloom.llm.words import mix
 
 LONG, SHORT = 12, 4
-KEPT = 64
 SLACK = 64
 #: Parts of the id order for each shuffle partition.
 PARTS = 4
@@ -41,7 +39,7 @@ RUN = 1 << 21
 
 
 def sketches(texts: list[bytes]) -> list[np.ndarray]:
-    """For each text rows (hash, place) of its kept anchors, by hash."""
+    """For each text rows (hash, place) of its anchors, by hash."""
     out: list[np.ndarray] = []
     i = 0
     while i < len(texts):
@@ -81,7 +79,7 @@ def _sketch_run(texts: list[bytes]) -> list[np.ndarray]:
         at, doc, hashes = at[new], doc[new], hashes[new]
         first = np.searchsorted(doc, np.arange(len(texts) + 1))
         rows = np.stack([hashes.astype(">u4"), (at - offsets[doc]).astype(">u4")], axis=1)
-        found = [rows[a : min(b, a + KEPT)] for a, b in zip(first[:-1], first[1:])]
+        found = [rows[a:b] for a, b in zip(first[:-1], first[1:])]
     for d, text in enumerate(texts):
         if text and not len(found[d]):
             found[d] = np.array([[int.from_bytes(sha256(text).digest()[:4], "big"), 0]], ">u4")
@@ -92,10 +90,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Share of anchors in common at one shift, from 0 to 1."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    top = min(int(x[-1, 0]) if len(x) == KEPT else 1 << 32 for x in (a, b))
-    a, b = (x[: np.searchsorted(x[:, 0].astype(np.int64), top, "right")].astype(np.int64) for x in (a, b))
-    if not len(a) or not len(b):
-        return 0.0
+    a, b = a.astype(np.int64), b.astype(np.int64)
     at = np.minimum(np.searchsorted(b[:, 0], a[:, 0]), len(b) - 1)
     same = b[at, 0] == a[:, 0]
     if not same.any():
@@ -105,6 +100,16 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return 2 * most / (len(a) + len(b))
 
 
+def _by_size(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``RUN`` bytes of text, since fingerprints are several times as long."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + RUN, "right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def hexed(sketch: np.ndarray) -> str:
     return sketch.tobytes().hex()
 
@@ -112,7 +117,7 @@ def hexed(sketch: np.ndarray) -> str:
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """Add the fingerprint of a text to every row."""
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in (part for whole in source for part in _by_size(whole, text)):
             found = sketches([(x or "").encode() for x in batch.column(text).to_pylist()])
             yield put(batch, {out: pa.array([hexed(x) for x in found], pa.string())})
 
@@ -162,8 +167,8 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
         for whole in source:
-            for i in range(0, whole.num_rows, 512):
-                rows = [*zip(*(whole.slice(i, 512).column(c).to_pylist() for c in ("part", "guest", "id", "text")))]
+            for some in _by_size(whole, "text"):
+                rows = [*zip(*(some.column(c).to_pylist() for c in ("part", "guest", "id", "text")))]
                 own = sketches([r[3].encode() for r in rows])
                 todo = []
                 for row, sketch in zip(rows, own):
