@@ -387,6 +387,30 @@ def test_fingerprints_grow_with_the_text():
         assert 0.99 < syncmers.likeness(own, other) < 1
 
 
+def test_likeness_counts_both_sides_of_an_insertion():
+    text, more = long_text(3, 9000), long_text(4, 300)
+    own = syncmers.sketches([text])[0]
+    for parts in ([text[:4500], text[4500:]], [text[:3000], text[3000:6000], text[6000:]]):
+        assert syncmers.likeness(own, syncmers.sketches([more.join(parts)])[0]) > 0.92
+    line = b"one and the same line\n"
+    assert syncmers.likeness(*syncmers.sketches([line * 50, line * 100])) < 0.7
+
+
+@pytest.mark.parametrize("pairs", [0, syncmers.PAIRS, 10**9])
+def test_common_equals_brute_force(monkeypatch, pairs):
+    monkeypatch.setattr(syncmers, "PAIRS", pairs)
+    rnd = random.Random(6)
+    for _ in range(300):
+        x, y = ([rnd.randrange(rnd.choice([2, 5, 50])) for _ in range(rnd.randint(0, 40))] for _ in range(2))
+        best = [0] * (len(y) + 1)
+        for a in x:
+            row = [0]
+            for j, b in enumerate(y):
+                row.append(best[j] + 1 if a == b else max(best[j + 1], row[j]))
+            best = row
+        assert syncmers._common(np.array(x, np.uint32), np.array(y, np.uint32)) == best[-1]
+
+
 # ---------------------------------------------------------------- quality
 
 

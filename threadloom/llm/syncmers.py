@@ -2,12 +2,12 @@
 
 A run of 12 bytes is a closed syncmer if the least of the nine four-byte runs in
 it stands at one of its two ends. That depends on the 12 bytes alone, so an
-anchor survives any edit that doesn't touch it. A fingerprint holds all distinct
-anchors of a text by hash, each with its first place, so it grows with the text.
+anchor survives any edit that doesn't touch it. A fingerprint holds all anchors of
+a text in the order of their places, repeated ones too, so it grows with the text.
 
-The likeness of two fingerprints counts anchors that both hold, and of these only
-the largest set that is shifted by the same distance (within ``SLACK`` bytes):
-twice their number over all anchors. Equal texts have likeness 1.
+The likeness of two fingerprints is twice the length of their longest common
+subsequence of anchors over the number of all anchors, so anchors before and after
+an inserted or deleted passage all count. Equal texts have likeness 1.
 
 Cases: null texts count as empty and have an empty fingerprint, which is like
 another empty one (1) and unlike all others (0); a text without a syncmer is
@@ -17,7 +17,9 @@ an empty table gives an empty result; only the id and the text are read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -31,7 +33,8 @@ from threadloom.llm.batches import extended, map_batches, put
 from threadloom.llm.words import mix
 
 LONG, SHORT = 12, 4
-SLACK = 64
+#: Up to so many pairs of equal anchors for each anchor, the common subsequence is found pair by pair.
+PAIRS = 32
 #: Parts of the id order for each shuffle partition.
 PARTS = 4
 #: Bytes of texts that are hashed together.
@@ -39,7 +42,7 @@ RUN = 1 << 21
 
 
 def sketches(texts: list[bytes]) -> list[np.ndarray]:
-    """For each text rows (hash, place) of its anchors, by hash."""
+    """For each text rows (hash, place) of its anchors, by place."""
     out: list[np.ndarray] = []
     i = 0
     while i < len(texts):
@@ -73,10 +76,6 @@ def _sketch_run(texts: list[bytes]) -> list[np.ndarray]:
         inside = at + LONG <= offsets[doc + 1]
         at, doc = at[inside], doc[inside]
         hashes = mix(mix(eight[at], 1) * np.uint64(3) + eight[at + LONG - 8]) >> np.uint64(32)
-        order = np.lexsort((at, hashes, doc))
-        at, doc, hashes = at[order], doc[order], hashes[order]
-        new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])]) if len(at) else np.zeros(0, bool)
-        at, doc, hashes = at[new], doc[new], hashes[new]
         first = np.searchsorted(doc, np.arange(len(texts) + 1))
         rows = np.stack([hashes.astype(">u4"), (at - offsets[doc]).astype(">u4")], axis=1)
         found = [rows[a:b] for a, b in zip(first[:-1], first[1:])]
@@ -86,18 +85,50 @@ def _sketch_run(texts: list[bytes]) -> list[np.ndarray]:
     return found
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Length of the longest common subsequence."""
+    n = min(len(x), len(y))
+    ends = 0
+    for _ in range(2):  # what both begin with, then, turned round, what both end with
+        differ = np.flatnonzero(x[:n] != y[:n])
+        same = int(differ[0]) if len(differ) else n
+        x, y, n, ends = x[same:][::-1], y[same:][::-1], n - same, ends + same
+    x = x[np.isin(x, y)]
+    y = y[np.isin(y, x)]
+    if not len(x):
+        return ends
+    _, kind, count = np.unique(x, return_inverse=True, return_counts=True)
+    other, copies = np.unique(y, return_inverse=True, return_counts=True)[1:]
+    places = np.split(np.argsort(kind, kind="stable"), np.cumsum(count)[:-1])
+    if int((count * copies).sum()) <= PAIRS * len(y):
+        backward = [p[::-1].tolist() for p in places]
+        last: list[int] = []  # the least place at which a chain of each length can end
+        for k in other.tolist():
+            for p in backward[k]:
+                at = bisect_left(last, p)
+                last[at : at + 1] = [p]
+        return ends + len(last)
+
+    # Texts full of repeats have too many pairs; here each bit is a place of x, and a zero in the end is a step of the chain.
+    @lru_cache(256)
+    def mask(k: int) -> int:
+        bits = np.zeros(len(x), np.uint8)
+        bits[places[k]] = 1
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+    whole = (1 << len(x)) - 1
+    chain = whole
+    for k in other.tolist():
+        up = chain & mask(k)
+        chain = ((chain + up) | (chain - up)) & whole
+    return ends + len(x) - chain.bit_count()
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of anchors in common at one shift, from 0 to 1."""
+    """Share of anchors in common in the same order, from 0 to 1."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    a, b = a.astype(np.int64), b.astype(np.int64)
-    at = np.minimum(np.searchsorted(b[:, 0], a[:, 0]), len(b) - 1)
-    same = b[at, 0] == a[:, 0]
-    if not same.any():
-        return 0.0
-    shift = np.sort(a[same, 1] - b[at[same], 1])
-    most = int((np.searchsorted(shift, shift + SLACK, "right") - np.arange(len(shift))).max())
-    return 2 * most / (len(a) + len(b))
+    return 2 * _common(a[:, 0].astype(np.uint32), b[:, 0].astype(np.uint32)) / (len(a) + len(b))
 
 
 def _by_size(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
