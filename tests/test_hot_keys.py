@@ -93,3 +93,13 @@ def test_quantiles_with_an_outlier(skewed):
     values = np.array([1e12, *range(1, 20_000)])
     assert all(abs(got[p] - np.quantile(values, p)) < 1e-6 for p in got) and len(got) == 3
     assert len(seen[0]) > 4 and max(seen[0]) < 8_000
+
+
+def test_no_row_per_author_in_customers_per_brand(spark):
+    from threadloom.operators.brands import customers_per_brand
+
+    tweets = spark.createDataFrame([(1, "a", True), (1, "b", True), (2, "a", True), (3, "a", True), (3, "c", False), (3, None, True)], "thread long, author_id string, inbound boolean")
+    attribution = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x"), (3, "z")], "thread long, brand string")
+    got = customers_per_brand(tweets, attribution)
+    assert {r["brand"]: r["unique_customers"] for r in got.collect()} == {"x": 2, "y": 2, "z": 2}
+    assert "flatten" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -80,25 +80,15 @@ def thread_totals(tweets: DataFrame) -> DataFrame:
 def customers_per_brand(tweets: DataFrame, attribution: DataFrame) -> DataFrame:
     """Distinct inbound authors over a brand's threads.
 
-    Each thread carries its list of brands; each author collects the distinct
-    lists once, and (author, brand) pairs exist only between an explode and the
-    partial count behind it. A thread with very many authors and brands is never
-    expanded to all its pairs in a shuffle.
+    Each thread carries its list of brands, and an author's equal lists are taken
+    once before they are exploded. The distinct (author, brand) pairs and the count
+    by brand are partial aggregates, so no author's brands come into one row.
     """
     lists = attribution.groupBy("thread").agg(F.array_sort(F.collect_set("brand")).alias("brands"))
     authors = tweets.where("inbound").select("thread", "author_id").distinct()
-    per_author = (
-        authors.join(loose(lists), "thread")
-        .select("author_id", "brands")
-        .distinct()
-        .groupBy("author_id")
-        .agg(F.array_distinct(F.flatten(F.collect_set("brands"))).alias("brands"))
-    )
-    return (
-        per_author.select(F.explode("brands").alias("brand"))
-        .groupBy("brand")
-        .agg(F.count("*").alias("unique_customers"))
-    )
+    pairs = authors.join(loose(lists), "thread").select("author_id", "brands").distinct()
+    pairs = pairs.select("author_id", F.explode("brands").alias("brand")).distinct()
+    return pairs.groupBy("brand").agg(F.count("*").alias("unique_customers"))
 
 
 def brand_stats(tweets: DataFrame) -> DataFrame:
