@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import forest, language, lengths, mixing, pieces, quality, reputation, substrings, syncmers, warc
+from threadloom.llm import forest, language, lengths, mixing, pieces, quality, reputation, sharding, substrings, syncmers, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -199,3 +199,62 @@ k AS (
 SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND n > 1 AND page_id IS DISTINCT FROM keeper AND keeper IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND n > 1 AND page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to FROM k"""
+
+
+@register
+def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of nearly equal bytes; equal texts stay together."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    placed = sharding.assign(docs, carry=["doc_id"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: CRC 32 of a string, with the table ``crc`` (t: 256 entries) in scope.
+CRC_TABLE = """crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({0})), '..'),
+    lambda h: (instr('0123456789ABCDEF', h[1]) - 1) * 16 + instr('0123456789ABCDEF', h[2]) - 1)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+def _shard_sql(shards: int = 8) -> str:
+    """Giants by ranks, the least capacity by dynamic programming over all pairs of cuts, then the greedy walk."""
+    layers, steps = [], []
+    for k in range(1, shards + 1):
+        before = "SELECT i, e AS most FROM o" if k == 1 else (
+            f"SELECT b.i, min(greatest(a.most, b.e - p.e)) AS most FROM f{k - 1} a JOIN (SELECT * FROM o UNION ALL SELECT 0, 0) p ON p.i = a.i JOIN o b ON b.i > a.i GROUP BY b.i")
+        layers.append(f"f{k} AS MATERIALIZED ({before} UNION ALL SELECT 0, 0)")
+        last = f"(SELECT cut FROM c{k - 1})" if k > 1 else "0"
+        steps.append(f"c{k} AS MATERIALIZED (SELECT coalesce(max(e), 0) AS cut FROM o, cap WHERE e <= {last} + cap.most)")
+    least = " UNION ALL ".join(f"SELECT {k} AS k, i, most FROM f{k}" for k in range(1, shards + 1))
+    shard = " + ".join(f"(e > (SELECT cut FROM c{k}))::int" for k in range(1, shards + 1))
+    return f"""
+WITH {CRC_TABLE},
+d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+g AS MATERIALIZED (SELECT text, sum(size)::bigint AS bytes, min(doc_id) AS first, sha256(text) AS h FROM d GROUP BY text),
+r AS (SELECT *, row_number() OVER w - 1 AS rank, sum(bytes) OVER (ORDER BY bytes DESC, first NULLS LAST, h ROWS UNBOUNDED PRECEDING) - bytes AS gone
+  FROM g WINDOW w AS (ORDER BY bytes DESC, first NULLS LAST, h)),
+m AS MATERIALIZED (
+  SELECT *, coalesce(bool_and(bytes * ({shards} - rank) > (SELECT sum(bytes) FROM g) - gone) OVER (ORDER BY rank), false) AS giant FROM r),
+n AS MATERIALIZED (SELECT count(*) FILTER (giant) AS giants FROM m),
+o AS MATERIALIZED (
+  SELECT text, row_number() OVER w AS i, (sum(bytes) OVER w)::bigint AS e FROM m WHERE NOT giant
+  WINDOW w AS (ORDER BY first NULLS LAST, h ROWS UNBOUNDED PRECEDING)),
+{", ".join(layers)},
+cap AS MATERIALIZED (SELECT coalesce(min(most), 0) AS most FROM ({least}) x, n WHERE k = {shards} - giants AND i = (SELECT coalesce(max(i), 0) FROM o)),
+{", ".join(steps)},
+p AS MATERIALIZED (
+  SELECT text, rank AS shard, -1 AS e FROM m WHERE giant UNION ALL SELECT text, (SELECT giants FROM n) + {shard} AS shard, e FROM o)
+SELECT doc_id, size, {CRC.format("d.text")} AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY e, doc_id NULLS LAST) - 1 AS slot, NULL::int AS grown_shard
+FROM d JOIN p ON p.text = d.text, crc"""
+
+
+SQL["op11_shards"] = _shard_sql()
+
+
+@register
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four leading components of every usable embedding, scaled to variance one."""
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return whitening.whiten(rows)
