@@ -222,7 +222,7 @@ def _shard_sql(shards: int = 8) -> str:
     layers, steps = [], []
     for k in range(1, shards + 1):
         before = "SELECT i, e AS most FROM o" if k == 1 else (
-            f"SELECT b.i, min(greatest(a.most, b.e - p.e)) AS most FROM f{k - 1} a JOIN (SELECT * FROM o UNION ALL SELECT 0, 0) p ON p.i = a.i JOIN o b ON b.i > a.i GROUP BY b.i")
+            f"SELECT b.i, min(greatest(a.most, b.e - p.e)) AS most FROM f{k - 1} a JOIN (SELECT i, e FROM o UNION ALL SELECT 0, 0) p ON p.i = a.i JOIN o b ON b.i > a.i GROUP BY b.i")
         layers.append(f"f{k} AS MATERIALIZED ({before} UNION ALL SELECT 0, 0)")
         last = f"(SELECT cut FROM c{k - 1})" if k > 1 else "0"
         steps.append(f"c{k} AS MATERIALIZED (SELECT coalesce(max(e), 0) AS cut FROM o, cap WHERE e <= {last} + cap.most)")
