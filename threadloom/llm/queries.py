@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import forest, language, lengths, mixing, pieces, quality, reputation, sharding, substrings, syncmers, warc, whitening
+from threadloom.llm import forest, language, lengths, mixing, pieces, quality, reputation, sharding, substrings, syncmers, trie, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -258,3 +258,37 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four leading components of every usable embedding, scaled to variance one."""
     rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return whitening.whiten(rows)
+
+
+@register
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie over all rebuilt conversations."""
+    return trie.expand(trie.build(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
+
+
+SQL["op12_conversation_trie"] = f"""
+WITH {CRC_TABLE},
+o AS MATERIALIZED (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) x),
+c AS MATERIALIZED (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {CRC.format("conv_id::varchar")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM o) x, crc),
+w AS (
+  SELECT c.conv_id, 0 AS part, i, role, text FROM c JOIN o ON o.conv_id = base AND i <= h
+  UNION ALL SELECT c.conv_id, 1, i, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND i > h),
+d AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, i) AS d, length(role) || ':' || role || text AS turn, length(text) AS ch FROM w),
+p AS (SELECT conv_id, d, ch, md5(string_agg(md5(turn), '') OVER (PARTITION BY conv_id ORDER BY d)) AS p FROM d),
+r AS MATERIALIZED (
+  SELECT conv_id, d, ch, p, coalesce(lag(p) OVER (PARTITION BY conv_id ORDER BY d), '') AS up FROM p
+  UNION ALL SELECT conv_id, 0, 0, '', NULL FROM c),
+n AS MATERIALIZED (SELECT p, any_value(d) AS d, any_value(ch) AS ch, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs FROM r GROUP BY p),
+k AS (SELECT up AS p, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+m AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.p = n.p),
+s AS (
+  SELECT r.p, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * m.ch)::bigint AS saved_tokens
+  FROM m JOIN r ON r.conv_id = m.conv_id AND r.d <= m.d GROUP BY r.p),
+e AS (
+  SELECT p, sha256(string_agg(conv_id::varchar, ',' ORDER BY conv_id)) AS ends
+  FROM (SELECT conv_id, max_by(p, d) AS p FROM r GROUP BY conv_id) x GROUP BY p)
+SELECT m.conv_id, m.d AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM m JOIN s ON s.p = m.p LEFT JOIN e ON e.p = m.p LEFT JOIN n u ON u.p = m.up"""
