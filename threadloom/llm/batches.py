@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,9 +13,23 @@ from threadloom.session import ship_package
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` with this package present in the workers."""
+    """``mapInArrow`` with this package present in the workers, which give back their memory when a task ends."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(source)
+        release()
+
+    return df.mapInArrow(task, schema)
+
+
+def release() -> None:
+    """Return free memory to the system. Workers live on between tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def put(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.RecordBatch:

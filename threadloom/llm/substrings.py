@@ -50,8 +50,10 @@ CONTEXT = LEFT + WINDOW
 #: Contexts of one prefix up to which it is one subtree in the memory of a task.
 GROUP = 20_000
 #: Rows that a map task looks over for equal contexts at once, and leaves of the trees built side by side.
-ROWS = 1 << 20
-LEAVES = 1 << 16
+ROWS = 1 << 18
+LEAVES = 1 << 14
+#: Bytes of text worked on at once.
+SLICE = 1 << 20
 SALTS = 16
 SPAN, WHOLE, TREE = 0, 1, 2
 
@@ -112,10 +114,11 @@ class Combiner:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.rows:
             return
-        x = {n: np.concatenate([p[n] for p in self.parts]) for n in self.parts[0]}
-        self.parts, self.rows = [], 0
-        order = np.lexsort((x["context"], x["key"]))
-        x = {n: v[order] for n, v in x.items()}
+        parts, self.parts, self.rows = self.parts, [], 0
+        order = np.lexsort([np.concatenate([p[n] for p in parts]) for n in ("context", "key")])
+        x = {}
+        for name in list(parts[0]):  # one column at a time, so that only one is held twice
+            x[name] = np.concatenate([p.pop(name) for p in parts])[order]
         head = np.concatenate([[True], (x["key"][1:] != x["key"][:-1]) | (x["context"][1:] != x["context"][:-1])])
         several = np.repeat(np.diff(np.append(np.flatnonzero(head), len(head))) > 1, np.diff(np.append(np.flatnonzero(head), len(head))))
         yield from out_rows(spans({n: v[several] for n, v in x.items()}))
@@ -149,7 +152,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
         held = Combiner()
         for batch in source:
             keys = batch.column("doc").to_numpy()
-            for i, j, data, offsets in slices(batch.column("text")):
+            for i, j, data, offsets in slices(batch.column("text"), SLICE):
                 part = anchors(find_words(data, offsets))
                 part["doc"] = keys[i:j][part["doc"]]
                 yield from held.add(part | {"kind": np.full(len(part["key"]), TREE)})
@@ -223,7 +226,7 @@ def context_rows(docs: DataFrame, opened: DataFrame) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             flat = lists.flatten()
             all_rows = {n: flat.field(n).to_numpy(zero_copy_only=False) for n in ("key", "context", "start", "size", "left", "large")}
-            for i, j, data, offsets in slices(batch.column("text")):
+            for i, j, data, offsets in slices(batch.column("text"), SLICE):
                 words = find_words(data, offsets)
                 x = {n: v[ends[i] : ends[j]] for n, v in all_rows.items()}
                 of = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
@@ -375,7 +378,7 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", ou
             flat = lists.flatten()
             start, size = (flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("start", "size"))
             n_words, n_removed, kept = [], [], []
-            for i, j, data, offsets in slices(batch.column(text)):
+            for i, j, data, offsets in slices(batch.column(text), SLICE):
                 words = find_words(data, offsets)
                 counts = np.diff(words.first)
                 of = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
