@@ -14,7 +14,8 @@ of 127 bits, so a node of any depth is one key, whatever the length of the texts
    place where strings part or end, with the edge above it. A node is found under its
    handle, the prefix of its edge's two-fattest depth (the depth with the most trailing
    zero bits). A string finds its exit node by fat binary search: the probe at the
-   two-fattest depth of what is left of its length tells on which side to go on.
+   two-fattest depth of what is left of its length tells on which side to go on. The
+   handles that a string can meet are handed to it by one join beforehand.
 4. Strings are inserted in batches. All open strings are located at once; edges are
    split at all exit points; of the strings that go on from one exit point with the
    same turn one is hung in (drawn by hash, so that few rounds are needed), the others
@@ -44,20 +45,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.llm.batches import map_batches
-from threadloom.session import cut_lineage, loose
+from threadloom.session import cut_lineage
 
 STRIDE, HEADS = 100, 6
 #: Prefix hashes are polynomials modulo a prime. The base is fixed, so reruns agree.
 PRIME = (1 << 127) - 1
 BASE = int.from_bytes(sha256(b"prefix trie").digest()[:15], "big")
 ROOT = bytes(16)
-#: Steps of the fat binary search in one job; strings of up to 2**STEPS - 1 turns need no more.
-STEPS = 4
 #: Ids that a task joins to one piece before the pieces of a node are hashed in order.
 PIECE = 4096
 
-_NODE = "x long, p binary, up long, uph binary, owner long, f long, handle binary, first binary"
-
 
 @dataclass
 class Trie:
@@ -171,7 +168,7 @@ def rebuilt(turns: DataFrame, stride: int, heads: int) -> DataFrame:
 def prefixes_of(strings: DataFrame, turns: DataFrame) -> DataFrame:
     """(s, d, p, c, ch) for all prefixes of the strings, but for the empty one."""
     from_head = strings.select("s", F.inline("head")).select("s", F.col("i").alias("d"), F.col("h").alias("p"), "c", "ch")
-    facts = loose(strings.select(F.col("s").alias("conv"), "hb", "skip", "delta", "c0"))
+    facts = strings.select(F.col("s").alias("conv"), "hb", "skip", "delta", "c0")
     own = turns.join(facts, "conv").where(F.col("i") > F.col("skip"))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,112 +198,144 @@ def two_fattest(low: str, high: str) -> Column:
     return F.expr(f"{high} & shiftleft(-1L, length(bin({low} ^ {high})) - 1)")
 
 
-def _at(rows: DataFrame, prefixes: DataFrame, string: str, depth: Column, **out: str) -> DataFrame:
-    """Add columns of the prefix of a string at a depth; null where it has none."""
-    side = prefixes.select(F.col("s").alias("_s"), F.col("d").alias("_d"), *[F.col(c).alias(n) for n, c in out.items()])
-    rows = rows.withColumn("_at", depth)
-    return rows.join(side, (rows[string] == side["_s"]) & (rows["_at"] == side["_d"]), "left").drop("_s", "_d", "_at")
-
-
-def exit_nodes(open_: DataFrame, prefixes: DataFrame, nodes: DataFrame, longest: int) -> DataFrame:
-    """Add (lo, e): depth and hash of the deepest extent that is a prefix of the string, by fat binary search."""
-    start = {"lo": F.lit(0).cast("long"), "hi": F.col("len"), "e": F.lit(ROOT), "e_up": F.lit(0).cast("long"), "e_uph": F.lit(ROOT)}
-    state, done = open_.withColumns(start), []
-    handles = nodes.select(*[F.col(c).alias(f"v_{c}") for c in ("handle", "x", "p", "up", "uph")])
-    left = longest.bit_length()
-    while left > 0:
-        for _ in range(min(STEPS, left)):
-            probed = state.withColumn("probe", F.when(F.col("lo") < F.col("hi"), two_fattest("lo", "hi")))
-            probed = _at(probed, prefixes, "s", F.col("probe"), found="p")
-            probed = probed.join(handles, probed["found"] == handles["v_handle"], "left")
-            hit = F.col("v_x").isNotNull()
-            fits = hit & (F.col("v_x") <= F.col("len"))  # whether the extent fits too is seen at the end
-            stops = hit & ~fits
-            state = probed.select(
-                *open_.columns,
-                F.when(fits, F.col("v_x")).when(stops, F.col("v_up")).otherwise(F.col("lo")).alias("lo"),
-                F.when(fits, F.col("hi")).when(stops, F.col("v_up")).when(F.col("probe").isNotNull(), F.col("probe") - 1).otherwise(F.col("hi")).alias("hi"),
-                F.when(fits, F.col("v_p")).when(stops, F.col("v_uph")).otherwise(F.col("e")).alias("e"),
-                # after a stop the parent's own parent is not needed: an extent above a handle that fits is a prefix
-                F.when(fits, F.col("v_up")).when(stops, F.col("v_up")).otherwise(F.col("e_up")).alias("e_up"),
-                F.when(fits, F.col("v_uph")).when(stops, F.col("v_uph")).otherwise(F.col("e_uph")).alias("e_uph"),
-            )
-        left -= STEPS
-        state = cut_lineage(state)
-        done.append(state.where("lo >= hi"))
-        state = state.where("lo < hi")
-        if left > 0 and state.isEmpty():
-            break
-    out = done[0] if done else state
-    for more in done[1:]:
-        out = out.unionByName(more)
-    out = _at(out, prefixes, "s", F.col("lo"), spelt="p")
-    good = (F.col("lo") == 0) | (F.col("spelt") == F.col("e"))
-    return out.select(*open_.columns, F.when(good, F.col("lo")).otherwise(F.col("e_up")).alias("lo"), F.when(good, F.col("e")).otherwise(F.col("e_uph")).alias("e"))
-
-
-def located(open_: DataFrame, prefixes: DataFrame, nodes: DataFrame, longest: int) -> DataFrame:
-    """Add lo, e and where the string leaves the trie: l, z, c_own (depth, hash, code points), v (the edge, if inside one), nxt (hash one turn on)."""
-    rows = _at(exit_nodes(open_, prefixes, nodes, longest), prefixes, "s", F.col("lo") + 1, q="p")
-    child = nodes.select(F.col("first").alias("v_first"), F.col("p").alias("v"), F.col("x").alias("v_x"), F.col("owner").alias("v_owner"))
-    rows = cut_lineage(rows.join(child, rows["q"] == child["v_first"], "left").drop("v_first", "q"))
+def fat_search(length: int, handles: dict[int, tuple]) -> tuple | None:
+    """The deepest node whose handle is a prefix of a string and whose extent is not longer than it; None for the root.
+
+    ``handles``: the nodes (x, p, up, uph) under the string's prefixes, by depth. A probe
+    at the two-fattest depth of (low, high] either finds a node, and the search goes on
+    below its extent, or rules out everything from that depth on.
+    """
+    low, high, found = 0, length, None
+    while low < high:
+        probe = high & (-1 << ((low ^ high).bit_length() - 1))
+        node = handles.get(probe)
+        if node is None:
+            high = probe - 1
+        elif node[0] <= length:
+            low, found = node[0], node
+        else:  # the string ends on this node's edge
+            return (node[2], node[3], None, None)
+    return found
+
+
+HANDLE, EXTENT, FIRST = 0, 1, 2
+
+
+def exit_nodes(open_: DataFrame, prefixes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Add lo and e, depth and hash of the deepest extent that is a prefix of the string, and the child edge on its way: v, v_x, v_owner.
+
+    The prefixes of the open strings are looked up among handles, extents and first
+    turns of edges in one join. A row then holds the finds of one string, one or
+    more per compacted node on its path, and is searched on its own.
+    """
+    kind = lambda column, n: F.struct(F.col(column).alias("key"), F.lit(n).alias("kind"))
+    keys = nodes.select(F.explode(F.array(kind("handle", HANDLE), kind("p", EXTENT), kind("first", FIRST))).alias("k"), F.struct("x", "p", "up", "uph", "owner").alias("node"))
+    keys = keys.select("k.key", "k.kind", "node")
+    finds = prefixes.join(keys, prefixes["p"] == keys["key"]).groupBy("s").agg(F.collect_list(F.struct("kind", "d", "node")).alias("finds"))
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            out = []
+            for length, finds in zip(batch.column("len").to_pylist(), batch.column("finds").to_pylist()):
+                at: tuple[dict, dict, dict] = ({}, {}, {})
+                for f in finds or ():
+                    n = f["node"]
+                    at[f["kind"]][f["d"]] = (n["x"], n["p"], n["up"], n["uph"], n["owner"])
+                node = fat_search(length, at[HANDLE])
+                # A handle that fits doesn't say that the whole extent does.
+                if node and node[2] is not None and at[EXTENT].get(node[0], (0, b""))[1] != node[1]:
+                    node = (node[2], node[3])
+                lo, e = node[:2] if node else (0, ROOT)
+                child = at[FIRST].get(lo + 1)
+                out.append((lo, e, *((child[1], child[0], child[4]) if child else (None, None, None))))
+            columns = list(zip(*out)) or [()] * 5
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+            names = ["s", "len", "full"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *[pa.array(c, k) for c, k in zip(columns, kinds)]], [*names, "lo", "e", "v", "v_x", "v_owner"])
+
+    rows = open_.join(finds, "s", "left").select("s", "len", "full", "finds")
+    return map_batches(rows, run, "s long, len long, full binary, lo long, e binary, v binary, v_x long, v_owner long")
+
+
+def located(open_: DataFrame, prefixes: DataFrame, all_prefixes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Add lo, e, v and where the string leaves the trie: l, z, c_own (depth, hash, code points) and nxt (hash one turn on)."""
+    rows = cut_lineage(exit_nodes(open_, prefixes, nodes))
     # On the child's edge the string agrees with the edge's owner up to some depth.
     inside = rows.where("v is not null").select("s", "v_owner", "lo", F.least("v_x", "len").alias("to"))
-    mine = prefixes.select("s", "d", "p").join(loose(inside), "s").where((F.col("d") > F.col("lo")) & (F.col("d") <= F.col("to")))
-    other = prefixes.select(F.col("s").alias("v_owner"), "d", "p")
+    mine = prefixes.select("s", "d", "p").join(inside, "s").where((F.col("d") > F.col("lo")) & (F.col("d") <= F.col("to")))
+    other = all_prefixes.select(F.col("s").alias("v_owner"), "d", "p")
     agreed = mine.join(other, ["v_owner", "d", "p"], "left_semi").groupBy("s").agg(F.max("d").alias("l"))
-    rows = rows.join(agreed, "s", "left").withColumn("l", F.coalesce("l", "lo"))
-    rows = _at(_at(rows, prefixes, "s", F.col("l"), z="p", c_own="c"), prefixes, "s", F.col("l") + 1, nxt="p")
-    rows = rows.withColumns({"z": F.coalesce("z", F.lit(ROOT)), "c_own": F.coalesce("c_own", F.lit(0).cast("long"))})
-    return rows.drop("v_x", "v_owner")
+    rows = rows.join(agreed, "s", "left").withColumn("l", F.coalesce("l", "lo")).drop("v_x", "v_owner")
+    return _around(rows, prefixes)
+
+
+def _around(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Add z and c_own at depth l and nxt one turn on."""
+    near = prefixes.select("s", "d", "p", "c").join(rows.select("s", "l"), "s").where((F.col("d") == F.col("l")) | (F.col("d") == F.col("l") + 1))
+    here = F.col("d") == F.col("l")
+    told = near.groupBy("s").agg(F.max(F.when(here, F.col("p"))).alias("z"), F.max(F.when(here, F.col("c"))).alias("c_own"), F.max(F.when(~here, F.col("p"))).alias("nxt"))
+    rows = rows.join(told, "s", "left")
+    return rows.withColumns({"z": F.coalesce("z", F.lit(ROOT)), "c_own": F.coalesce("c_own", F.lit(0).cast("long"))})
 
 
 def with_handles(edges: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Complete (x, p, up, uph, owner) to rows of nodes."""
     rows = edges.withColumn("f", two_fattest("up", "x"))
-    rows = _at(_at(rows, prefixes, "owner", F.col("f"), handle="p"), prefixes, "owner", F.col("up") + 1, first="p")
-    return rows.select("x", "p", "up", "uph", "owner", "f", "handle", "first")
+    spelt = prefixes.select(F.col("s").alias("owner"), "d", F.col("p").alias("q")).join(rows, "owner")
+    spelt = spelt.where((F.col("d") == F.col("f")) | (F.col("d") == F.col("up") + 1))
+    # an edge is told by its lower end
+    return spelt.groupBy("x", "p", "up", "uph", "owner").agg(
+        F.max(F.when(F.col("d") == F.col("f"), F.col("q"))).alias("handle"), F.max(F.when(F.col("d") == F.col("up") + 1, F.col("q"))).alias("first")
+    )
 
 
 def build(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", stride: int = STRIDE, heads: int = HEADS) -> Trie:
     """The trie of all conversations; ``heads`` 1 takes them as they are."""
-    spark = df.sparkSession
     turns = cut_lineage(hashed_turns(df, conv_id, turn, role, text))
     convs = cut_lineage(rebuilt(turns, stride, heads))
-    members = convs.select("conv", "full")
     best = F.min(F.struct("conv", "len", "chars", "head", "hb", "skip", "delta", "c0")).alias("r")
     strings = cut_lineage(convs.groupBy("full").agg(best, F.count("*").alias("weight")).select("full", "weight", "r.*").withColumnRenamed("conv", "s"))
     prefixes = cut_lineage(prefixes_of(strings, turns))
     strings = strings.select("s", "len", "full", "weight", "chars")
-    nodes = spark.createDataFrame([], _NODE)
-    open_ = strings.select("s", "len", "full")
-    settled: list[DataFrame] = []
-    longest = 0  # of the strings in the trie; nothing is found deeper
-    lengths = strings.agg(F.max("len")).first()[0] or 0
+    # The first batch meets the bare root.
+    bare = {"lo": F.lit(0).cast("long"), "e": F.lit(ROOT), "v": F.lit(None).cast("binary"), "l": F.lit(0).cast("long")}
+    found = _around(strings.select("s", "len", "full").withColumns(bare), prefixes)
+    nodes, near, settled = None, prefixes, []
     while True:
-        found = cut_lineage(located(open_, prefixes, nodes, longest))
-        longest = lengths
-        goes_on = found.where("nxt is not null")
-        chosen = goes_on.groupBy("nxt").agg(F.min(F.struct(F.xxhash64("s"), "s")).alias("r")).select("r.s")
-        hung = cut_lineage(goes_on.join(loose(chosen), "s", "left_semi"))
-        leaves = hung.select(F.col("len").alias("x"), F.col("full").alias("p"), F.col("l").alias("up"), F.col("z").alias("uph"), F.col("s").alias("owner"))
-        splits = found.where("v is not null and l > lo").select("v", "l", "z").distinct()
-        old = nodes.join(splits.select(F.col("v").alias("p")).distinct(), "p", "left_semi")
-        points = old.select(F.col("p").alias("v"), F.col("x").alias("l"), F.col("p").alias("z")).unionByName(splits).distinct()
-        along = W.partitionBy("v").orderBy("l")
-        points = points.withColumns({"prior_l": F.lag("l").over(along), "prior_z": F.lag("z").over(along)})
-        pieces = points.join(old.select(F.col("p").alias("v"), "up", "uph", "owner"), "v")
-        pieces = pieces.select(F.col("l").alias("x"), F.col("z").alias("p"), F.coalesce("prior_l", "up").alias("up"), F.coalesce("prior_z", "uph").alias("uph"), "owner")
-        whole = nodes.join(old.select("p"), "p", "left_anti").select(*nodes.columns)
-        nodes = cut_lineage(whole.unionByName(with_handles(pieces.unionByName(leaves), prefixes)))
-        settled.append(found.where("nxt is null").unionByName(hung).select("s", "c_own"))
-        open_ = cut_lineage(goes_on.join(loose(hung.select("s")), "s", "left_anti").select("s", "len", "full"))
+        found = cut_lineage(found)
+        chosen = found.where("nxt is not null").groupBy("nxt").agg(F.min(F.struct(F.xxhash64("s"), "s")).alias("r"))
+        marked = found.join(chosen.select("r.s", F.lit(True).alias("hung")), "s", "left").withColumn("hung", F.coalesce("hung", F.lit(False)))
+        marked = cut_lineage(marked.withColumn("open", F.col("nxt").isNotNull() & ~F.col("hung")))
+        leaves = marked.where("hung").select(F.col("len").alias("x"), F.col("full").alias("p"), F.col("l").alias("up"), F.col("z").alias("uph"), F.col("s").alias("owner"))
+        nodes = cut_lineage(with_handles(leaves, near) if nodes is None else _split(nodes, marked, leaves, prefixes))
+        settled.append(marked.where("not open").select("s", "c_own"))
+        open_ = marked.where("open").select("s", "len", "full")
         if open_.isEmpty():
             break
+        near = cut_lineage(near.join(open_.select("s"), "s", "left_semi"))
+        found = located(open_, near, prefixes, nodes)
     owned = settled[0]
     for more in settled[1:]:
         owned = owned.unionByName(more)
-    return Trie(nodes, prefixes, cut_lineage(strings.join(owned, "s")), members)
+    return Trie(nodes, prefixes, cut_lineage(strings.join(owned, "s")), convs.select("conv", "full"))
+
+
+def _split(nodes: DataFrame, marked: DataFrame, leaves: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Nodes with edges cut at all exit points inside them, and the new leaves."""
+    splits = marked.where("v is not null and l > lo").select("v", "l", "z").distinct()
+    cut = splits.select("v").distinct().select(F.col("v").alias("p"), F.lit(True).alias("cut"))
+    told = nodes.join(cut, "p", "left")
+    old = told.where("cut").select("x", "p", "up", "uph", "owner")
+    points = old.select(F.col("p").alias("v"), F.col("x").alias("l"), F.col("p").alias("z"), "up", "uph", "owner")
+    none = {"up": F.lit(None).cast("long"), "uph": F.lit(None).cast("binary"), "owner": F.lit(None).cast("long")}
+    points = points.unionByName(splits.withColumns(none))
+    along = W.partitionBy("v").orderBy("l")
+    whole = W.partitionBy("v")  # one row of the edge has its upper end and owner
+    known = {c: F.max(c).over(whole) for c in ("up", "uph", "owner")}
+    points = points.withColumns({"prior_l": F.lag("l").over(along), "prior_z": F.lag("z").over(along), **known})
+    pieces = points.select(F.col("l").alias("x"), F.col("z").alias("p"), F.coalesce("prior_l", "up").alias("up"), F.coalesce("prior_z", "uph").alias("uph"), "owner")
+    kept = told.where("cut is null").select(*nodes.columns)
+    return kept.unionByName(with_handles(pieces.unionByName(leaves), prefixes).select(*nodes.columns))
 
 
 def ends_digests(members: DataFrame) -> DataFrame:
@@ -364,20 +393,20 @@ def expand(trie: Trie) -> DataFrame:
     """One row per node of the trie at every depth, the root included."""
     nodes, prefixes = trie.nodes, trie.prefixes
     children = cut_lineage(nodes.groupBy(F.col("uph").alias("p")).agg(F.count("*").alias("children")))
-    ends = loose(children.select(F.col("p").alias("full"), F.lit(False).alias("leaf")))
+    ends = children.select(F.col("p").alias("full"), F.lit(False).alias("leaf"))
     strings = trie.strings.join(ends, "full", "left").withColumn("leaf", F.coalesce("leaf", F.lit(True)).cast("long"))
     strings = cut_lineage(strings.select("s", "weight", "chars", "c_own", "leaf"))
-    through = prefixes.select("s", "p", "c").join(loose(nodes.select("p")), "p").join(loose(strings), "s")
+    through = prefixes.select("s", "p", "c").join(nodes.select("p"), "p").join(strings, "s")
     root = strings.select(F.lit(ROOT).alias("p"), F.lit(0).cast("long").alias("c"), "s", "weight", "chars", "c_own", "leaf")
     sums = through.unionByName(root).groupBy("p").agg(
         F.min("s").alias("conv_id"), F.sum("weight").alias("n_convs"), F.sum("leaf").alias("n_leaves"), F.max("c").alias("c_x"),
         F.sum(F.col("weight") * (F.col("chars") - F.col("c")) - (F.col("chars") - F.greatest("c_own", "c"))).alias("below"),
     )
-    sums = cut_lineage(sums.join(loose(children), "p", "left").withColumn("children", F.coalesce("children", F.lit(0).cast("long"))))
+    sums = cut_lineage(sums.join(children, "p", "left").withColumn("children", F.coalesce("children", F.lit(0).cast("long"))))
     digests = ends_digests(trie.members)
     above = sums.select(F.col("p").alias("uph"), F.col("conv_id").alias("up_conv"))
-    edges = nodes.select("p", "x", "up", "uph", "owner").join(loose(sums), "p").join(loose(above), "uph").join(digests, F.col("p") == F.col("full"), "left")
-    spelt = prefixes.select(F.col("s").alias("owner"), "d", "c", "ch").join(loose(edges), "owner").where((F.col("d") > F.col("up")) & (F.col("d") <= F.col("x")))
+    edges = cut_lineage(nodes.select("p", "x", "up", "uph", "owner").join(sums, "p").join(above, "uph").join(digests, F.col("p") == F.col("full"), "left"))
+    spelt = prefixes.select(F.col("s").alias("owner"), "d", "c", "ch").join(edges, "owner").where((F.col("d") > F.col("up")) & (F.col("d") <= F.col("x")))
     none, at_end = F.lit(sha256(b"").hexdigest()), F.col("d") == F.col("x")
     rows = spelt.select(
         "conv_id", F.col("d").alias("depth"), F.when(F.col("d") == F.col("up") + 1, F.col("up_conv")).otherwise(F.col("conv_id")).alias("parent_conv_id"), "n_convs",
