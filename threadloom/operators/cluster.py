@@ -199,7 +199,12 @@ def cluster_examples(
 
 
 def cluster_summary(
-    docs: DataFrame, vectors: DataFrame, assignments: DataFrame, k: int, text: str = "text"
+    docs: DataFrame,
+    vectors: DataFrame,
+    assignments: DataFrame,
+    k: int,
+    text: str = "text",
+    rules: Sequence[tuple[str, Sequence[Sequence[str]]]] = CLUSTER_NAME_RULES,
 ) -> DataFrame:
     """K7 for keyword clusters: size, share of sample, keywords, name, confidence, examples."""
     total = docs.agg(F.count("*")).scalar()
@@ -214,7 +219,7 @@ def cluster_summary(
         (F.col("num_examples") * 100.0 / total).alias("percentage"),
         "representative_examples",
         "keywords",
-        name_by_rules("keywords").alias("likely_intent_name"),
+        name_by_rules("keywords", rules).alias("likely_intent_name"),
         F.when(F.col("num_examples") > total / F.lit(k) * 0.5, "High").otherwise("Low").alias(
             "confidence"
         ),
@@ -222,7 +227,11 @@ def cluster_summary(
 
 
 def concept_cluster_summary(
-    docs: DataFrame, vectors: DataFrame, assignments: DataFrame, text: str = "text"
+    docs: DataFrame,
+    vectors: DataFrame,
+    assignments: DataFrame,
+    text: str = "text",
+    mapping: Mapping[str, str] = CONCEPT_INTENTS,
 ) -> DataFrame:
     """K7 for concept clusters: as above with centroid and centroid name."""
     total = docs.agg(F.count("*")).scalar()
@@ -233,7 +242,7 @@ def concept_cluster_summary(
     )
     rows = (
         sizes.join(as_map, "cluster")
-        .join(name_by_centroid(centroids), "cluster")
+        .join(name_by_centroid(centroids, mapping), "cluster")
         .join(cluster_examples(docs, assignments, text, n=10), "cluster")
     )
     return rows.select(

@@ -90,20 +90,28 @@ def sample_quota(
     return ranked.where(F.col("_n") <= quota).drop("_n")
 
 
-def previous_turns(turns: DataFrame, chosen: DataFrame, order: str = "turn_number") -> DataFrame:
-    """M5: context of the chosen turns: earlier texts in order and the next brand reply.
+def previous_turns(
+    turns: DataFrame, chosen: DataFrame, order: str = "turn_number", max_turns_per_row: int = 10_000
+) -> DataFrame:
+    """M5: context of the chosen turns per (conversation, part): earlier texts in order and the next brand reply.
 
-    Only conversations in ``chosen`` (a sample) are looked at.
+    Only conversations in ``chosen`` (a sample) are looked at. Part p holds the
+    earlier turns numbered from p * max_turns_per_row + 1 on, as in ``nest_turns``, so
+    no row grows without bound. Part 0 is always there and has the reply.
     """
     at = chosen.select(CONV, F.col("turn_number").alias("_at"))
-    near = turns.join(at, CONV)
+    near = turns.join(loose(at), CONV)
     entry = F.struct(F.col(order).alias("n"), F.col("text").alias("x"), F.col("speaker").alias("s"))
-    before = F.array_sort(F.collect_list(F.when(F.col(order) < F.col("_at"), entry)))
+    part = F.floor((F.col(order) - 1) / max_turns_per_row).cast("int").alias("part")
+    before = near.where(F.col(order) < F.col("_at")).groupBy(CONV, part).agg(F.array_sort(F.collect_list(entry)).alias("b"))
     reply = F.min(F.when((F.col(order) > F.col("_at")) & (F.col("speaker") == "brand"), entry))
-    return near.groupBy(CONV).agg(before.alias("b"), reply.alias("r")).select(
+    first = near.groupBy(CONV).agg(reply.alias("r")).select(CONV, F.lit(0).alias("part"), "r")
+    none = F.array().cast("array<string>")
+    return first.join(before, [CONV, "part"], "full_outer").select(
         CONV,
-        F.col("b.x").alias("previous_turns"),
-        F.col("b.s").alias("previous_speakers"),
+        "part",
+        F.coalesce("b.x", none).alias("previous_turns"),
+        F.coalesce("b.s", none).alias("previous_speakers"),
         F.col("r.x").alias("brand_response"),
     )
 
@@ -121,16 +129,19 @@ def golden_candidates(
     lexicon: Mapping[str, Sequence[str]] = INTENT_HINTS,
     quotas: Mapping[str, int] = QUOTAS,
     seed: int = 42,
+    max_turns_per_row: int = 10_000,
 ) -> DataFrame:
-    """M2-M8: stratified sample of conversations for labelling, with null label fields."""
+    """M2-M8: stratified sample of conversations for labelling, with null label fields.
+
+    One row per example, or one per (example, part) where the context has several parts.
+    """
     first = first_qualifying_turn(turns, extra=("author_id", "created_at"))
     first = first.withColumn("_fp", fingerprint("customer_message"))
     unique = one_per_text_and_author(first, CONV, "_fp", "author_id", seed)
     tagged = unique.withColumn("candidate_intents", tag_intents("customer_message", lexicon))
     tagged = tagged.withColumn("stratum", stratum_of("candidate_intents"))
     chosen = cut_lineage(sample_quota(tagged, "stratum", CONV, quotas, seed))
-    full = chosen.join(previous_turns(turns, chosen), CONV, "left")
-    numbered = sequential_ids(full, CONV, seed + 1)
+    numbered = sequential_ids(chosen, CONV, seed + 1).join(previous_turns(turns, chosen, max_turns_per_row=max_turns_per_row), CONV, "left")
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     return numbered.select(
         "example_id",
@@ -145,6 +156,7 @@ def golden_candidates(
         none("boolean", "human_escalate"),
         none("string", "human_reason"),
         none("string", "annotation_notes"),
+        "part",
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -163,17 +163,17 @@ def profile_direction(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {q.TWEETS}, strs AS (SELECT 'row_count' AS metric, count(*) AS value FROM tweets
+    f"""WITH {q.TWEETS}
+SELECT 'row_count' AS metric, count(*) AS value FROM tweets
 UNION ALL SELECT 'distinct_ids', count(DISTINCT tweet_id) FROM tweets
 UNION ALL SELECT 'inbound_count', count(*) FILTER (inbound) FROM tweets
 UNION ALL SELECT 'outbound_count', count(*) FILTER (NOT inbound) FROM tweets
-UNION ALL SELECT 'missing:in_response_to_tweet_id', count(*) FILTER (parent_id IS NULL) FROM tweets)
-SELECT * FROM strs"""
+UNION ALL SELECT 'missing:' || c, CASE c WHEN 'in_response_to_tweet_id' THEN (SELECT count(*) FROM tweets WHERE parent_id IS NULL)
+  WHEN 'text' THEN (SELECT count(*) FROM tweets WHERE {q.strip('text')} = '') ELSE 0 END
+FROM (SELECT unnest([{q.quoted(TWEET_COLUMNS)}]) AS c) x"""
 )
 def profile_tweets(spark: SparkSession, sf: str) -> DataFrame:
-    rows = profile.profile_table(t.raw_tweets(spark, sf), "tweet_id", "inbound")
-    wanted = ("row_count", "distinct_ids", "inbound_count", "outbound_count", "missing:in_response_to_tweet_id")
-    return rows.where(F.col("metric").isin(*wanted))
+    return profile.profile_table(t.raw_tweets(spark, sf), "tweet_id", "inbound")
 
 
 @register(
@@ -299,6 +299,25 @@ def brand_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return conv.build_conversations(t.brand_turns(spark, sf)).drop("start_ts")
 
 
+@register(
+    f"""WITH RECURSIVE {BUILT}
+SELECT count(*) AS total, count(*) FILTER (NOT is_multi_turn) AS single_turn, count(*) FILTER (is_multi_turn) AS multi_turn,
+  round(avg(num_turns), 6) AS avg_turns, median(num_turns)::DOUBLE AS median_turns, max(num_turns) AS max_turns,
+  count(*) FILTER (brand_responded) AS responded, count(*) FILTER (customer_message_count >= 2) AS customer_multi,
+  count(*) FILTER (suitable_for_resolution) AS suitable, count(*) FILTER (is_flagged) AS flagged,
+  count(DISTINCT nullif(customer_author, '')) AS unique_customers, count(DISTINCT nullif(brand_author, '')) AS brand_accounts,
+  round(count(*) FILTER (brand_responded) * 100.0::DOUBLE / count(*), 6) AS responded_pct,
+  round(count(*) FILTER (customer_message_count >= 2) * 100.0::DOUBLE / count(*), 6) AS customer_multi_pct,
+  round(count(*) FILTER (suitable_for_resolution) * 100.0::DOUBLE / count(*), 6) AS suitable_pct,
+  round(count(*) FILTER (is_flagged) * 100.0::DOUBLE / count(*), 6) AS flagged_pct
+FROM convs"""
+)
+def corpus_summary(spark: SparkSession, sf: str) -> DataFrame:
+    rows = conv.conversation_summary(conv.build_conversations(t.brand_turns(spark, sf)))
+    rounded = ("avg_turns", "responded_pct", "customer_multi_pct", "suitable_pct", "flagged_pct")
+    return rows.select(*[r6(c) if c in rounded else c for c in rows.columns])
+
+
 @register(f"WITH RECURSIVE {BUILT} SELECT conversation_id, tweet_id, turn_number, speaker FROM num")
 def turn_numbers(spark: SparkSession, sf: str) -> DataFrame:
     rows = conv.number_turns(t.brand_turns(spark, sf))
@@ -327,14 +346,13 @@ def nested_turns(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     f"""WITH RECURSIVE {BUILT}
 SELECT n.conversation_id, turn_number, tweet_id, author_id, speaker, inbound, created_at, text,
-  customer_author, brand_author, start_time AS conversation_start, end_time AS conversation_end, num_turns,
+  response_tweet_id, coalesce(parent_id::VARCHAR, '') AS in_response_to_tweet_id, customer_author, brand_author, start_time AS conversation_start, end_time AS conversation_end, num_turns,
   brand_responded, is_multi_turn, is_flagged, flag_reason
 FROM num n JOIN convs USING (conversation_id)"""
 )
 def flat_turns(spark: SparkSession, sf: str) -> DataFrame:
     turns = t.brand_turns(spark, sf)
-    rows = flatten_turns(conv.build_conversations(turns), conv.number_turns(turns))
-    return rows.drop("response_tweet_id", "in_response_to_tweet_id")
+    return flatten_turns(conv.build_conversations(turns), conv.number_turns(turns))
 
 
 @register(
@@ -479,7 +497,7 @@ def valid_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SUPPORT_SQL = f"""SELECT conv_id, turn, c, length(c) >= 15 AND {q.words('c')} >= 4 AND NOT (
-    {q.words('c')} < 60 AND {q.any_of('c', 'hat|que')} AND NOT {q.any_of('c', 'und|les')}) AS supported
+    {q.words('c')} < 60 AND {q.any_of('c', ('hat', 'que'))} AND NOT {q.any_of('c', ('und', 'les'))}) AS supported
 FROM (SELECT conv_id, turn, {q.bare('lower(text)')} AS c FROM conversations) s"""
 
 
@@ -605,6 +623,14 @@ def retrieve_raw_weights(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("query_id", "rank", "case_id", r6("similarity"))
 
 
+@register(SQL["retrieve_topk"])
+def retrieve_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """V7 by bounds on what a case can still reach, the way for joins too large to be done directly."""
+    index = retrieval.build_index(t.documents(spark, sf), max_k=10)
+    hits = retrieval.retrieve(t.openings(spark, sf), index, 5, 0.0, direct_rows=0)
+    return hits.select("query_id", "rank", "case_id", r6("similarity"))
+
+
 BANDS = f"""{q.retrieval(2, 0.25)},
 bands AS (
   SELECT o.query_id, count(h.case_id) AS cases, coalesce(max(similarity), 0.0) AS top_sim,
@@ -767,30 +793,90 @@ def cluster_keywords(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("cluster", F.array_join("keywords", " ").alias("keywords"))
 
 
+# Words of the given texts, as stand-ins for the words of support clusters.
+NAME_RULES = (
+    ("articles", (("der",), ("la", "die"))),
+    ("th_sounds", (("th",), ("er", "on"))),
+    ("word_ends", (("er", "nt"),)),
+)
+CONFUSABLE = {"articles": ("th_sounds",), "th_sounds": ("word_ends", "articles")}
+
+
+def _name_sql(keywords: str) -> str:
+    whens = []
+    for name, groups in NAME_RULES:
+        hits = [" OR ".join(f"contains({keywords}, '{w}')" for w in group) for group in groups]
+        whens.append("WHEN " + " AND ".join(f"({h})" for h in hits) + f" THEN '{name}'")
+    return f"CASE {' '.join(whens)} ELSE 'unknown_' || split_part({keywords}, ' ', 1) END"
+
+
+def _confusable_sql(name: str, table: Mapping[str, Sequence[str]]) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{','.join(v)}'" for k, v in table.items())
+    return f"CASE {name} {whens} ELSE '' END"
+
+
+def _title_sql(name: str) -> str:
+    return f"array_to_string(list_transform(string_split({name}, '_'), lambda w: upper(w[1]) || w[2:]), ' ')"
+
+
+def _examples_sql(source: str, n: int) -> str:
+    """CTE ex (cluster, text, rank): the first texts of each cluster in seeded order."""
+    return f"""ex AS (
+  SELECT cluster, text, rank FROM (
+    SELECT cluster, text, row_number() OVER (PARTITION BY cluster ORDER BY {q.sample_key('doc_id')}, doc_id) AS rank
+    FROM asg JOIN {source} USING (doc_id)) r WHERE rank <= {n})"""
+
+
+SUMMARY = f"""{CLUSTERED}, {KEYWORDS}, {_examples_sql('msgs', 5)},
+summary AS MATERIALIZED (
+  SELECT cluster AS cluster_id, count(*) AS num_examples,
+    count(*) * 100.0::DOUBLE / (SELECT count(*) FROM msgs) AS percentage, any_value(keywords) AS keywords,
+    {_name_sql('any_value(keywords)')} AS likely_intent_name,
+    CASE WHEN count(*) > (SELECT count(*) FROM msgs) / {K}.0 * 0.5 THEN 'High' ELSE 'Low' END AS confidence
+  FROM asg JOIN kw USING (cluster) GROUP BY 1)"""
+# Texts may hold any character, so lists of them are compared by their digests.
+md5_list = lambda c: F.array_join(F.transform(c, F.md5), ",").alias(c)
+plain_list = lambda c: F.array_join(c, ",").alias(c)
+
+
 @register(
-    f"""WITH {CLUSTERED}, {KEYWORDS}
-SELECT cluster AS cluster_id, count(*) AS num_examples,
-  round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM msgs), 6) AS percentage, any_value(keywords) AS keywords,
-  'unknown_' || split_part(any_value(keywords), ' ', 1) AS likely_intent_name,
-  CASE WHEN count(*) > (SELECT count(*) FROM msgs) / {K}.0 * 0.5 THEN 'High' ELSE 'Low' END AS confidence
-FROM asg JOIN kw USING (cluster) GROUP BY 1"""
+    f"""WITH {SUMMARY}
+SELECT cluster_id, num_examples, round(percentage, 6) AS percentage, keywords, likely_intent_name, confidence,
+  (SELECT string_agg(md5(text), ',' ORDER BY rank) FROM ex WHERE cluster = cluster_id) AS representative_examples FROM summary"""
 )
 def cluster_summary(spark: SparkSession, sf: str) -> DataFrame:
     docs, v, asg = _clustered(spark, sf)
-    return cluster.cluster_summary(docs, v, asg, K).select(
+    return cluster.cluster_summary(docs, v, asg, K, rules=NAME_RULES).select(
         "cluster_id", "num_examples", r6("percentage"), F.array_join("keywords", " ").alias("keywords"),
-        "likely_intent_name", "confidence",
+        "likely_intent_name", "confidence", md5_list("representative_examples"),
     )
 
 
 @register(
-    f"""WITH {CLUSTERED}
-SELECT 'other' AS intent_id, 'Other' AS intent_name, count(*) AS "count", 100.0::DOUBLE AS estimated_percentage FROM asg"""
+    f"""WITH {SUMMARY},
+named AS (
+  SELECT *, CASE WHEN starts_with(likely_intent_name, 'unknown_') THEN 'other' ELSE likely_intent_name END AS intent_id FROM summary),
+kws AS (
+  SELECT intent_id, string_agg(word, ',' ORDER BY word) AS common_keywords FROM (
+    SELECT intent_id, word, row_number() OVER (PARTITION BY intent_id ORDER BY word) AS n FROM (
+      SELECT DISTINCT intent_id, unnest(string_split(keywords, ' ')) AS word FROM named) d) r WHERE n <= 10 GROUP BY 1),
+exs AS (
+  SELECT intent_id, string_agg(md5(text), ',' ORDER BY n) AS representative_examples FROM (
+    SELECT intent_id, text, row_number() OVER (PARTITION BY intent_id ORDER BY {q.sample_key('text')}, text) AS n
+    FROM named JOIN ex ON cluster = cluster_id) r WHERE n <= 5 GROUP BY 1)
+SELECT intent_id, {_title_sql('intent_id')} AS intent_name, sum(num_examples)::BIGINT AS "count",
+  round(sum(num_examples) * 100.0::DOUBLE / (SELECT sum(num_examples) FROM summary), 1) AS estimated_percentage,
+  any_value(common_keywords) AS common_keywords, any_value(representative_examples) AS representative_examples,
+  {_confusable_sql('intent_id', CONFUSABLE)} AS confusable_intents
+FROM named JOIN kws USING (intent_id) JOIN exs USING (intent_id) GROUP BY intent_id"""
 )
 def cluster_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
     docs, v, asg = _clustered(spark, sf)
-    rows = cluster.roll_up_taxonomy(cluster.cluster_summary(docs, v, asg, K))
-    return rows.select("intent_id", "intent_name", "count", "estimated_percentage")
+    rows = cluster.roll_up_taxonomy(cluster.cluster_summary(docs, v, asg, K, rules=NAME_RULES), CONFUSABLE)
+    return rows.select(
+        "intent_id", "intent_name", "count", "estimated_percentage", plain_list("common_keywords"),
+        md5_list("representative_examples"), plain_list("confusable_intents"),
+    )
 
 
 CONCEPT_CLUSTERED = f"{concept_cte('documents')},\n{kmeans_cte('cv', K, ROUNDS)}"
@@ -821,24 +907,41 @@ def concept_names(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.name_by_centroid(cluster.centroids_long(v, asg), CONCEPT_NAMES)
 
 
+CONCEPT_CONFUSABLE = {"about_articles": ("about_links", "about_places"), "about_links": ("about_articles",)}
+
+
 @register(
-    f"""WITH {CONCEPT_CLUSTERED}, {CENTROIDS}
-SELECT likely_intent_name AS intent_id, count(*) AS "count",
-  round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM documents), 1) AS estimated_percentage
-FROM asg JOIN named USING (cluster) GROUP BY 1
-UNION ALL
-SELECT 'other_or_unclear', n, round(n * 100.0::DOUBLE / (SELECT count(*) FROM documents), 1)
-FROM (SELECT (SELECT count(*) FROM documents) - (SELECT count(*) FROM asg) AS n) o WHERE n > 0"""
+    f"""WITH {CONCEPT_CLUSTERED}, {CENTROIDS}, {_examples_sql('documents', 10)},
+sizes AS (SELECT cluster, count(*) AS n FROM asg GROUP BY 1),
+weights AS (
+  SELECT likely_intent_name, term, round(sum(w * n), 9) AS weight FROM cent JOIN named USING (cluster) JOIN sizes USING (cluster) GROUP BY 1, 2),
+tops AS (
+  SELECT likely_intent_name, string_agg(term, ',' ORDER BY r) AS top_concepts FROM (
+    SELECT *, row_number() OVER (PARTITION BY likely_intent_name ORDER BY weight DESC, term) AS r FROM weights) x WHERE r <= 3 GROUP BY 1),
+exs AS (
+  SELECT likely_intent_name, string_agg(md5(text), ',' ORDER BY r) AS representative_examples FROM (
+    SELECT likely_intent_name, text, row_number() OVER (PARTITION BY likely_intent_name ORDER BY {q.sample_key('text')}, text) AS r
+    FROM named JOIN ex USING (cluster)) x WHERE r <= 10 GROUP BY 1),
+rolled AS (
+  SELECT likely_intent_name AS intent_id, sum(n)::BIGINT AS "count", any_value(top_concepts) AS top_concepts,
+    any_value(representative_examples) AS representative_examples
+  FROM sizes JOIN named USING (cluster) JOIN tops USING (likely_intent_name) JOIN exs USING (likely_intent_name) GROUP BY 1
+  UNION ALL
+  SELECT 'other_or_unclear', n, '', '' FROM (SELECT (SELECT count(*) FROM documents) - (SELECT count(*) FROM asg) AS n) o WHERE n > 0)
+SELECT intent_id, {_title_sql('intent_id')} AS intent_name, "count",
+  round("count" * 100.0::DOUBLE / (SELECT count(*) FROM documents), 1) AS estimated_percentage, top_concepts,
+  representative_examples, {_confusable_sql('intent_id', CONCEPT_CONFUSABLE)} AS confusable_intents FROM rolled"""
 )
 def concept_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
     docs, v, asg = _concept_clustered(spark, sf)
-    names = cluster.name_by_centroid(cluster.centroids_long(v, asg), CONCEPT_NAMES)
-    summary = cluster.concept_cluster_summary(docs, v, asg).drop("likely_intent_name")
-    summary = summary.join(names.withColumnRenamed("cluster", "cluster_id"), "cluster_id")
+    summary = cluster.concept_cluster_summary(docs, v, asg, mapping=CONCEPT_NAMES)
     n_docs = docs.agg(F.count("*")).scalar()
     n_in = asg.agg(F.count("*")).scalar()
-    rows = cluster.roll_up_concepts(summary, n_docs - n_in, n_docs)
-    return rows.select("intent_id", "count", "estimated_percentage")
+    rows = cluster.roll_up_concepts(summary, n_docs - n_in, n_docs, CONCEPT_CONFUSABLE)
+    return rows.select(
+        "intent_id", "intent_name", "count", "estimated_percentage", plain_list("top_concepts"),
+        md5_list("representative_examples"), plain_list("confusable_intents"),
+    )
 
 
 # ---------------------------------------------------------------- tagging
@@ -932,15 +1035,32 @@ def rule_examples(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "intent_id", "match", "rank")
 
 
+REPORT = f"""{PREVALENCE},
+hits AS ({RULE_HITS}),
+picks AS (
+  SELECT intent_id, match, text, rank FROM (
+    SELECT a.*, text, row_number() OVER (PARTITION BY intent_id, match ORDER BY {q.sample_key('doc_id')}, doc_id) AS rank FROM (
+      SELECT doc_id, {q.first_rule('text', t.LANG_RULES, 'other')} AS intent_id, 'strong' AS match FROM documents
+      UNION ALL SELECT doc_id, intent_id, match FROM hits WHERE match = 'false_positive') a JOIN documents USING (doc_id)) r
+  WHERE rank <= CASE WHEN match = 'strong' THEN 15 ELSE 5 END),
+report AS (
+  SELECT priority, intent_id, total_matches, estimated_prevalence, 'KEEP' AS recommended_action,
+    {_confusable_sql('intent_id', {r[0]: r[3] for r in t.LANG_RULES})} AS confusable_intents,
+    (SELECT string_agg(md5(text), ',' ORDER BY rank) FROM picks p WHERE p.intent_id = prev.intent_id AND match = 'strong') AS strong,
+    (SELECT string_agg(md5(text), ',' ORDER BY rank) FROM picks p WHERE p.intent_id = prev.intent_id AND match <> 'strong') AS doubtful
+  FROM prev)"""
+
+
 @register(
-    f"""WITH {PREVALENCE} SELECT priority, intent_id, total_matches, 'KEEP' AS recommended_action,
-  least(total_matches, 15) AS examples FROM prev"""
+    f"""WITH {REPORT} SELECT priority, intent_id, total_matches, estimated_prevalence, recommended_action, confusable_intents,
+  CASE WHEN strong IS NULL AND doubtful IS NULL THEN NULL ELSE coalesce(strong, '') END AS representative_examples,
+  CASE WHEN strong IS NULL AND doubtful IS NULL THEN NULL ELSE coalesce(doubtful, '') END AS false_positive_examples FROM report"""
 )
 def taxonomy_report(spark: SparkSession, sf: str) -> DataFrame:
     rows = tagging.taxonomy_report(t.documents(spark, sf), "text", "doc_id", t.LANG_RULES, "other")
     return rows.select(
-        "priority", "intent_id", "total_matches", "recommended_action",
-        F.coalesce(F.size("representative_examples"), F.lit(0)).alias("examples"),
+        "priority", "intent_id", "total_matches", r6("estimated_prevalence"), "recommended_action", plain_list("confusable_intents"),
+        md5_list("representative_examples"), md5_list("false_positive_examples"),
     )
 
 
@@ -970,18 +1090,21 @@ def first_qualifying_turn(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {QUALIFYING}
-SELECT u.conversation_id, coalesce(string_agg(md5(p.text), ',' ORDER BY p.turn_number)
-    FILTER (p.turn_number < u.turn_number), '') AS previous_turns,
-  arg_min(p.text, p.turn_number) FILTER (p.speaker = 'brand' AND p.turn_number > u.turn_number) AS brand_response
-FROM qual u JOIN turns p USING (conversation_id) GROUP BY 1"""
+    f"""WITH {QUALIFYING},
+near AS (SELECT p.*, u.turn_number AS chosen_at FROM qual u JOIN turns p USING (conversation_id)),
+before AS (
+  SELECT conversation_id, ((turn_number - 1) // 2)::INT AS part, string_agg(md5(text), ',' ORDER BY turn_number) AS previous_turns,
+    string_agg(speaker, ',' ORDER BY turn_number) AS previous_speakers FROM near WHERE turn_number < chosen_at GROUP BY 1, 2),
+reply AS (
+  SELECT conversation_id, 0 AS part, arg_min(text, turn_number) FILTER (speaker = 'brand' AND turn_number > chosen_at) AS brand_response
+  FROM near GROUP BY 1)
+SELECT conversation_id, part, coalesce(previous_turns, '') AS previous_turns, coalesce(previous_speakers, '') AS previous_speakers,
+  brand_response FROM reply FULL JOIN before USING (conversation_id, part)"""
 )
 def turn_context(spark: SparkSession, sf: str) -> DataFrame:
     turns = t.turns(spark, sf)
-    rows = sampling.previous_turns(turns, sampling.first_qualifying_turn(turns, min_words=20))
-    return rows.select(
-        CONV, F.array_join(F.transform("previous_turns", F.md5), ",").alias("previous_turns"), "brand_response"
-    )
+    rows = sampling.previous_turns(turns, sampling.first_qualifying_turn(turns, min_words=20), max_turns_per_row=2)
+    return rows.select(CONV, "part", md5_list("previous_turns"), plain_list("previous_speakers"), "brand_response")
 
 
 @register(
@@ -1084,7 +1207,7 @@ SELECT 'gold_' || lpad((row_number() OVER (ORDER BY {q.sample_key('conversation_
     AS example_id,
   conversation_id, created_at, customer_message, previous_turns, previous_speakers, brand_response,
   array_to_string(tags, ', ') AS candidate_intents, NULL::VARCHAR AS human_intent, NULL::BOOLEAN AS human_escalate,
-  NULL::VARCHAR AS human_reason, NULL::VARCHAR AS annotation_notes
+  NULL::VARCHAR AS human_reason, NULL::VARCHAR AS annotation_notes, 0 AS part
 FROM chosen JOIN context USING (conversation_id)"""
 )
 def golden_candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -1099,6 +1222,20 @@ def golden_candidates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@register(
+    f"""WITH tagged AS (SELECT doc_id, text, lang, {q.tags('text', t.LANG_HINTS)} AS tags FROM documents)
+SELECT doc_id AS example_id, md5(text) AS customer_message, lang AS human_intent FROM tagged WHERE len(tags) > 0"""
+)
+def blind_annotation(spark: SparkSession, sf: str) -> DataFrame:
+    """L3: what annotators get of all tagged documents: everything but the guessed intents."""
+    tagged = t.documents(spark, sf).withColumn("candidate_intents", tagging.tag_intents("text", t.LANG_HINTS))
+    shown = labels.blind_view(tagged.where(F.size("candidate_intents") > 0))
+    # every column that the view keeps, so that a kept guess would show
+    kept = [c for c in shown.columns if c not in ("source", "n_chars")]
+    names = {"doc_id": "example_id", "text": "customer_message", "lang": "human_intent"}
+    return shown.select(*[(F.md5(c) if c == "text" else F.col(c)).alias(names.get(c, c)) for c in kept])
+
+
 SPLIT = f"""gold AS (SELECT doc_id, {q.fingerprint('text')} AS fp FROM documents
   WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
 rest AS (
@@ -1311,7 +1448,10 @@ drafts AS (
       || num_turns || '0.50, see https://t.co/Ab' || num_turns END AS reply,
     num_turns >= 6 AS escalate, CASE WHEN num_turns >= 7 THEN 'long thread' END AS escalation_reason,
     lower(brand_response) || ' we paid $' || (num_turns // 2 * 2) || '0.50 see https://t.co/ab5'
-      || CASE WHEN num_turns % 2 = 0 THEN ' i have refunded it' ELSE '' END AS evidence
+      || CASE WHEN num_turns % 2 = 0 THEN ' i have refunded it' ELSE '' END AS evidence,
+    brand_response || ' we paid $' || (num_turns // 2 * 2) || '0.50 see https://t.co/Ab5'
+      || CASE WHEN num_turns % 2 = 0 THEN ' i have refunded it' ELSE '' END AS backing,
+    CASE WHEN conversation_id % 9 = 4 THEN 'Failed to generate JSON' END AS api_error
   FROM cases),
 parts AS (
   SELECT *, {q.words('reply')} AS n, regexp_extract_all(reply, '\\$\\d+(?:\\.\\d+)?') AS amounts,
@@ -1332,7 +1472,7 @@ failed AS (
   ) AS failures FROM parts)"""
 
 
-def _drafts(spark: SparkSession, sf: str) -> DataFrame:
+def _drafts(spark: SparkSession, sf: str, failed_calls: bool = False) -> DataFrame:
     """Replies with an amount, a link and a claim, and evidence that backs some of them."""
     cases = conv.opening_and_reply(t.turns(spark, sf))
     n, c = F.col("num_turns"), F.col(CONV)
@@ -1353,7 +1493,7 @@ def _drafts(spark: SparkSession, sf: str) -> DataFrame:
         (n >= 6).alias("escalate"),
         F.when(n >= 7, "long thread").alias("escalation_reason"),
         F.array(F.struct(backing.alias("brand_response"))).alias("evidence"),
-        F.lit(None).cast("string").alias("api_error"),
+        F.when(F.lit(failed_calls) & (c % 9 == 4), "Failed to generate JSON").alias("api_error"),
     )
 
 
@@ -1365,16 +1505,23 @@ def guardrail_failures(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     f"""WITH {DRAFTS}
-SELECT query_id::VARCHAR AS query_id, escalate OR len(failures) > 0 AS escalate,
-  CASE WHEN len(failures) > 0 THEN concat_ws(' | ', escalation_reason,
+SELECT query_id::VARCHAR AS query_id, intent, 0.5::DOUBLE AS intent_confidence,
+  len(failures) > 0 AND api_error IS NULL AS unsafe, CASE WHEN unsafe THEN true ELSE escalate END AS escalate,
+  CASE WHEN unsafe THEN concat_ws(' | ', escalation_reason,
     'Grounding Validation Failures: ' || array_to_string(failures, ', ')) ELSE escalation_reason END AS escalation_reason,
-  CASE WHEN len(failures) > 0 THEN 'Please wait while I connect you to a human agent to resolve this securely.'
+  CASE WHEN unsafe THEN 'Please wait while I connect you to a human agent to resolve this securely.'
     ELSE reply END AS reply,
-  CASE WHEN len(failures) > 0 THEN reply END AS original_draft FROM failed"""
+  CASE WHEN unsafe THEN reply END AS original_draft, backing AS evidence,
+  CASE WHEN api_error IS NOT NULL THEN 'LLM Error' ELSE array_to_string(failures, ';') END AS validation_failures, api_error FROM failed"""
 )
 def safety_override(spark: SparkSession, sf: str) -> DataFrame:
-    rows = predict.apply_safety(_drafts(spark, sf))
-    return rows.select("query_id", "escalate", "escalation_reason", "reply", "original_draft")
+    rows = predict.apply_safety(_drafts(spark, sf, failed_calls=True))
+    evidence = F.array_join(F.transform("evidence", lambda e: e["brand_response"]), ";").alias("evidence")
+    unsafe = F.col("original_draft").isNotNull().alias("unsafe")
+    return rows.select(
+        "query_id", "intent", "intent_confidence", unsafe, "escalate", "escalation_reason", "reply", "original_draft", evidence,
+        F.array_join("validation_failures", ";").alias("validation_failures"), "api_error",
+    )
 
 
 @register(
@@ -1412,17 +1559,19 @@ def _prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     f"""WITH {q.TURNS}, {q.OPENINGS}
-SELECT query_id::VARCHAR AS query_id, length(text) % 2 = 1 AS escalate,
-  CASE WHEN length(text) % 2 = 1 THEN 'odd length' END AS api_error FROM openings"""
+SELECT query_id::VARCHAR AS query_id, 'other_or_unclear' AS intent, CASE WHEN odd THEN 0.0 ELSE 0.5 END::DOUBLE AS intent_confidence,
+  CASE WHEN odd THEN '{predict.OUTAGE_REPLY.replace("'", "''")}' ELSE left(text, 40) END AS reply, odd OR length(text) % 4 = 0 AS escalate,
+  CASE WHEN odd THEN 'LLM Generation/Parsing Error: odd length' WHEN length(text) % 4 = 0 THEN 'long' END AS escalation_reason,
+  CASE WHEN odd THEN 'odd length' END AS api_error FROM (SELECT *, length(text) % 2 = 1 AS odd FROM openings) o"""
 )
 def drafted_replies(spark: SparkSession, sf: str) -> DataFrame:
     def drafter(prompt: str) -> dict:
         if len(prompt) % 2:
             raise ValueError("odd length")
-        return {"intent": "other_or_unclear", "intent_confidence": 0.5, "reply": "ok", "escalate": False}
+        some = {"intent": "other_or_unclear", "intent_confidence": 0.5, "reply": prompt[:40], "escalate": len(prompt) % 4 == 0}
+        return some | ({"escalation_reason": "long"} if some["escalate"] else {})
 
-    rows = predict.draft(t.openings(spark, sf).withColumnRenamed("text", "prompt"), drafter)
-    return rows.select("query_id", "escalate", "api_error")
+    return predict.draft(t.openings(spark, sf).withColumnRenamed("text", "prompt"), drafter)
 
 
 # ---------------------------------------------------------------- evaluation

@@ -27,6 +27,8 @@ TWEETS = """tw AS (
   FROM conversations WHERE role IN ('user', 'assistant')),
 tweets AS (
   SELECT tweet_id, conv_id, turn, inbound, author_id, text,
+         CASE WHEN (conv_id + turn) % 4 = 3 THEN (tweet_id + 1) || ',' || (tweet_id + 2) ELSE (tweet_id + 1)::VARCHAR END
+           AS response_tweet_id,
          CASE WHEN broken THEN 'unknown' ELSE strftime(posted, '%a %b %d %H:%M:%S +0000 %Y') END AS created_at,
          CASE WHEN broken THEN NULL ELSE posted END AS ts,
          CASE WHEN turn > 0 THEN tweet_id - 1
@@ -165,6 +167,8 @@ def tags(text: str, lexicon: Mapping[str, Sequence[str]]) -> str:
 
 
 def any_of(text: str, keywords: Sequence[str]) -> str:
+    if isinstance(keywords, str):
+        raise TypeError("keywords must be a list of words, not one string")
     found = [f"contains(lower({text}), '{w}')" for w in keywords]
     return "(" + " OR ".join(found) + ")" if found else "false"
 

@@ -23,9 +23,9 @@ def nested_conversations(convs: DataFrame, turns: DataFrame, max_turns_per_row:
     return convs.drop("start_ts").join(nest_turns(turns, max_turns_per_row), CONV)
 
 
-def write_conversations(nested: DataFrame, path: str, fmt: str = "parquet", mode: str = "error") -> None:
+def write_conversations(nested: DataFrame, path: str, fmt: str = "parquet", mode: str = "error", **options: str) -> None:
     """One row (or JSON line) per conversation and part, whatever the length of conversations."""
-    nested.write.format(fmt).mode(mode).save(path)
+    nested.write.format(fmt).mode(mode).options(**options).save(path)
 
 
 def flatten_turns(convs: DataFrame, turns: DataFrame) -> DataFrame:
@@ -39,15 +39,23 @@ def flatten_turns(convs: DataFrame, turns: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.write.mode(mode).csv(path, header=True, quote='"', escape='"', emptyValue="")
+    """CSV with a header and doubled quotes; white space at the ends of a value stays."""
+    df.write.mode(mode).csv(
+        path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def join_lists(golden: DataFrame) -> DataFrame:
-    """List columns as text, " | " between turns and ", " between intents."""
+    """List columns as text, " | " between turns and ", " between intents.
+
+    A bar that stands alone in a turn would read as the end of the turn. It gets a
+    backslash, as do such bars that have backslashes already; ``read_golden`` takes it away.
+    """
     rows = golden.drop("previous_speakers")
+    marked = F.transform("previous_turns", lambda e: F.regexp_replace(e, r"(?<=^| )(\\*\|)(?= |$)", r"\\$1"))
     return rows.withColumns(
         {
-            "previous_turns": F.array_join("previous_turns", " | "),
+            "previous_turns": F.array_join(marked, " | "),
             "candidate_intents": F.array_join("candidate_intents", ", "),
         }
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from threadloom.operators.evaluate import is_rate_limit
+from threadloom.session import cut_lineage
 from threadloom.sources.writers import completed_ids
 
 
@@ -29,14 +30,17 @@ def append_results(
     process: Callable[[DataFrame], DataFrame],
     path: str,
     key: str = "example_id",
-) -> None:
-    """Process what is open and append what may be stored.
+) -> DataFrame:
+    """Process what is open, append what may be stored, and return the keys of the rest.
 
-    The append is one job: after a failure either all of its rows are there or
-    none, and a rerun picks up the rest.
+    What is stored already is left out first, so a rerun adds no row twice, whether
+    an earlier append was finished, cut short, or not seen by the caller. Results are
+    written down once before they are split, so no input is processed twice in a run.
     """
     done = completed_ids(inputs.sparkSession, path, key)
-    storable(process(pending(inputs, done, key))).write.mode("append").parquet(path)
+    results = cut_lineage(process(pending(inputs, done, key)))
+    storable(results).write.mode("append").parquet(path)
+    return results.where(is_rate_limit("api_error")).select(key)
 
 
 def follow(
@@ -45,16 +49,27 @@ def follow(
     path: str,
     checkpoint: str,
     key: str = "example_id",
+    waiting: str | None = None,
 ) -> StreamingQuery:
     """S12/E14 for inputs that keep arriving in a folder.
 
     Each micro-batch runs the same resume step, so a replayed batch adds no row
-    twice. Ends once the present input is used up; start it again to go on.
+    twice. The stream hands every input out once; inputs whose results may not be
+    stored are kept in the folder ``waiting`` (by default beside ``path``) and tried
+    again when the next run starts. Ends once the present input is used up; start it
+    again to go on.
     """
+    waiting = waiting or f"{path.rstrip('/')}_waiting"
+    spark = inputs.sparkSession
 
     def step(batch: DataFrame, _batch_id: int) -> None:
-        append_results(batch.dropDuplicates([key]), process, path, key)
+        rows = batch.dropDuplicates([key])
+        limited = cut_lineage(append_results(rows, process, path, key))
+        rows.join(limited, key, "left_semi").write.mode("append").parquet(waiting)
 
+    if completed_ids(spark, waiting, key) is not None:
+        again = spark.read.schema(inputs.schema).parquet(waiting)
+        append_results(again.dropDuplicates([key]), process, path, key)
     return (
         inputs.writeStream.foreachBatch(step)
         .option("checkpointLocation", checkpoint)
