@@ -221,24 +221,27 @@ def fat_search(length: int, handles: dict[int, tuple]) -> tuple | None:
 HANDLE, EXTENT, FIRST = 0, 1, 2
 
 
-def exit_nodes(open_: DataFrame, prefixes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Add lo and e, depth and hash of the deepest extent that is a prefix of the string, and the child edge on its way: v, v_x, v_owner.
+def exit_nodes(open_: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(s, len, full, lo, e, v, v_x, v_owner): depth and hash of the deepest extent that is a prefix of the string, and the edge below it on its way.
 
-    The prefixes of the open strings are looked up among handles, extents and first
-    turns of edges in one join. A row then holds the finds of one string, one or
-    more per compacted node on its path, and is searched on its own.
+    ``open_`` has the prefixes of the open strings. They are looked up among handles,
+    extents and first turns of edges in one join. A row then holds the finds of one
+    string, a few per compacted node on its path, and is searched on its own. Every
+    open string shares a first turn with some edge, so none is missing here.
     """
     kind = lambda column, n: F.struct(F.col(column).alias("key"), F.lit(n).alias("kind"))
     keys = nodes.select(F.explode(F.array(kind("handle", HANDLE), kind("p", EXTENT), kind("first", FIRST))).alias("k"), F.struct("x", "p", "up", "uph", "owner").alias("node"))
     keys = keys.select("k.key", "k.kind", "node")
-    finds = prefixes.join(keys, prefixes["p"] == keys["key"]).groupBy("s").agg(F.collect_list(F.struct("kind", "d", "node")).alias("finds"))
+    finds = open_.join(keys, open_["p"] == keys["key"]).groupBy("s").agg(
+        F.first("len").alias("len"), F.first("full").alias("full"), F.collect_list(F.struct("kind", "d", "node")).alias("finds")
+    )
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             out = []
             for length, finds in zip(batch.column("len").to_pylist(), batch.column("finds").to_pylist()):
                 at: tuple[dict, dict, dict] = ({}, {}, {})
-                for f in finds or ():
+                for f in finds:
                     n = f["node"]
                     at[f["kind"]][f["d"]] = (n["x"], n["p"], n["up"], n["uph"], n["owner"])
                 node = fat_search(length, at[HANDLE])
@@ -253,29 +256,29 @@ def exit_nodes(open_: DataFrame, prefixes: DataFrame, nodes: DataFrame) -> DataF
             names = ["s", "len", "full"]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *[pa.array(c, k) for c, k in zip(columns, kinds)]], [*names, "lo", "e", "v", "v_x", "v_owner"])
 
-    rows = open_.join(finds, "s", "left").select("s", "len", "full", "finds")
-    return map_batches(rows, run, "s long, len long, full binary, lo long, e binary, v binary, v_x long, v_owner long")
-
+    return map_batches(finds, run, "s long, len long, full binary, lo long, e binary, v binary, v_x long, v_owner long")
 
-def located(open_: DataFrame, prefixes: DataFrame, all_prefixes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Add lo, e, v and where the string leaves the trie: l, z, c_own (depth, hash, code points) and nxt (hash one turn on)."""
-    rows = cut_lineage(exit_nodes(open_, prefixes, nodes))
-    # On the child's edge the string agrees with the edge's owner up to some depth.
-    inside = rows.where("v is not null").select("s", "v_owner", "lo", F.least("v_x", "len").alias("to"))
-    mine = prefixes.select("s", "d", "p").join(inside, "s").where((F.col("d") > F.col("lo")) & (F.col("d") <= F.col("to")))
-    other = all_prefixes.select(F.col("s").alias("v_owner"), "d", "p")
-    agreed = mine.join(other, ["v_owner", "d", "p"], "left_semi").groupBy("s").agg(F.max("d").alias("l"))
-    rows = rows.join(agreed, "s", "left").withColumn("l", F.coalesce("l", "lo")).drop("v_x", "v_owner")
-    return _around(rows, prefixes)
 
+def located(open_: DataFrame, prefixes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(s, len, full, v, inside, l, z, c_own, nxt): where a string leaves the trie.
 
-def _around(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Add z and c_own at depth l and nxt one turn on."""
-    near = prefixes.select("s", "d", "p", "c").join(rows.select("s", "l"), "s").where((F.col("d") == F.col("l")) | (F.col("d") == F.col("l") + 1))
-    here = F.col("d") == F.col("l")
-    told = near.groupBy("s").agg(F.max(F.when(here, F.col("p"))).alias("z"), F.max(F.when(here, F.col("c"))).alias("c_own"), F.max(F.when(~here, F.col("p"))).alias("nxt"))
-    rows = rows.join(told, "s", "left")
-    return rows.withColumns({"z": F.coalesce("z", F.lit(ROOT)), "c_own": F.coalesce("c_own", F.lit(0).cast("long"))})
+    l, z, c_own: depth, hash and code points of the part that is there already; v: the
+    edge's lower end if that is inside an edge; nxt: the hash one turn on, null at the
+    string's end. On an edge, the string agrees with the edge's owner up to some depth.
+    """
+    rows = exit_nodes(open_, nodes).withColumn("to", F.coalesce(F.least("v_x", "len"), "lo"))
+    mine = open_.select("s", "d", "p", "c").join(rows, "s").where((F.col("d") >= F.col("lo")) & (F.col("d") <= F.col("to") + 1))
+    spelt = prefixes.select(F.col("s").alias("v_owner"), "d", "p", F.lit(True).alias("same"))
+    both = mine.join(spelt, ["v_owner", "d", "p"], "left").withColumn("same", (F.col("d") == F.col("lo")) | F.coalesce("same", F.lit(False)))
+    told = both.groupBy("s").agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in ("len", "full", "lo", "v")],
+        F.max(F.when(F.col("same"), F.struct("d", "p", "c"))).alias("at"), F.min(F.when(~F.col("same"), F.struct("d", "p"))).alias("on"),
+    )
+    l = F.coalesce("at.d", F.lit(0)).cast("long")  # noqa: E741
+    return told.select(
+        "s", "len", "full", "v", (F.col("v").isNotNull() & (l > F.col("lo"))).alias("inside"), l.alias("l"), F.coalesce("at.p", F.lit(ROOT)).alias("z"),
+        F.coalesce("at.c", F.lit(0)).cast("long").alias("c_own"), F.col("on.p").alias("nxt"),
+    )
 
 
 def with_handles(edges: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -284,22 +287,24 @@ def with_handles(edges: DataFrame, prefixes: DataFrame) -> DataFrame:
     spelt = prefixes.select(F.col("s").alias("owner"), "d", F.col("p").alias("q")).join(rows, "owner")
     spelt = spelt.where((F.col("d") == F.col("f")) | (F.col("d") == F.col("up") + 1))
     # an edge is told by its lower end
-    return spelt.groupBy("x", "p", "up", "uph", "owner").agg(
-        F.max(F.when(F.col("d") == F.col("f"), F.col("q"))).alias("handle"), F.max(F.when(F.col("d") == F.col("up") + 1, F.col("q"))).alias("first")
-    )
+    return spelt.groupBy("p").agg(
+        *[F.first(c).alias(c) for c in ("x", "up", "uph", "owner")],
+        F.max(F.when(F.col("d") == F.col("f"), F.col("q"))).alias("handle"), F.max(F.when(F.col("d") == F.col("up") + 1, F.col("q"))).alias("first"),
+    )
 
 
 def build(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", stride: int = STRIDE, heads: int = HEADS) -> Trie:
     """The trie of all conversations; ``heads`` 1 takes them as they are."""
-    turns = cut_lineage(hashed_turns(df, conv_id, turn, role, text))
+    turns = hashed_turns(df, conv_id, turn, role, text)
     convs = cut_lineage(rebuilt(turns, stride, heads))
     best = F.min(F.struct("conv", "len", "chars", "head", "hb", "skip", "delta", "c0")).alias("r")
     strings = cut_lineage(convs.groupBy("full").agg(best, F.count("*").alias("weight")).select("full", "weight", "r.*").withColumnRenamed("conv", "s"))
     prefixes = cut_lineage(prefixes_of(strings, turns))
     strings = strings.select("s", "len", "full", "weight", "chars")
     # The first batch meets the bare root.
-    bare = {"lo": F.lit(0).cast("long"), "e": F.lit(ROOT), "v": F.lit(None).cast("binary"), "l": F.lit(0).cast("long")}
-    found = _around(strings.select("s", "len", "full").withColumns(bare), prefixes)
+    starts = prefixes.where("d = 1").select("s", F.col("p").alias("nxt"))
+    root = {"v": F.lit(None).cast("binary"), "inside": F.lit(False), "l": F.lit(0).cast("long"), "z": F.lit(ROOT), "c_own": F.lit(0).cast("long")}
+    found = strings.select("s", "len", "full").withColumns(root).join(starts, "s", "left")
     nodes, near, settled = None, prefixes, []
     while True:
         found = cut_lineage(found)
@@ -307,35 +312,29 @@ def build(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str
         marked = found.join(chosen.select("r.s", F.lit(True).alias("hung")), "s", "left").withColumn("hung", F.coalesce("hung", F.lit(False)))
         marked = cut_lineage(marked.withColumn("open", F.col("nxt").isNotNull() & ~F.col("hung")))
         leaves = marked.where("hung").select(F.col("len").alias("x"), F.col("full").alias("p"), F.col("l").alias("up"), F.col("z").alias("uph"), F.col("s").alias("owner"))
-        nodes = cut_lineage(with_handles(leaves, near) if nodes is None else _split(nodes, marked, leaves, prefixes))
+        nodes = cut_lineage(with_handles(leaves, prefixes) if nodes is None else _split(nodes, marked, leaves, prefixes))
         settled.append(marked.where("not open").select("s", "c_own"))
         open_ = marked.where("open").select("s", "len", "full")
         if open_.isEmpty():
             break
-        near = cut_lineage(near.join(open_.select("s"), "s", "left_semi"))
-        found = located(open_, near, prefixes, nodes)
+        near = cut_lineage(near.select("s", "d", "p", "c").join(open_, "s"))
+        found = located(near, prefixes, nodes)
     owned = settled[0]
     for more in settled[1:]:
         owned = owned.unionByName(more)
-    return Trie(nodes, prefixes, cut_lineage(strings.join(owned, "s")), convs.select("conv", "full"))
+    return Trie(nodes, prefixes, strings.join(owned, "s"), convs.select("conv", "full"))
 
 
 def _split(nodes: DataFrame, marked: DataFrame, leaves: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Nodes with edges cut at all exit points inside them, and the new leaves."""
-    splits = marked.where("v is not null and l > lo").select("v", "l", "z").distinct()
-    cut = splits.select("v").distinct().select(F.col("v").alias("p"), F.lit(True).alias("cut"))
-    told = nodes.join(cut, "p", "left")
-    old = told.where("cut").select("x", "p", "up", "uph", "owner")
-    points = old.select(F.col("p").alias("v"), F.col("x").alias("l"), F.col("p").alias("z"), "up", "uph", "owner")
-    none = {"up": F.lit(None).cast("long"), "uph": F.lit(None).cast("binary"), "owner": F.lit(None).cast("long")}
-    points = points.unionByName(splits.withColumns(none))
-    along = W.partitionBy("v").orderBy("l")
-    whole = W.partitionBy("v")  # one row of the edge has its upper end and owner
-    known = {c: F.max(c).over(whole) for c in ("up", "uph", "owner")}
-    points = points.withColumns({"prior_l": F.lag("l").over(along), "prior_z": F.lag("z").over(along), **known})
-    pieces = points.select(F.col("l").alias("x"), F.col("z").alias("p"), F.coalesce("prior_l", "up").alias("up"), F.coalesce("prior_z", "uph").alias("uph"), "owner")
-    kept = told.where("cut is null").select(*nodes.columns)
-    return kept.unionByName(with_handles(pieces.unionByName(leaves), prefixes).select(*nodes.columns))
+    edges = nodes.select(F.col("p").alias("v"), F.col("x").alias("l"), F.col("p").alias("z"), "up", "uph", "owner", "handle", "first")
+    points = edges.unionByName(marked.where("inside").select("v", "l", "z").distinct(), allowMissingColumns=True)
+    along, whole = W.partitionBy("v").orderBy("l"), W.partitionBy("v")
+    known = {c: F.max(c).over(whole) for c in ("up", "uph", "owner")}  # one row of an edge has its upper end and owner
+    points = points.withColumns({"prior_l": F.lag("l").over(along), "prior_z": F.lag("z").over(along), "pieces": F.count("*").over(whole), **known})
+    ends = [F.col("l").alias("x"), F.col("z").alias("p"), F.coalesce("prior_l", "up").alias("up"), F.coalesce("prior_z", "uph").alias("uph"), F.col("owner")]
+    fresh = with_handles(points.where("pieces > 1").select(*ends).unionByName(leaves), prefixes)
+    return points.where("pieces = 1").select(*ends, "handle", "first").unionByName(fresh)
 
 
 def ends_digests(members: DataFrame) -> DataFrame:
