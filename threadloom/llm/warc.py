@@ -231,4 +231,6 @@ def read(manifest: DataFrame) -> DataFrame:
                     yield batch_of(rows)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
-    return map_batches(manifest.repartition(F.col("path")), run, schema)
+    # With a number given, Spark does not put the few small rows together in one task.
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return map_batches(manifest.repartition(tasks, "path"), run, schema)
