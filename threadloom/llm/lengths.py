@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.llm.batches import map_batches
+from threadloom.session import cut_lineage
 
 #: Lengths of one slice of the suffix sums. The longest text sets the number of slices.
 SLICE = 1024
@@ -56,7 +57,7 @@ def histogram(lengths: DataFrame) -> DataFrame:
     tokens_truncated: tokens left when every document is cut at this length.
     rank_from, rank_to: places of these documents in ascending order of length.
     """
-    counts = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    counts = cut_lineage(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")))  # read twice; texts are encoded once
     counts = counts.withColumn("_slice", F.floor(F.col("n_tokens") / SLICE))
     weight = F.col("n_docs") * F.col("n_tokens")
     slices = counts.groupBy("_slice").agg(F.sum("n_docs").alias("_docs"), F.sum(weight).alias("_tokens"))
