@@ -411,6 +411,47 @@ def test_common_equals_brute_force(monkeypatch, pairs):
         assert syncmers._common(np.array(x, np.uint32), np.array(y, np.uint32)) == best[-1]
 
 
+def test_network_equals_loops(spark):
+    """Windows, filters, pooling, softmax and the mean over windows, written out byte by byte."""
+    net = language.Network.fresh(["a", "b", "c"], 3)
+    net.bias += 0.1
+    texts = ["x", "naïve café", "word " * 120, "k" * 256, "z" * 257]
+    got = {r["doc_id"]: r for r in language.predict(frame(spark, texts), net).collect()}
+    for d, text in enumerate(texts):
+        data, total = text.encode(), np.zeros(3)
+        for at in range(0, len(data), language.WINDOW):
+            part = data[at : at + language.WINDOW]
+            padded = list(part) + [0] * (language.WINDOW - len(part))
+            hidden = []
+            for f, width in enumerate(np.repeat(language.WIDTHS, language.FILTERS)):
+                best = -np.inf
+                for i in range(language.WINDOW):
+                    value = 0.0
+                    for k in range(width):
+                        if i + k < language.WINDOW:
+                            value += float(net.embed[padded[i + k]] @ net.filters[k * language.EMBED : (k + 1) * language.EMBED, f])
+                    best = max(best, value)
+                hidden.append(max(best + float(net.bias[f]), 0))
+            out = np.array(hidden) @ net.dense + net.dense_bias
+            out = np.exp(out - out.max())
+            total += out / out.sum() * len(part)
+        total /= total.sum()
+        assert got[d]["lang_pred"] == net.languages[int(total.argmax())] and abs(got[d]["score"] - total.max()) < 1e-5
+
+
+def test_sample_of_a_language_is_the_first_in_order(spark, monkeypatch):
+    """Ranking by salts first gives the same windows as ranking a language at once."""
+    monkeypatch.setattr(language.Network, "learn", lambda self, windows, labels: (windows, labels))
+    df = spark.createDataFrame([(i, f"text number {i} of many", "en" if i % 7 else "fr") for i in range(900)], "doc_id long, text string, lang string")
+    windows, labels = language.train(df, per_language=40)
+    assert np.bincount(labels).tolist() == [40, 40]
+    order = df.where(~language.held_out()).select("doc_id", "text", "lang", F.xxhash64(F.lit(11), "doc_id", "text").alias("place")).orderBy("place").collect()
+    firsts = {lang: [r["text"] for r in order if r["lang"] == lang][:40] for lang in ("en", "fr")}
+    for k, lang in enumerate(("en", "fr")):
+        parts = {bytes(w[w > 0]).decode() for w in windows[labels == k]}
+        assert all(any(p in t for t in firsts[lang]) for p in parts)
+
+
 # ---------------------------------------------------------------- quality
 
 

@@ -36,6 +36,8 @@ PER_LANGUAGE = 1000
 UNKNOWN = "und"
 #: Windows that go through the network at once.
 AT_ONCE = 256
+#: Parts of a language that are ranked on their own before the language is.
+SALTS = 16
 _WIDEST = max(WIDTHS)
 
 
@@ -154,8 +156,12 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     at = F.pmod(place, F.greatest(F.lit(1), F.length(text) - WINDOW // 2)) + 1
     rows = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}"))
     rows = rows.select(F.col(lang).cast("string").alias("lang"), F.substring(F.col(text), at.cast("int"), F.lit(WINDOW)).alias("part"), place.alias("place"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("place", "part"))
-    sample = rows.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "part", "place").toArrow().to_pandas()
+    # A language may have most of the rows: each of its salts is ranked first, so the last ranking sees few of them.
+    rows = rows.withColumn("salt", F.pmod("place", F.lit(SALTS)))
+    for keys in (["lang", "salt"], ["lang"]):
+        rank = F.row_number().over(W.partitionBy(*keys).orderBy("place", "part"))
+        rows = rows.withColumn("rank", rank).where(F.col("rank") <= per_language)
+    sample = rows.select("lang", "part", "place").toArrow().to_pandas()
     if not len(sample):
         return None
     sample = sample.sort_values(["place", "lang", "part"])
