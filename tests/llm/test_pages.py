@@ -6,6 +6,8 @@ import math
 import pytest
 from pyspark.sql import types as T
 
+from pyspark.sql import functions as F
+
 from threadloom.llm import reputation, warc
 
 PAGE = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType()), T.StructField("host", T.StringType()), T.StructField("verdict", T.StringType())])
@@ -115,7 +117,23 @@ def test_reputation(spark):
     spam = (domains["spam.com"][1] + w[1] * com) / (domains["spam.com"][0] + w[1])
     bad = (58 + w[2] * spam) / (60 + w[2])
     assert math.isclose(got["bad.spam.com"]["bad_mean"], bad) and math.isclose(got["x.spam.com"]["bad_mean"], spam)
-    assert math.isclose(got["y.other.com"]["bad_mean"], com) and got["z.zz"]["bad_mean"] is None
+    assert math.isclose(got["y.other.com"]["bad_mean"], com) and math.isclose(got["z.zz"]["bad_mean"], mean)
+    assert math.isclose(got["z.zz"]["bad_low"], mean - reputation.BOUND * math.sqrt(mean * (1 - mean) / (w[0] + 1)))
     low = bad - reputation.BOUND * math.sqrt(bad * (1 - bad) / (60 + w[2] + 1))
     assert math.isclose(got["bad.spam.com"]["bad_low"], low)
     assert got["bad.spam.com"]["verdict"] == "block" and got["a.fine.com"]["verdict"] == "allow" and got["z.zz"]["verdict"] == "allow"
+
+
+def test_reputation_of_odd_tables(spark):
+    """Empty tables, columns named like results, addresses and suffixes of two labels."""
+    pages = frame(spark, [(1, None, ""), (2, "http://10.0.0.1:80/x", ""), (3, "http://a.b.gov.uk/", "")])
+    table = spark.createDataFrame([], "url string, bad int")
+    got = reputation.judge(pages.withColumn("verdict", F.lit("mine")).withColumn("bad_mean", F.lit(7)), table)
+    assert {r["verdict"] for r in got.collect()} == {"allow"} and len(set(got.columns)) == len(got.columns)
+    assert reputation.judge(pages.where("false"), table).count() == 0
+    hosts = spark.createDataFrame([("10.0.0.1:80",), ("a.b.gov.uk",), ("x.y.co.nz",), ("a.example.com",), ("z",), ("",), ("a.b.own.tld",)], "host string")
+    told = {r["host"]: (r["_domain"], r["_suffix"]) for r in hosts.withColumns(reputation.levels(suffixes=["own.tld"])).collect()}
+    assert told == {
+        "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "a.b.gov.uk": ("b.gov.uk", "gov.uk"), "x.y.co.nz": ("y.co.nz", "co.nz"), "a.example.com": ("example.com", "com"),
+        "z": ("z", "z"), "": ("", ""), "a.b.own.tld": ("b.own.tld", "own.tld"),
+    }

@@ -149,11 +149,11 @@ p AS MATERIALIZED (
 l AS (
   SELECT page_id, host, path, regexp_replace(host, ':[0-9]*$', '') AS name, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS s FROM p),
 z AS (
-  SELECT *, CASE WHEN array_to_string(s[greatest(1, len(s) - 1):], '.') IN
-    ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'com.br', 'co.jp', 'co.kr', 'co.in', 'com.cn') THEN 2 ELSE 1 END AS k FROM l),
+  SELECT *, regexp_full_match(name, '[0-9]+(\\.[0-9]+){3}') AS address, CASE WHEN regexp_full_match(array_to_string(s[greatest(1, len(s) - 1):], '.'),
+    '(ac|co|com|edu|go|gob|gov|gub|mil|ne|net|or|org)\\.[a-z]{2}') THEN 2 ELSE 1 END AS k FROM l),
 n AS MATERIALIZED (
-  SELECT page_id, host, path, name, array_to_string(s[greatest(1, len(s) - k):], '.') AS domain,
-    array_to_string(s[greatest(1, len(s) - k + 1):], '.') AS suffix FROM z),
+  SELECT page_id, host, path, name, CASE WHEN address THEN name ELSE array_to_string(s[greatest(1, len(s) - k):], '.') END AS domain,
+    CASE WHEN address THEN name ELSE array_to_string(s[greatest(1, len(s) - k + 1):], '.') END AS suffix FROM z),
 o AS (SELECT doc_id, max((quality = 0 OR toxic = 1)::int) AS bad FROM labels GROUP BY doc_id),
 b AS (
   SELECT n.*, bad FROM n JOIN o ON o.doc_id = try_cast(regexp_extract(path, '^/[^/]+/([0-9]+)', 1) AS bigint) WHERE bad IS NOT NULL),
@@ -177,10 +177,10 @@ h1 AS (
   SELECT name, (bad + w * d1.mean) / (pages + w) AS mean, pages + w AS t
   FROM hosts JOIN d1 ON d1.domain = hosts.domain AND d1.suffix = hosts.suffix, w WHERE lv = 3),
 j AS (
-  SELECT page_id, host, path, coalesce(h1.mean, d1.mean, s1.mean) AS bad_mean,
+  SELECT page_id, host, path, coalesce(h1.mean, d1.mean, s1.mean, m) AS bad_mean,
     coalesce(h1.mean - 1.645 * sqrt(h1.mean * (1 - h1.mean) / (h1.t + 1)), d1.mean - 1.645 * sqrt(d1.mean * (1 - d1.mean) / (d1.t + 1)),
-      s1.mean - 1.645 * sqrt(s1.mean * (1 - s1.mean) / (s1.t + 1))) AS bad_low
-  FROM n LEFT JOIN h1 ON h1.name = n.name LEFT JOIN d1 ON d1.domain = n.domain LEFT JOIN s1 ON s1.suffix = n.suffix),
+      s1.mean - 1.645 * sqrt(s1.mean * (1 - s1.mean) / (s1.t + 1)), m - 1.645 * sqrt(m * (1 - m) / (w.w + 1))) AS bad_low
+  FROM n CROSS JOIN m JOIN (SELECT coalesce(max(w) FILTER (lv = 1), 1000.0) AS w FROM w) w ON true LEFT JOIN h1 ON h1.name = n.name LEFT JOIN d1 ON d1.domain = n.domain LEFT JOIN s1 ON s1.suffix = n.suffix),
 q AS (
   SELECT *, CASE
     WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/de/') THEN 'example.com/de/'

@@ -27,8 +27,8 @@ from threadloom.session import cut_lineage
 
 #: (host, path, verdict). A rule fits its host, all subdomains, and paths that start with its path.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Public suffixes of two labels under which names are registered; any other suffix is the last label.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "co.kr", "co.in", "com.cn")
+#: Under two-letter country codes names are registered below these labels, as in co.uk or com.mx.
+SECOND_LABELS = ("ac", "co", "com", "edu", "go", "gob", "gov", "gub", "mil", "ne", "net", "or", "org")
 BLOCK_ABOVE = 0.5
 #: Standard deviations between the posterior mean and its bound.
 BOUND = 1.645
@@ -60,14 +60,20 @@ def rule_of(rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column, Colu
     return name, verdict
 
 
-def levels() -> dict[str, Column]:
-    """Host without port, registered domain and suffix of a row with ``host``."""
+def levels(second_labels: Sequence[str] = SECOND_LABELS, suffixes: Sequence[str] = ()) -> dict[str, Column]:
+    """Host without port, registered domain and suffix of a row with ``host``; ``suffixes`` are further ones of two labels.
+
+    An IPv4 address is its own domain and suffix.
+    """
     bare = F.regexp_replace("host", ":[0-9]*$", "")
     labels = F.split(bare, "\\.")
     two = F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), F.lit(2)), ".")
-    size = F.when(two.isin(*TWO_LABEL_SUFFIXES), 2).otherwise(1)
+    country = two.rlike(f"^({'|'.join(second_labels)})\\.[a-z]{{2}}$") if second_labels else F.lit(False)
+    size = F.when(country | two.isin(*suffixes), 2).otherwise(1)
     last = lambda n: F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - n + 1), n), ".")
-    return {"_name": bare, "_domain": last(size + 1), "_suffix": last(size)}
+    address = bare.rlike("^[0-9]+(\\.[0-9]+){3}$")
+    own = lambda c: F.when(address, bare).otherwise(c)
+    return {"_name": bare, "_domain": own(last(size + 1)), "_suffix": own(last(size))}
 
 
 def _strength(units: DataFrame, mean: float) -> float:
@@ -89,7 +95,7 @@ def _strength(units: DataFrame, mean: float) -> float:
 def reputations(labelled: DataFrame) -> DataFrame:
     """Posterior bad rate of every labelled host, domain and suffix: (level, name, bad_mean, bad_low).
 
-    ``labelled`` has _name, _domain, _suffix and bad (0 or 1). Only sums over a
+    The row of level "all" is the prior of suffixes without labels. ``labelled`` has _name, _domain, _suffix and bad (0 or 1). Only sums over a
     level come to the driver.
     """
     hosts = labelled.where("bad is not null").groupBy("_name", "_domain", "_suffix").agg(F.sum("bad").alias("bad"), F.count("*").alias("pages"))
@@ -111,10 +117,20 @@ def reputations(labelled: DataFrame) -> DataFrame:
     domains = shrink(domains.join(suffixes.select("_suffix", F.col("mean").alias("up")), "_suffix"), strengths[1], F.col("up"))
     hosts = shrink(hosts.join(domains.select("_domain", "_suffix", F.col("mean").alias("up")), ["_domain", "_suffix"]), strengths[2], F.col("up"))
     pick = lambda df, level, name: df.select(F.lit(level).alias("level"), F.col(name).alias("name"), F.col("mean").alias("bad_mean"), F.col("low").alias("bad_low"))
-    return cut_lineage(pick(hosts, "host", "_name").unionByName(pick(domains, "domain", "_domain")).unionByName(pick(suffixes, "suffix", "_suffix")))
-
-
-def judge(pages: DataFrame, labelled: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
+    low = overall - BOUND * (overall * (1 - overall) / (strengths[0] + 1)) ** 0.5
+    everything = hosts.sparkSession.createDataFrame([("all", "", overall, low)], "level string, name string, bad_mean double, bad_low double")
+    named = pick(hosts, "host", "_name").unionByName(pick(domains, "domain", "_domain")).unionByName(pick(suffixes, "suffix", "_suffix"))
+    return cut_lineage(named.unionByName(everything))
+
+
+def judge(
+    pages: DataFrame,
+    labelled: DataFrame,
+    url: str = "url",
+    rules: Sequence[tuple[str, str, str]] = RULES,
+    second_labels: Sequence[str] = SECOND_LABELS,
+    suffixes: Sequence[str] = (),
+) -> DataFrame:
     """Add host, path, rule, verdict, bad_mean and bad_low.
 
     ``labelled`` has the url column and bad (0 or 1) of judged pages. The table of
@@ -123,14 +139,16 @@ def judge(pages: DataFrame, labelled: DataFrame, url: str = "url", rules: Sequen
     """
     added = ("host", "path", "rule", "verdict", "bad_mean", "bad_low")
     pages = with_host(pages.select(*[c for c in pages.columns if c not in added]), url)
-    known = reputations(with_host(labelled.select(F.col(url).alias("url"), "bad")).withColumns(levels()))
+    parts_of = levels(second_labels, suffixes)
+    known = reputations(with_host(labelled.select(F.col(url).alias("url"), "bad")).withColumns(parts_of))
+    everything = known.where("level = 'all'").select("bad_mean", "bad_low").first()
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
     parts = F.pmod(F.xxhash64(url, F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
-    rows = pages.withColumns(levels()).withColumn("_salt", parts)
+    rows = pages.withColumns(parts_of).withColumn("_salt", parts)
     for level, name in (("host", "_name"), ("domain", "_domain"), ("suffix", "_suffix")):
         one = known.where(F.col("level") == level).select(F.col("name").alias(name), F.col("bad_mean").alias(f"_{level}_mean"), F.col("bad_low").alias(f"_{level}_low"), salts)
         rows = rows.join(one, [name, "_salt"], "left")
-    first = lambda what: F.coalesce(*[F.col(f"_{level}_{what}") for level in ("host", "domain", "suffix")])
+    first = lambda what: F.coalesce(*[F.col(f"_{level}_{what}") for level in ("host", "domain", "suffix")], F.lit(everything[f"bad_{what}"]))
     rule, verdict = rule_of(rules)
     method = F.when(first("low") > BLOCK_ABOVE, "block").otherwise("allow")
     kept = [c for c in pages.columns if c not in ("host", "path")]
