@@ -13,11 +13,15 @@ the forest with its signature read in that tree's order, and the tree is sorted.
 2. Completion. Regions (a tree's classes with a common prefix of ``DEPTH`` values)
    whose classes are not yet all in one component are looked at again: classes
    outside the region's largest component meet all classes of other components,
-   block by block, and all pairs whose signatures agree well enough are candidates.
+   block by block. Where signatures agree well enough, the ``SKETCH`` least hashes of
+   the two sets are compared. They are the whole set for most texts, so that a block
+   knows its links and hands on a spanning forest of them: no more pairs than it has
+   classes. Pairs of longer texts are candidates if the sketches agree well enough.
 
 All candidates are confirmed on full sets: 100 * intersection >= 75 * union.
-A pair of similarity 0.75 misses all 32 regions with probability 3e-8, and a
-signature estimate below ``ESTIMATE`` has a probability of about 3e-6.
+A pair of similarity 0.75 misses all 32 regions with probability 3e-8, a signature
+estimate below ``ESTIMATE`` has a probability of about 3e-6, and so has a sketch
+estimate below ``SKETCH_ESTIMATE``.
 
 Cases: null and wordless texts have no set and stand alone; null ids take part
 (a component whose ids are all null has a null component_id); repeated rows are
@@ -40,12 +44,14 @@ from threadloom.llm.batches import map_batches
 from threadloom.llm.keyfilter import mark_maybe
 from threadloom.llm.words import find_words, gram_hash, inside, mix, slices
 from threadloom.operators.graph import connected_components
-from threadloom.session import cut_lineage
+from threadloom.session import cut_lineage, loose
 
 SHINGLE = 5
 TREES, DEPTH, LABEL = 32, 3, 8
 VALUES = TREES * DEPTH
 ESTIMATE = 0.55
+#: Least hashes of a set that classes bring to the blocks of unsettled regions.
+SKETCH, SKETCH_ESTIMATE = 512, 0.66
 BLOCK = 512
 SALTS = 16
 #: Neighbours of a class that are confirmed first. What this leaves out is left to the completion, which has no limit.
@@ -277,15 +283,45 @@ def _blocks(members: DataFrame, components: DataFrame, classes: DataFrame) -> Da
     asks = placed.where("apart").select(*dealt, F.lit(True).alias("asks"), spot(F.col("cols"), 1).alias("c"), F.explode(every(F.col("rows"))).alias("r"))
     answers = placed.select(*dealt, F.lit(False).alias("asks"), F.explode(every(F.col("cols"))).alias("c"), spot(F.col("rows"), 2).alias("r"))
     both = asks.unionByName(answers).withColumn("block", F.concat("region", F.encode(F.concat_ws(",", F.lit(""), "c", "r"), "utf-8")))
-    return both.join(classes.select("cls", "sig", "n_shingles"), "cls").select("block", "asks", "cls", "comp", "sig", "n_shingles")
+    return both.join(classes, "cls").select("block", "asks", "cls", "comp", "sig", "n_shingles", "sketch")
 
 
-def _ask(group: dict[str, np.ndarray], tree: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def with_sketches(members: DataFrame, components: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(cls, sig, n_shingles, sketch) of the classes in unsettled regions; sketches are made where the texts are read."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            least = [(s[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for s in shingle_sets(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(least, pa.binary())], ["id", "h", "sketch"])
+
+    own = F.coalesce("component", "cls")
+    told = members.join(components, "cls", "left").groupBy("region").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b")
+    unsettled = members.join(loose(told.select("region")), "region").select("cls").distinct()
+    wanted = cut_lineage(unsettled.join(classes.select("cls", "id", "h", "sig", "n_shingles"), "cls"))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    made = map_batches(mark_maybe(rows, wanted, "h").where("maybe").select("id", "h", "text"), run, f"id {kind}, h long, sketch binary")
+    same = (made["h"] == wanted["h"]) & made["id"].eqNullSafe(wanted["id"])
+    return made.join(wanted, same).select("cls", "sig", "n_shingles", "sketch").dropDuplicates(["cls"])
+
+
+def sketch_overlap(x: np.ndarray, y: np.ndarray, size: int) -> tuple[int, float]:
+    """Common values of two sketches, and the similarity that the least values of both together show."""
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    common = y[x[at] == y]
+    both = np.union1d(x, y)
+    size = min(size, len(both))
+    return len(common), float((common <= both[size - 1]).sum()) / size
+
+
+def _ask(group: dict[str, np.ndarray], tree: int, size: int, least: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
     asks = group["asks"]
     q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
+    _, comp = np.unique(group["comp"].view("V16").ravel(), return_inverse=True)
+    root = comp.copy()  # of every row; components join as links are found
     left, right = [], []
     for i in q:
-        other = m[(group["comp"][m] != group["comp"][i]).any(1)]
+        other = m[root[m] != root[i]]
         n = group["n"][other]
         other = other[100 * np.minimum(n, group["n"][i]) >= 75 * np.maximum(n, group["n"][i])]
         if not len(other):
@@ -295,13 +331,28 @@ def _ask(group: dict[str, np.ndarray], tree: int) -> tuple[list[np.ndarray], lis
         # a pair that shares regions of several trees counts in the first of them
         first = equal.reshape(-1, TREES, DEPTH).all(2).argmax(1)
         good = np.flatnonzero((estimate >= ESTIMATE) & (first == tree))
-        left += [group["cls"][i]] * len(good)
-        right += list(group["cls"][other[good]])
+        for j in other[good[np.argsort(-estimate[good], kind="stable")]]:
+            if root[i] == root[j]:
+                continue
+            common, similar = sketch_overlap(group["sketch"][i], group["sketch"][j], size)
+            total = int(group["n"][i] + group["n"][j])
+            if max(group["n"][i], group["n"][j]) <= size:  # the sketches are the sets
+                if 100 * common < 75 * (total - common):
+                    continue
+                # Values are half hashes, of which one or two may agree by chance.
+                if 100 * (common - 2) >= 75 * (total - common + 2):
+                    root[root == root[j]] = root[i]
+            elif similar < least:
+                continue
+            left.append(group["cls"][i])
+            right.append(group["cls"][j])
     return left, right
 
 
 def asked(blocks: DataFrame) -> DataFrame:
-    """All likely pairs (a, b) of different components inside blocks."""
+    """Pairs (a, b) of different components inside blocks: a spanning forest of known links, and likely pairs of long texts."""
+
+    size, least = SKETCH, SKETCH_ESTIMATE
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -310,13 +361,14 @@ def asked(blocks: DataFrame) -> DataFrame:
             blocks_ = table.column("block").to_pylist()
             cols = {
                 "cls": _fixed(table.column("cls"), 16), "comp": _fixed(table.column("comp"), 16), "sig": _fixed(table.column("sig"), 4 * VALUES).copy().view(np.uint32),
+                "sketch": np.array([np.frombuffer(x, np.uint32) for x in table.column("sketch").to_pylist()] + [None], object)[:-1],
                 "n": table.column("n_shingles").to_numpy(), "asks": table.column("asks").to_numpy(zero_copy_only=False),
             }
             left, right, i = [], [], 0
             for j in range(1, len(blocks_) + 1):
                 if j == len(blocks_) or blocks_[j] != blocks_[i]:
                     tree = int.from_bytes(blocks_[i][:4], "big")
-                    a, b = _ask({k: v[i:j] for k, v in cols.items()}, tree)
+                    a, b = _ask({k: v[i:j] for k, v in cols.items()}, tree, size, least)
                     left += a
                     right += b
                     i = j
@@ -406,7 +458,8 @@ def grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     pairs = cut_lineage(best_of_each(likely(_ordered(near.where("other is not null"), "cls", "other"), classes)))
     links = cut_lineage(confirm(pairs, docs, classes, doc_id, text))
     found = _named(links)
-    pairs = cut_lineage(asked(_blocks(members, found, classes)).join(pairs, ["a", "b"], "left_anti"))
+    sketched = with_sketches(members, found, classes, docs, doc_id, text)
+    pairs = cut_lineage(asked(_blocks(members, found, sketched)).join(pairs, ["a", "b"], "left_anti"))
     more = cut_lineage(confirm(pairs, docs, classes, doc_id, text))
     found = _joined(found, more)
     linked = found.join(classes, "cls")
