@@ -178,9 +178,12 @@ def test_components_equal_brute_force(spark, texts, monkeypatch, block, best):
     assert got["kept"].tolist() == [i == c for i, (_, c) in zip(ids, want)]
 
 
-@pytest.mark.parametrize("block", [forest.BLOCK, 3])
-def test_completion_alone_equals_brute_force(spark, texts, monkeypatch, block):
-    """No neighbour pair is confirmed first, so only the completion links, in every tree."""
+@pytest.mark.parametrize("block,sketch", [(forest.BLOCK, forest.SKETCH), (3, forest.SKETCH), (forest.BLOCK, 20), (4, 20)])
+def test_completion_alone_equals_brute_force(spark, texts, monkeypatch, block, sketch):
+    """No neighbour pair is confirmed first, so only the completion links, in every tree; short sketches leave all to the full sets."""
+    monkeypatch.setattr(forest, "SKETCH", sketch)
+    if sketch < forest.VALUES:
+        monkeypatch.setattr(forest, "SKETCH_ESTIMATE", 0.3)
     monkeypatch.setattr(forest, "BLOCK", block)
     monkeypatch.setattr(forest, "FIRST_BEST", 0)
     rnd = random.Random(11)
@@ -474,22 +477,60 @@ def test_quality_rules(spark, texts):
     want = [brute_rules(t) for t in texts]
     assert [tuple(r) for r in got[["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]].itertuples(index=False)] == want
     assert not got[got["base_failed"]]["kept"].any()
-    assert (got["kept"] == (~got["base_failed"] & (got["score"].fillna(0) >= quality.THRESHOLD))).all()
+    assert (got["kept"] == (~got["base_failed"] & (got["score"].round(quality.DECIMALS).fillna(0) >= got["threshold"]))).all()
     assert quality.judge(frame(spark, []), df).count() == 0
     none = quality.judge(df, df.where("false"))
-    assert none.count() == len(texts)
+    assert none.count() == len(texts) and none.where("kept = base_failed or threshold is not null").count() == 0
 
 
 def test_quality_scores(spark):
-    """The mean log ratio, counted by hand over the same buckets."""
-    df = frame(spark, ["good words here", "good words there", "bad # thing", None, "good words here"], [1, 2, 3, None, 1])
-    hashes = quality.with_words(df, "text").select("doc_id", quality.ngrams().alias("g")).collect()
-    bucket = [[g % quality.BUCKETS for g in r["g"]] for r in hashes]
-    everything = [b for x in bucket for b in x]
-    trusted = [b for r, x in zip(hashes, bucket) if r["doc_id"] in (1, 2) for b in x]
+    """The mean log ratio, counted by hand over the same buckets, and the threshold among the trusted scores."""
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    rows = [" ".join(rnd.choice(words[:20] if i % 3 else words[10:]) for _ in range(rnd.randint(11, 40))) for i in range(60)] + [None, "", "short text"]
+    ids = [*range(60), None, 5, 61]
+    df = frame(spark, rows, ids)
+    trusted = {i for i in range(60) if i % 3}
+    hashes = quality.with_words(df, "text").select("doc_id", "text", quality.ngrams().alias("g"), quality._fold("doc_id").alias("half")).collect()
+    table = [(r["doc_id"], r["half"], [g % quality.BUCKETS for g in r["g"]]) for r in hashes]
+    everything = [b for _, _, x in table for b in x]
+    halves = [[b for i, half, x in table if i in trusted and half != k for b in x] for k in (0, 1)]
     share = lambda b, of: np.log((of.count(b) + 1) / (len(of) + quality.BUCKETS))
-    got = quality.judge(df, df.where("doc_id in (1, 2)")).collect()
-    for row, x in zip(got, bucket):
-        if x:
-            match = [np.mean([share(b, trusted) - share(b, everything) for b in y]) for r, y in zip(hashes, bucket) if y and r["doc_id"] == row["doc_id"]]
-            assert min(abs(m - row["score"]) for m in match) < 1e-9
+    want = sorted((i, np.mean([share(b, halves[half]) - share(b, everything) for b in x])) for i, half, x in table if x and i is not None)
+    got = quality.judge(df, df.where(F.col("doc_id").isin(*trusted)), below=0.1).collect()
+    assert np.allclose([s for _, s in want], [s for _, s in sorted((r["doc_id"], r["score"]) for r in got if r["score"] is not None and r["doc_id"] is not None)])
+    scores = [round(r["score"], 4) for r in got if r["doc_id"] in trusted and not r["base_failed"]]
+    assert abs(got[0]["threshold"] - np.quantile(scores, 0.1)) < 2e-4
+    assert all(r["kept"] == (not r["base_failed"] and round(r["score"], 4) >= r["threshold"]) for r in got)
+
+
+def test_bad_texts_are_rejected_at_every_size(spark):
+    """Of documents labelled bad that no rule fails, most go at ten times the size as well; of good ones few do."""
+    for size in ("sf0.01", "sf0.1"):
+        docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+        labels = spark.read.parquet(f"/root/testdata/{size}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+        told = quality.judge(docs, labels.where("quality = 1 and toxic = 0")).where("not base_failed").join(labels, "doc_id")
+        kept = {(r["quality"], r["toxic"]): r["kept"] for r in told.groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+        assert kept[0, 0] < 0.25 and kept[1, 0] > 0.97 and kept[1, 1] > 0.9
+
+
+def test_block_hands_on_a_spanning_forest():
+    """Many links between the components of a block come out as few pairs, and no component is left apart."""
+    rng = np.random.default_rng(5)
+    base = np.sort(rng.choice(1 << 30, 200, replace=False)).astype(np.uint32)
+    sets = [np.unique(np.concatenate([np.delete(base, rng.choice(200, 10, replace=False)), rng.choice(1 << 30, 10).astype(np.uint32)])) for _ in range(60)]
+    names = np.frombuffer(b"".join(i.to_bytes(16, "big") for i in range(60)), np.uint8).reshape(-1, 16)
+    sig = np.tile(np.arange(forest.VALUES, dtype=np.uint32), (60, 1))
+    held = np.array([*sets, None], object)[:-1]
+    one = {"cls": names, "comp": names, "sig": sig, "sketch": held, "n": np.array([len(x) for x in sets]), "asks": np.ones(60, bool)}
+    both = {k: np.concatenate([v, v]) for k, v in one.items()}
+    both["asks"][60:] = False
+    left, right = forest._ask(both, 0, forest.SKETCH, forest.SKETCH_ESTIMATE)
+    assert len(left) == 59
+    reach = {0}
+    for _ in range(60):
+        for a, b in zip(left, right):
+            x, y = int.from_bytes(a.tobytes(), "big"), int.from_bytes(b.tobytes(), "big")
+            if x in reach or y in reach:
+                reach |= {x, y}
+    assert len(reach) == 60

@@ -3,16 +3,24 @@
 Words and neighbouring word pairs are hashed to ``BUCKETS`` buckets. Two multinomials
 are counted over whole corpora: one from trusted documents, one from all. A
 document's score is the mean of log p_trusted - log p_all over its n-grams, so
-its length doesn't matter; it is kept if no rule fails and the score reaches a
-fixed threshold. Nothing is drawn at random: equal texts get equal verdicts.
+its length doesn't matter.
+
+Trusted documents are counted in two halves by a hash of the id, and every document,
+trusted or not, is scored with the half that its own id is not in. So no document
+meets its own n-grams among the trusted ones, and scores are comparable.
+
+The threshold is the score that all but a share of ``BELOW`` of the trusted documents
+reach. It moves with the scores: the more n-grams share a bucket, the nearer all
+scores are to 0. A document is kept if no rule fails and its score reaches the
+threshold. Nothing is drawn at random: equal texts with equal ids get equal verdicts.
 
 The table of log ratios has one row per bucket, whatever the corpus holds, and
 is broadcast. A document's n-grams are summed in the task that reads it.
 
 Cases: null texts count as empty: no words, so the rules fail; without trusted
-documents the two multinomials differ only by smoothing; repeated rows are
-judged alike; null ids are allowed and never trusted; an empty table gives an
-empty result; ``judge`` returns the id and its own columns only.
+documents there is no threshold and the rules alone decide; repeated rows are judged
+alike; null ids are allowed and never trusted; an empty table gives an empty result;
+``judge`` returns the id and its own columns only.
 """
 
 from __future__ import annotations
@@ -25,7 +33,10 @@ from threadloom.session import cut_lineage
 
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
-THRESHOLD = -0.3
+#: Share of the trusted documents that may score below the threshold.
+BELOW = 0.01
+#: Decimals of the scores from which the threshold is taken.
+DECIMALS = 4
 LEAST_WORDS = 10
 MOST_REPEATED = 20
 GRAM = 5
@@ -79,34 +90,51 @@ def with_rules(rows: DataFrame) -> DataFrame:
     )
 
 
-def _counts(docs: DataFrame, text: str, out: str) -> DataFrame:
-    grams = with_words(docs, text).select(F.explode(ngrams()).alias("g"))
-    return grams.groupBy(F.pmod("g", F.lit(BUCKETS)).alias("bucket")).agg(F.count("*").alias(out))
+def _fold(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id, F.lit("half")), F.lit(2)).cast("int")
+
+
+def _counts(rows: DataFrame, text: str, **counts: Column) -> DataFrame:
+    """(bucket, ...): n-grams per bucket; each named column counts those of the rows for which it holds."""
+    grams = with_words(rows, text).select(F.explode(ngrams()).alias("g"), *[c.alias(n) for n, c in counts.items()])
+    return grams.groupBy(F.pmod("g", F.lit(BUCKETS)).alias("bucket")).agg(*[F.count_if(n).alias(n) for n in counts])
+
+
+def _ids(trusted: DataFrame, doc_id: str) -> DataFrame:
+    return trusted.select(F.col(doc_id).alias("_id")).where("_id is not null").distinct()
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(bucket, ratio) for every bucket that any document has; ``trusted`` holds ids."""
-    key = trusted.select(F.col(doc_id).alias("_id")).where("_id is not null").distinct().withColumn("_k", F.xxhash64("_id"))
+    """(bucket, ratio_0, ratio_1) for every bucket that any document has; ratio_k is for documents of half k. ``trusted`` holds ids."""
+    key = _ids(trusted, doc_id).withColumn("_k", F.xxhash64("_id"))
     rows = docs.select(doc_id, text)
     some = mark_maybe(rows.withColumn("_k", F.xxhash64(doc_id)), key, "_k", "_maybe").where("_maybe")
     # The ids grow with the labels, so they are merged at every size and never broadcast.
     some = some.join(key.select("_id").hint("merge"), F.col(doc_id) == F.col("_id"), "left_semi")
-    both = _counts(rows, text, "n_all").join(_counts(some, text, "n_trusted"), "bucket", "left")
-    both = cut_lineage(both.withColumn("n_trusted", F.coalesce("n_trusted", F.lit(0))))  # read for the sums and for the ratios
-    sums = both.agg(F.struct(F.sum("n_all").alias("a"), F.sum("n_trusted").alias("t")).alias("s")).scalar()
-    share = lambda n, s: F.log((n + SMOOTHING) / (s + SMOOTHING * BUCKETS))
-    ratio = share(F.col("n_trusted"), sums.getField("t")) - share(F.col("n_all"), sums.getField("a"))
-    return both.select("bucket", ratio.alias("ratio"))
+    # A document of half 0 is scored with the trusted ones of half 1.
+    halves = _counts(some, text, n_0=_fold(doc_id) == 1, n_1=_fold(doc_id) == 0)
+    both = _counts(rows, text, n_all=F.lit(True)).join(halves, "bucket", "left")
+    both = cut_lineage(both.select("bucket", "n_all", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_0", "n_1")]))  # read for the sums and for the ratios
+    sums = both.agg(F.struct(*[F.sum(c).alias(c) for c in ("n_all", "n_0", "n_1")]).alias("s")).scalar()
+    share = lambda c: F.log((F.col(c) + SMOOTHING) / (sums.getField(c) + SMOOTHING * BUCKETS))
+    return both.select("bucket", *[(share(f"n_{k}") - share("n_all")).alias(f"ratio_{k}") for k in (0, 1)])
 
 
-def judge(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, counts, score, base_failed, kept) for every document."""
+def judge(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", below: float = BELOW) -> DataFrame:
+    """(id, counts, score, threshold, base_failed, kept) for every document."""
     ratios = log_ratios(docs, trusted, doc_id, text)
     rows = with_rules(with_words(docs.select(doc_id, text), text))
     # The row number tells repeated rows apart; it doesn't come into any result.
-    rows = rows.select(F.monotonically_increasing_id().alias("_row"), doc_id, *BASE, ngrams().alias("_ngrams"))
-    grams = rows.select("_row", doc_id, *BASE, F.explode_outer("_ngrams").alias("_g")).withColumn("bucket", F.pmod("_g", F.lit(BUCKETS)))
-    told = grams.join(F.broadcast(ratios), "bucket", "left").groupBy("_row", doc_id, *BASE).agg(F.avg("ratio").alias("score"))
+    rows = rows.select(F.monotonically_increasing_id().alias("_row"), doc_id, *BASE, _fold(doc_id).alias("_half"), ngrams().alias("_ngrams"))
+    grams = rows.select("_row", doc_id, *BASE, "_half", F.explode_outer("_ngrams").alias("_g")).withColumn("bucket", F.pmod("_g", F.lit(BUCKETS)))
+    ratio = F.when(F.col("_half") == 0, F.col("ratio_0")).otherwise(F.col("ratio_1"))
+    told = grams.join(F.broadcast(ratios), "bucket", "left").groupBy("_row", doc_id, *BASE).agg(F.avg(ratio).alias("score"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    told = told.withColumn("base_failed", failed)
-    return told.select(doc_id, *BASE, "score", "base_failed", (~F.col("base_failed") & (F.coalesce("score", F.lit(0.0)) >= threshold)).alias("kept"))
+    told = cut_lineage(told.withColumn("base_failed", failed))  # small rows, read for the threshold and for the verdicts
+    good = told.where("not base_failed").join(_ids(trusted, doc_id).hint("merge"), F.col(doc_id) == F.col("_id"), "left_semi")
+    # Scores are counted by value first, so the quantile runs over at most some ten thousand of them.
+    counted = good.groupBy(F.round("score", DECIMALS).alias("score")).agg(F.count("*").alias("n"))
+    threshold = counted.agg(F.percentile("score", F.lit(below), F.col("n"))).scalar()
+    told = told.withColumn("threshold", threshold)
+    reached = F.coalesce(F.round("score", DECIMALS) >= F.col("threshold"), F.lit(True))
+    return told.select(doc_id, *BASE, "score", "threshold", "base_failed", (~F.col("base_failed") & reached).alias("kept"))
