@@ -298,6 +298,28 @@ def test_mix_takes_nothing_above_every_limit(spark):
     assert (row["target"], row["taken"]) == (3.0, 3)
 
 
+def test_fit_finds_reachable_sums():
+    """Also where documents are longer than the program's least span, and within one document's length of large budgets."""
+    assert int((mixing.fit(np.array([50_000, 70_000, 90_000]), np.array([2, 2, 2]), 230_000) * [50_000, 70_000, 90_000]).sum()) == 230_000
+    rnd = random.Random(12)
+    for _ in range(60):
+        lengths = np.array(sorted(rnd.sample(range(1, rnd.choice([40, 60_000])), rnd.randint(1, 6))))
+        counts = np.array([rnd.randint(1, 3) for _ in lengths])
+        total = int((lengths * counts).sum())
+        budget = rnd.randint(0, total)
+        sums = {0}
+        for n, c in zip(lengths.tolist(), counts.tolist()):
+            sums = {s + n * k for s in sums for k in range(c + 1)}
+        used = mixing.fit(lengths, counts, budget)
+        assert (used >= 0).all() and (used <= counts).all()
+        if budget <= mixing.SPAN_DOCS * lengths.max():
+            assert int((used * lengths).sum()) == max(s for s in sums if s <= budget)
+    lengths, counts = np.arange(1, 400), np.full(399, 50)
+    for budget in (100_001, 2_345_678, 3_989_999):
+        used = mixing.fit(lengths, counts, budget)
+        assert int((used * lengths).sum()) == budget and (used <= counts).all()
+
+
 def test_knapsack_is_exact():
     rnd = random.Random(4)
     for _ in range(60):

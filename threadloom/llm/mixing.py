@@ -43,8 +43,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Stands for null where sources are grouped and joined; other sources have "=" before their name.
 NO_SOURCE = ""
-#: Words left to the dynamic program, and so the size of its tables, whatever the budget is.
-SPAN = 1 << 14
+#: Words left to the dynamic program: this many, or ``SPAN_DOCS`` times the longest document, up to ``MOST_SPAN``.
+SPAN, SPAN_DOCS, MOST_SPAN = 1 << 14, 4, 1 << 24
 #: Leading bits of the seeded order that make a slice; groups are ranked slice by slice.
 ORDER_BITS = 10
 
@@ -111,23 +111,25 @@ def with_targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take for a sum near ``budget``, never above it.
 
-    ``lengths`` are distinct and above 0. All but the last SPAN words or so are
-    taken by shares; the program runs over these.
+    ``lengths`` are distinct and above 0. A budget within the program's span gets the
+    best sum there is. Of a larger one, all but the span is taken by shares first.
     """
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    taken = counts * budget // total if total < 1 << 31 else np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
+    span = min(max(SPAN, SPAN_DOCS * int(lengths.max())), MOST_SPAN)
+    share = max(0, budget - span)
+    taken = np.array([int(c) * share // total for c in counts.tolist()], np.int64)
     rest = budget - int((lengths * taken).sum())
     free = counts - taken
-    cut_off = np.array([int(c) * budget % total / total for c in counts.tolist()])
-    for i in np.lexsort((lengths, -cut_off)):
-        if free[i] and lengths[i] <= rest - SPAN:
+    cut_off = np.array([int(c) * share % total / total for c in counts.tolist()])
+    for i in np.lexsort((-lengths, -cut_off)):  # short ones are left to the program where shares are equal
+        if free[i] and lengths[i] <= rest - span:
             taken[i] += 1
             free[i] -= 1
             rest -= int(lengths[i])
     for i in np.argsort(-lengths):
-        n = min(int(free[i]), max(0, rest - SPAN // 2) // int(lengths[i]))
+        n = min(int(free[i]), max(0, rest - span) // int(lengths[i]))
         taken[i] += n
         free[i] -= n
         rest -= n * int(lengths[i])
@@ -146,7 +148,7 @@ def knapsack(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
     out = np.zeros(len(lengths), np.int64)
     if budget <= 0:
         return out
-    reach = np.full(budget + 1, -1, np.int64)
+    reach = np.full(budget + 1, -1, np.int32)
     reach[0] = len(lengths)
     for i in np.argsort(-lengths, kind="stable"):
         size, most = int(lengths[i]), int(min(free[i], budget // lengths[i]))
