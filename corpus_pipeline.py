@@ -8,6 +8,13 @@
 
 ``run`` writes every stage to the shared checkpoint folder and reads it again, so
 that a lost executor costs one stage's tasks and no stage is computed twice.
+
+Cases: documents whose text is null or has no letter go in the first stage; of
+repeated rows, and of documents with equal texts, one stays (the smallest id, null
+ids last); a text whose words all repeat becomes empty and is not mixed; null
+languages and sources are values like others; null ids are allowed; an empty table
+passes through all stages. Other columns pass through all but the last stage,
+except ``_lang``, ``_score`` and ``_kept``, which are the stages' own.
 """
 
 from __future__ import annotations
