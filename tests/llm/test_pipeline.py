@@ -54,6 +54,21 @@ def test_stages(spark, tmp_path):
         assert list(r["ids"]) == model.encode(by_id[r["doc_id"]], add_eos=True) and r["n_tokens"] == len(r["ids"])
 
 
+def test_run_is_all_stages(spark, tmp_path):
+    """``run`` over a documents table gives what its stages give one after the other, and twice the same."""
+    rnd_texts = odd_texts() + corpus(seed=4, n=40)
+    rows = [(i, t, "en", ["a", None][i % 2], None if t is None else len(t)) for i, t in enumerate(rnd_texts)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, kept, str(tmp_path)).write.parquet(f"{tmp_path}/stage-{name}")
+        kept = spark.read.parquet(f"{tmp_path}/stage-{name}")
+    want = sorted((tuple(r) for r in kept.drop("ids").collect()), key=str)
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted((tuple(r) for r in got.drop("ids").collect()), key=str) == want and want
+
+
 def test_empty_corpus(spark, tmp_path):
     kept = spark.createDataFrame([], SCHEMA)
     for name, stage in corpus_pipeline.STAGES:
