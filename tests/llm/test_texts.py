@@ -134,6 +134,12 @@ def test_substrings_null_ids_and_empty(spark):
     assert substrings.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_joined_windows():
+    got = substrings.joined(np.array([2, 1, 1, 1, 2, 1]), np.array([5, 3, 1, 2, 6, 9]))
+    assert list(zip(*(got[k].tolist() for k in ("doc", "start", "size")))) == [(1, 1, 3), (1, 9, 1), (2, 5, 2)]
+    assert not len(substrings.joined(np.zeros(0, np.int64), np.zeros(0, np.int64))["doc"])
+
+
 def test_leftmost_least():
     values = np.random.default_rng(3).integers(0, 4, 60)
     for width in (1, 2, 7, 28):

@@ -292,6 +292,15 @@ def repeats(group: np.ndarray, words: np.ndarray, size: np.ndarray, left: np.nda
     return out
 
 
+def joined(doc: np.ndarray, start: np.ndarray) -> dict[str, np.ndarray]:
+    """Single windows as runs of neighbours."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order].astype(np.int64)
+    head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)])) if len(doc) else np.zeros(0, np.int64)
+    last = np.append(head[1:], len(doc)) - 1
+    return {"doc": doc[head], "start": start[head], "size": start[last] - start[head] + 1 if len(doc) else start}
+
+
 def subtrees(rows: DataFrame) -> DataFrame:
     """Spans of windows that subtrees or prolonged prefixes show as repeats."""
 
@@ -304,8 +313,7 @@ def subtrees(rows: DataFrame) -> DataFrame:
         group = np.cumsum(np.concatenate([[0], x["key"][1:] != x["key"][:-1]]))
         hit = repeats(group, words, x["size"].astype(np.int64), x["left"].astype(np.int64))
         i, l = np.nonzero(hit)  # noqa: E741
-        found = {"doc": x["doc"][i], "start": x["start"][i] + x["left"][i] - l, "size": np.ones(len(i), np.int64)}
-        yield from out_rows(spans(found))
+        yield from out_rows(spans(joined(x["doc"][i], x["start"][i] + x["left"][i] - l)))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
