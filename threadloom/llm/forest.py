@@ -54,6 +54,8 @@ ESTIMATE = 0.55
 SKETCH, SKETCH_ESTIMATE = 512, 0.66
 BLOCK = 512
 SALTS = 16
+#: Bytes of text worked on at once, and bytes of full sets in one batch.
+SLICE, SET_BYTES = 1 << 20, 1 << 22
 #: Neighbours of a class that are confirmed first. What this leaves out is left to the completion, which has no limit.
 FIRST_BEST = 4
 
@@ -64,7 +66,7 @@ _ORDERS = np.array([[(t * DEPTH + k) % VALUES for k in range(LABEL)] for t in ra
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
     """For each text its sorted distinct shingle hashes."""
-    for _, _, data, offsets in slices(texts):
+    for _, _, data, offsets in slices(texts, SLICE):
         words = find_words(data, offsets, lower=True)
         counts = np.diff(words.first)
         at = inside(words.first, size)
@@ -237,8 +239,13 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, doc_id: str,
 
     def to_sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            sets = [s.tobytes() for s in shingle_sets(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sets, pa.binary())], ["cls", "set"])
+            sets, first, held = [], 0, 0
+            for i, s in enumerate(shingle_sets(batch.column("text")), 1):
+                sets.append(s.tobytes())
+                held += s.nbytes
+                if held >= SET_BYTES or i == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column("cls").slice(first, i - first), pa.array(sets, pa.binary())], ["cls", "set"])
+                    sets, first, held = [], i, 0
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -354,44 +361,43 @@ def asked(blocks: DataFrame) -> DataFrame:
 
     size, least = SKETCH, SKETCH_ESTIMATE
 
+    def pairs_of(key: bytes, parts: list[pa.RecordBatch]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        table = pa.Table.from_batches(parts)
+        cols = {
+            "cls": _fixed(table.column("cls"), 16), "comp": _fixed(table.column("comp"), 16), "sig": _fixed(table.column("sig"), 4 * VALUES).copy().view(np.uint32),
+            "sketch": np.array([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("sketch")] + [None], object)[:-1],
+            "n": table.column("n_shingles").to_numpy(), "asks": table.column("asks").to_numpy(zero_copy_only=False),
+        }
+        return _ask(cols, int.from_bytes(key[:4], "big"), size, least)
+
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(table: pa.Table) -> pa.RecordBatch:
-            blocks_ = table.column("block").to_pylist()
-            cols = {
-                "cls": _fixed(table.column("cls"), 16), "comp": _fixed(table.column("comp"), 16), "sig": _fixed(table.column("sig"), 4 * VALUES).copy().view(np.uint32),
-                "sketch": np.array([np.frombuffer(x, np.uint32) for x in table.column("sketch").to_pylist()] + [None], object)[:-1],
-                "n": table.column("n_shingles").to_numpy(), "asks": table.column("asks").to_numpy(zero_copy_only=False),
-            }
-            left, right, i = [], [], 0
-            for j in range(1, len(blocks_) + 1):
-                if j == len(blocks_) or blocks_[j] != blocks_[i]:
-                    tree = int.from_bytes(blocks_[i][:4], "big")
-                    a, b = _ask({k: v[i:j] for k, v in cols.items()}, tree, size, least)
-                    left += a
-                    right += b
-                    i = j
-            return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in left], pa.binary()), pa.array([x.tobytes() for x in right], pa.binary())], ["a", "b"])
+        block, held = None, []  # one block at a time
+        left, right = [], []
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array([x.tobytes() for x in side], pa.binary()) for side in (left, right)]
+            left.clear()
+            right.clear()
+            return pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
         for batch in source:
-            if not batch.num_rows:
-                continue
-            # all but the last block of a batch are complete
-            keys = batch.column("block")
-            last = keys[batch.num_rows - 1]
-            cut = batch.num_rows
-            while cut and keys[cut - 1] == last:
-                cut -= 1
-            if cut:
-                yield flush(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            elif held and held[-1].column("block")[0] != last:
-                yield flush(pa.Table.from_batches(held))
-                held = []
-            held.append(batch.slice(cut))
+            keys = batch.column("block").to_pylist()
+            i = 0
+            for j in range(1, len(keys) + 1):
+                if j < len(keys) and keys[j] == keys[i]:
+                    continue
+                if held and keys[i] != block:
+                    for side, found in zip((left, right), pairs_of(block, held)):
+                        side += found
+                    held = []
+                block = keys[i]
+                held.append(batch.slice(i, j - i))
+                i = j
+            yield out()
         if held:
-            yield flush(pa.Table.from_batches(held))
+            for side, found in zip((left, right), pairs_of(block, held)):
+                side += found
+            yield out()
 
     parts = blocks.repartition("block").sortWithinPartitions("block")
     return _ordered(map_batches(parts, run, "a binary, b binary"), "a", "b")
