@@ -18,8 +18,9 @@ of 127 bits, so a node of any depth is one key, whatever the length of the texts
    handles that a string can meet are handed to it by one join beforehand.
 4. Strings are inserted in batches. All open strings are located at once; edges are
    split at all exit points; of the strings that go on from one exit point with the
-   same turn one is hung in (drawn by hash, so that few rounds are needed), the others
-   are located again in the next round, below it.
+   same turn one is hung in, the others are located again in the next round, below it.
+   It is the one with the most turns from its group's first conversation, which others
+   share, and else one drawn by hash, so that few rounds are needed.
 5. Members, leaves and sums are added up per compacted node from the strings through
    it, in a grouping that Spark combines inside tasks. Then edges are expanded to one
    row per depth.
@@ -129,17 +130,18 @@ def hashed_turns(df: DataFrame, conv_id: str, turn: str, role: str, text: str) -
 
 
 def rebuilt(turns: DataFrame, stride: int, heads: int) -> DataFrame:
-    """(conv, hb, skip, len, full, chars, delta, c0, head) per conversation.
+    """(conv, hb, skip, len, full, chars, delta, c0, head, nxt) per conversation; nxt is its first prefix.
 
     Its string is the first ``hb`` turns of the group's first conversation and its own
     turns after ``skip``. A prefix that reaches into the own turns has the own prefix's
     hash plus ``delta`` times a power of the base. ``head`` has the ``hb`` first prefixes.
     """
-    few = F.collect_list(F.when(F.col("i") < heads, F.struct("i", "h", "c", "ch")))  # fewer than ``heads`` rows
-    convs = cut_lineage(turns.groupBy("conv").agg(F.max(F.struct("i", "h", "c")).alias("end"), F.sort_array(few).alias("own")))
+    few = F.collect_list(F.when(F.col("i") <= heads, F.struct("i", "h", "c", "ch")))  # ``heads`` rows at most
+    convs = turns.groupBy("conv").agg(F.max(F.struct("i", "h", "c")).alias("end"), F.sort_array(few).alias("own"))
     pick = (F.crc32(F.col("conv").cast("string")) % heads).cast("int")
-    bases = convs.select(F.col("conv").alias("base"), F.col("own").alias("head"))
-    both = convs.withColumns({"pick": pick, "base": F.col("conv") - F.col("conv") % stride}).join(bases, "base", "left")
+    both = convs.withColumns({"pick": pick, "base": F.col("conv") - F.col("conv") % stride})
+    # fewer than two strides of conversations have one base
+    both = both.withColumn("head", F.max(F.when(F.col("conv") == F.col("base"), F.col("own"))).over(W.partitionBy("base")))
     head = F.slice(F.coalesce("head", F.array().cast("array<struct<i:long,h:binary,c:long,ch:long>>")), F.lit(1), F.col("pick"))
     both = both.withColumn("head", head)
     both = both.select("conv", "end", "head", F.size("head").cast("long").alias("hb"), F.least("end.i", F.col("pick").cast("long")).alias("skip"), "own")
@@ -147,22 +149,25 @@ def rebuilt(turns: DataFrame, stride: int, heads: int) -> DataFrame:
     sides = both.select(
         "conv", "head", "hb", "skip", (F.col("end.i") - F.col("skip")).alias("m"), F.col("end.h").alias("h"),
         last("head", F.col("hb"), "h").alias("h_base"), last("own", F.col("skip"), "h").alias("h_skip"),
+        F.get("head", F.lit(0)).getField("h").alias("h_first"), last("own", F.col("skip") + 1, "h").alias("h_own"),
         (F.coalesce(last("head", F.col("hb"), "c"), F.lit(0)) - F.coalesce(last("own", F.col("skip"), "c"), F.lit(0))).alias("c0"), F.col("end.c").alias("c"),
     )
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            delta, full = [], []
-            for m, h, base, skip in zip(*[batch.column(n).to_pylist() for n in ("m", "h", "h_base", "h_skip")]):
+            delta, full, nxt = [], [], []
+            for m, h, base, skip, first, own in zip(*[batch.column(n).to_pylist() for n in ("m", "h", "h_base", "h_skip", "h_first", "h_own")]):
                 d = ((_number(base) if base else 0) - (_number(skip) if skip else 0)) % PRIME
                 delta.append(_key(d))
                 full.append(_key((_number(h) + d * pow(BASE, m, PRIME)) % PRIME))
+                nxt.append(first or (_key((_number(own) + d * BASE) % PRIME) if own and m else None))
             names = ["conv", "head", "hb", "skip", "m", "c0", "c"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(delta, pa.binary()), pa.array(full, pa.binary())], [*names, "delta", "full"])
+            made = [pa.array(x, pa.binary()) for x in (delta, full, nxt)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *made], [*names, "delta", "full", "nxt"])
 
     kind = sides.schema["head"].dataType.simpleString()
-    told = map_batches(sides, run, f"conv long, head {kind}, hb long, skip long, m long, c0 long, c long, delta binary, full binary")
-    return told.select("conv", "head", "hb", "skip", (F.col("hb") + F.col("m")).alias("len"), (F.col("c0") + F.col("c")).alias("chars"), "delta", "c0", "full")
+    told = map_batches(sides, run, f"conv long, head {kind}, hb long, skip long, m long, c0 long, c long, delta binary, full binary, nxt binary")
+    return told.select("conv", "head", "hb", "skip", (F.col("hb") + F.col("m")).alias("len"), (F.col("c0") + F.col("c")).alias("chars"), "delta", "c0", "full", "nxt")
 
 
 def prefixes_of(strings: DataFrame, turns: DataFrame) -> DataFrame:
@@ -222,7 +227,7 @@ HANDLE, EXTENT, FIRST = 0, 1, 2
 
 
 def exit_nodes(open_: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(s, len, full, lo, e, v, v_x, v_owner): depth and hash of the deepest extent that is a prefix of the string, and the edge below it on its way.
+    """(s, len, full, hb, lo, e, v, v_x, v_owner): depth and hash of the deepest extent that is a prefix of the string, and the edge below it on its way.
 
     ``open_`` has the prefixes of the open strings. They are looked up among handles,
     extents and first turns of edges in one join. A row then holds the finds of one
@@ -233,7 +238,7 @@ def exit_nodes(open_: DataFrame, nodes: DataFrame) -> DataFrame:
     keys = nodes.select(F.explode(F.array(kind("handle", HANDLE), kind("p", EXTENT), kind("first", FIRST))).alias("k"), F.struct("x", "p", "up", "uph", "owner").alias("node"))
     keys = keys.select("k.key", "k.kind", "node")
     finds = open_.join(keys, open_["p"] == keys["key"]).groupBy("s").agg(
-        F.first("len").alias("len"), F.first("full").alias("full"), F.collect_list(F.struct("kind", "d", "node")).alias("finds")
+        *[F.first(c).alias(c) for c in ("len", "full", "hb")], F.collect_list(F.struct("kind", "d", "node")).alias("finds")
     )
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,14 +258,14 @@ def exit_nodes(open_: DataFrame, nodes: DataFrame) -> DataFrame:
                 out.append((lo, e, *((child[1], child[0], child[4]) if child else (None, None, None))))
             columns = list(zip(*out)) or [()] * 5
             kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-            names = ["s", "len", "full"]
+            names = ["s", "len", "full", "hb"]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *[pa.array(c, k) for c, k in zip(columns, kinds)]], [*names, "lo", "e", "v", "v_x", "v_owner"])
 
-    return map_batches(finds, run, "s long, len long, full binary, lo long, e binary, v binary, v_x long, v_owner long")
+    return map_batches(finds, run, "s long, len long, full binary, hb long, lo long, e binary, v binary, v_x long, v_owner long")
 
 
 def located(open_: DataFrame, prefixes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(s, len, full, v, inside, l, z, c_own, nxt): where a string leaves the trie.
+    """(s, len, full, hb, v, inside, l, z, c_own, nxt): where a string leaves the trie.
 
     l, z, c_own: depth, hash and code points of the part that is there already; v: the
     edge's lower end if that is inside an edge; nxt: the hash one turn on, null at the
@@ -271,12 +276,12 @@ def located(open_: DataFrame, prefixes: DataFrame, nodes: DataFrame) -> DataFram
     spelt = prefixes.select(F.col("s").alias("v_owner"), "d", "p", F.lit(True).alias("same"))
     both = mine.join(spelt, ["v_owner", "d", "p"], "left").withColumn("same", (F.col("d") == F.col("lo")) | F.coalesce("same", F.lit(False)))
     told = both.groupBy("s").agg(
-        *[F.first(c, ignorenulls=True).alias(c) for c in ("len", "full", "lo", "v")],
+        *[F.first(c, ignorenulls=True).alias(c) for c in ("len", "full", "hb", "lo", "v")],
         F.max(F.when(F.col("same"), F.struct("d", "p", "c"))).alias("at"), F.min(F.when(~F.col("same"), F.struct("d", "p"))).alias("on"),
     )
     l = F.coalesce("at.d", F.lit(0)).cast("long")  # noqa: E741
     return told.select(
-        "s", "len", "full", "v", (F.col("v").isNotNull() & (l > F.col("lo"))).alias("inside"), l.alias("l"), F.coalesce("at.p", F.lit(ROOT)).alias("z"),
+        "s", "len", "full", "hb", "v", (F.col("v").isNotNull() & (l > F.col("lo"))).alias("inside"), l.alias("l"), F.coalesce("at.p", F.lit(ROOT)).alias("z"),
         F.coalesce("at.c", F.lit(0)).cast("long").alias("c_own"), F.col("on.p").alias("nxt"),
     )
 
@@ -297,32 +302,29 @@ def build(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str
     """The trie of all conversations; ``heads`` 1 takes them as they are."""
     turns = hashed_turns(df, conv_id, turn, role, text)
     convs = cut_lineage(rebuilt(turns, stride, heads))
-    best = F.min(F.struct("conv", "len", "chars", "head", "hb", "skip", "delta", "c0")).alias("r")
+    best = F.min(F.struct("conv", "len", "chars", "head", "hb", "skip", "delta", "c0", "nxt")).alias("r")
     strings = cut_lineage(convs.groupBy("full").agg(best, F.count("*").alias("weight")).select("full", "weight", "r.*").withColumnRenamed("conv", "s"))
     prefixes = cut_lineage(prefixes_of(strings, turns))
-    strings = strings.select("s", "len", "full", "weight", "chars")
     # The first batch meets the bare root.
-    starts = prefixes.where("d = 1").select("s", F.col("p").alias("nxt"))
     root = {"v": F.lit(None).cast("binary"), "inside": F.lit(False), "l": F.lit(0).cast("long"), "z": F.lit(ROOT), "c_own": F.lit(0).cast("long")}
-    found = strings.select("s", "len", "full").withColumns(root).join(starts, "s", "left")
+    found = strings.select("s", "len", "full", "hb", "nxt").withColumns(root)
     nodes, near, settled = None, prefixes, []
     while True:
-        found = cut_lineage(found)
-        chosen = found.where("nxt is not null").groupBy("nxt").agg(F.min(F.struct(F.xxhash64("s"), "s")).alias("r"))
+        chosen = found.where("nxt is not null").groupBy("nxt").agg(F.max(F.struct("hb", F.xxhash64("s"), "s")).alias("r"))
         marked = found.join(chosen.select("r.s", F.lit(True).alias("hung")), "s", "left").withColumn("hung", F.coalesce("hung", F.lit(False)))
         marked = cut_lineage(marked.withColumn("open", F.col("nxt").isNotNull() & ~F.col("hung")))
         leaves = marked.where("hung").select(F.col("len").alias("x"), F.col("full").alias("p"), F.col("l").alias("up"), F.col("z").alias("uph"), F.col("s").alias("owner"))
         nodes = cut_lineage(with_handles(leaves, prefixes) if nodes is None else _split(nodes, marked, leaves, prefixes))
         settled.append(marked.where("not open").select("s", "c_own"))
-        open_ = marked.where("open").select("s", "len", "full")
+        open_ = marked.where("open").select("s", "len", "full", "hb")
         if open_.isEmpty():
             break
         near = cut_lineage(near.select("s", "d", "p", "c").join(open_, "s"))
-        found = located(near, prefixes, nodes)
+        found = cut_lineage(located(near, prefixes, nodes))
     owned = settled[0]
     for more in settled[1:]:
         owned = owned.unionByName(more)
-    return Trie(nodes, prefixes, strings.join(owned, "s"), convs.select("conv", "full"))
+    return Trie(nodes, prefixes, strings.select("s", "len", "full", "weight", "chars").join(owned, "s"), convs.select("conv", "full"))
 
 
 def _split(nodes: DataFrame, marked: DataFrame, leaves: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -404,8 +406,11 @@ def expand(trie: Trie) -> DataFrame:
     sums = cut_lineage(sums.join(children, "p", "left").withColumn("children", F.coalesce("children", F.lit(0).cast("long"))))
     digests = ends_digests(trie.members)
     above = sums.select(F.col("p").alias("uph"), F.col("conv_id").alias("up_conv"))
-    edges = cut_lineage(nodes.select("p", "x", "up", "uph", "owner").join(sums, "p").join(above, "uph").join(digests, F.col("p") == F.col("full"), "left"))
-    spelt = prefixes.select(F.col("s").alias("owner"), "d", "c", "ch").join(edges, "owner").where((F.col("d") > F.col("up")) & (F.col("d") <= F.col("x")))
+    ends_in = sums.join(digests, sums["p"] == digests["full"], "left").drop("full")
+    edges = nodes.select("p", "x", "up", "uph", "owner").join(above, "uph")
+    # The root has no edge; every other row of the sums has one.
+    edges = cut_lineage(ends_in.join(edges, "p", "left"))
+    spelt = prefixes.select(F.col("s").alias("owner"), "d", "c", "ch").join(edges.where("owner is not null"), "owner").where((F.col("d") > F.col("up")) & (F.col("d") <= F.col("x")))
     none, at_end = F.lit(sha256(b"").hexdigest()), F.col("d") == F.col("x")
     rows = spelt.select(
         "conv_id", F.col("d").alias("depth"), F.when(F.col("d") == F.col("up") + 1, F.col("up_conv")).otherwise(F.col("conv_id")).alias("parent_conv_id"), "n_convs",
@@ -413,7 +418,7 @@ def expand(trie: Trie) -> DataFrame:
         (F.col("below") + (F.col("n_convs") - 1) * (F.col("c_x") - F.col("c") + F.col("ch"))).alias("saved_tokens"),
         F.when(at_end, F.coalesce("ends_sha256", none)).otherwise(none).alias("ends_sha256"),
     )
-    top = sums.where(F.col("p") == F.lit(ROOT)).join(ends_digests(trie.members.where(F.col("full") == F.lit(ROOT))), F.col("p") == F.col("full"), "left")
+    top = edges.where("owner is null")
     top = top.select(
         "conv_id", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), "n_convs", F.col("children").alias("n_children"), "n_leaves",
         F.col("below").alias("saved_tokens"), F.coalesce("ends_sha256", none).alias("ends_sha256"),
