@@ -16,7 +16,8 @@ share, by default below spark.checkpoint.dir.
 Cases: null payloads are empty; a null url has no target header; null ids are
 allowed (such a page never holds the payload for others unless all copies have
 null ids, which then all hold it); pages repeated with the largest id are all
-responses; an empty table gives no archive; only id, url and payload are read.
+responses; repeated rows, and pages with null ids, share one WARC-Record-ID; an empty
+table gives no archive; only id, url and payload are read.
 """
 
 from __future__ import annotations
