@@ -134,6 +134,18 @@ def test_substrings_null_ids_and_empty(spark):
     assert substrings.remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("keys", [1, 3])
+def test_substrings_with_shared_document_keys(spark, texts, monkeypatch, keys):
+    whole = substrings._hashes
+    few = lambda doc_id, text: (F.pmod(whole(doc_id, text)[0], F.lit(keys)), whole(doc_id, text)[1])
+    monkeypatch.setattr(substrings, "_hashes", few)
+    got = substrings.remove_repeats(frame(spark, texts), digests=True).toPandas().sort_values("doc_id")
+    want = brute_substrings(texts)
+    assert [tuple(r) for r in got[["n_words", "n_removed", "kept_sha256"]].itertuples(index=False)] == [w[:3] for w in want]
+    keyed = substrings.with_doc_key(frame(spark, texts), "doc_id", "text")
+    assert keyed.select("_doc").distinct().count() == keyed.select("doc_id", "text").distinct().count()
+
+
 def test_joined_windows():
     got = substrings.joined(np.array([2, 1, 1, 1, 2, 1]), np.array([5, 3, 1, 2, 6, 9]))
     assert list(zip(*(got[k].tolist() for k in ("doc", "start", "size")))) == [(1, 1, 3), (1, 9, 1), (2, 5, 2)]

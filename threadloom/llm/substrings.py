@@ -21,7 +21,8 @@ context, that is the words from the first of these windows to the end of the las
    another anchor shares the right node of depth 35 - l and the left node of depth
    l: the nodes whose common depth reaches 35 are the maximal repeats.
 
-Words are compared by 64-bit hashes, contexts and prolonged prefixes by 128 bits.
+Words are compared by 64-bit hashes, contexts and prolonged prefixes by 128 bits, and
+spans go back to their documents by a key that two hashes of id and text make unique.
 
 Cases: null texts and texts of fewer than 35 words lose nothing; repeated rows
 are repeats of one another; null ids are allowed; an empty table gives an empty
@@ -35,7 +36,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -361,6 +362,28 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return both.select("doc", "start", "size")
 
 
+def _hashes(doc_id: str, text: str) -> tuple[Column, Column]:
+    """Two 64-bit hashes of id and text, independent of each other."""
+    return F.xxhash64(doc_id, text), F.xxhash64(F.lit(1), F.col(text).isNull(), text, doc_id)
+
+
+def with_doc_key(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Add ``_doc``, 64 bits that rows share only if both id and text are equal.
+
+    Keys that rows with different second hashes share are looked for among all rows;
+    they grow with the square of the rows, some three for 10^10. Rows that may have one
+    of them get a key of both hashes. A row taken for one of them by mistake does too,
+    which is as good, so no exact join is needed.
+    """
+    first, second = _hashes(doc_id, text)
+    rows = df.withColumn("_doc", first)
+    pairs = rows.select("_doc", second.alias("_second"))
+    shared = pairs.groupBy("_doc").agg(F.min("_second").alias("least"), F.max("_second").alias("most")).where("least < most")
+    marked = mark_maybe(rows, cut_lineage(shared.select("_doc")), "_doc", "_shared")
+    key = F.when(F.col("_shared"), F.xxhash64("_doc", second)).otherwise(F.col("_doc"))
+    return marked.withColumn("_doc", key).drop("_shared")
+
+
 def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", out: str = "kept_text", digests: bool = False) -> DataFrame:
     """Add the text without repeated windows, n_words and n_removed.
 
@@ -368,7 +391,7 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", ou
     was. With ``digests`` the SHA-256 of the kept words joined by one space is
     added as kept_sha256 in place of the text.
     """
-    keyed = df.withColumn("_doc", F.xxhash64(doc_id, text))
+    keyed = with_doc_key(df, doc_id, text)
     docs = keyed.select(F.col("_doc").alias("doc"), F.col(text).alias("text"))
     cut = repeated_windows(docs).groupBy("doc").agg(F.collect_set(F.struct("start", "size")).alias("_cut"))
     cut = cut_lineage(cut.withColumnRenamed("doc", "_doc"))
