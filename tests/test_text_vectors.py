@@ -211,3 +211,30 @@ def test_quantiles_with_a_dominant_value(spark):
         at = p * (len(ordered) - 1)
         low, high = ordered[math.floor(at)], ordered[math.ceil(at)]
         assert x == pytest.approx(low + (high - low) * (at - math.floor(at)))
+
+
+def test_blocks_with_floors_equal_brute_force(spark, monkeypatch):
+    # Many blocks of cases and several turns of queries.
+    monkeypatch.setattr(retrieval, "BLOCK_CHARS", 60)
+    monkeypatch.setattr(retrieval, "FIRST", 4)
+    monkeypatch.setattr(retrieval, "SLAB_TERMS", 20)
+    rng = random.Random(3)
+    docs = [" ".join(f"w{rng.randint(0, 30)}" for _ in range(rng.randint(1, 9))) for _ in range(90)]
+    queries = [" ".join(f"w{rng.randint(0, 33)}" for _ in range(4)) for _ in range(12)]
+    rows = docs_df(spark, docs)
+    index = retrieval.build_index(rows, stop_words=(), max_k=3)
+    asked = docs_df(spark, queries).withColumnRenamed("doc_id", "query_id")
+    hits = retrieval.retrieve(asked, index, 3, 0.0, direct_rows=-1)
+    got = {(r["query_id"], r["rank"], r["case_id"], round(r["similarity"], 6)) for r in hits.collect()}
+    assert got == brute_top(queries, docs, 3, 0.0)
+
+
+def test_a_block_hands_on_k_scores_a_query():
+    # One term that all 5000 cases share: pairs don't leave the task.
+    import numpy as np
+    import pyarrow as pa
+
+    slab = retrieval.Slab(pa.array([7, 8]), np.array([0, 1, 2]), np.array([0, 0]), np.array([5]), np.ones(2), np.zeros(2))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array([5] * 5000), pa.array([0.5] * 4999 + [0.75])], ["bag", "h", "x"])
+    out = [r for b in retrieval.block_scores(iter([rows]), slab, 2) for r in b.to_pylist()]
+    assert [(r["qkey"], r["bag"], r["similarity"]) for r in out] == [(q, b, s) for q in (7, 8) for b, s in ((4999, 0.75), (0, 0.5))]
