@@ -103,3 +103,31 @@ def test_no_row_per_author_in_customers_per_brand(spark):
     got = customers_per_brand(tweets, attribution)
     assert {r["brand"]: r["unique_customers"] for r in got.collect()} == {"x": 2, "y": 2, "z": 2}
     assert "flatten" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_of_token_counts_follow_the_text(spark, monkeypatch):
+    from threadloom.functions import text as tx
+
+    monkeypatch.setattr(vectors, "HOT_TERMS", 3)
+    monkeypatch.setattr(vectors, "PART_ROWS", 500)
+    docs = spark.range(800).select(F.col("id").alias("doc_id"), F.concat(F.lit("all "), F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), (F.col("id") % (7 + 40 * i)).cast("string")) for i in range(9)])).alias("text"))
+    whole = {(r["doc_id"], r["term"]): r["w"] for r in vectors.tfidf(tx.token_rows(docs, "doc_id", "text", ()), docs).collect()}
+    assert len(whole) == 8000
+    part = lambda df: df.select(F.spark_partition_id()).distinct().count()
+    few = part(tx.token_rows(docs, "doc_id", "text", ()))
+    monkeypatch.setattr(tx.parts_of, "__defaults__", (1000, None))
+    tokens = tx.token_rows(docs, "doc_id", "text", ())
+    # Spark's number of shuffle partitions is 8 here whatever the text.
+    assert few <= 8 < 20 < part(vectors.term_counts(tokens))
+    out = vectors.tfidf(tokens, docs)
+    assert part(out) > 8
+    again = {(r["doc_id"], r["term"]): r["w"] for r in out.collect()}
+    assert whole.keys() == again.keys() and all(abs(whole[k] - again[k]) < 1e-12 for k in whole)
+    df = {}
+    for _, term in whole:
+        df[term] = df.get(term, 0) + 1
+    import math
+
+    own = {t: math.log(801 / (1 + df[t])) + 1 for d, t in whole if d == 5}
+    norm = math.sqrt(sum(x * x for x in own.values()))
+    assert all(abs(whole[5, t] - x / norm) < 1e-12 for t, x in own.items())

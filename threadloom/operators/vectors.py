@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.lexicons import CONCEPTS
 from threadloom.functions.text import WORD
-from threadloom.session import loose
+from threadloom.session import cut_lineage
+
+#: Terms that are sent to every executor, the commonest ones.
+HOT_TERMS = 131_072
+#: Postings that one task joins or scales.
+PART_ROWS = 1_000_000
 
 
 def term_counts(tokens: DataFrame) -> DataFrame:
@@ -32,19 +37,39 @@ def inverse_document_frequency(counts: DataFrame, n_docs: Column) -> DataFrame:
     return table.withColumn("idf", F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)
 
 
+def commonest(terms: DataFrame) -> int:
+    """The least power of two that at most HOT_TERMS terms have as their df."""
+    power = F.floor(F.log2("df")).cast("int").alias("power")
+    sizes = sorted(tuple(r) for r in terms.groupBy(power).agg(F.count("*")).collect())
+    least, total = 63, 0
+    for power, n in reversed(sizes):
+        total += n
+        if total > HOT_TERMS:
+            break
+        least = power
+    return 2**least
+
+
 def tfidf(tokens: DataFrame, docs: DataFrame) -> DataFrame:
     """V2: (doc_id, term, w), each document scaled to length one.
 
-    The idf side is one row per term, with an exchange of its own; AQE broadcasts
-    it when it turns out small and otherwise splits the postings of very common terms.
+    The commonest terms, which are most postings and the only hot ones, get their
+    idf where the document lies; the others are shuffled by term. Both shuffles
+    have a partition for so many postings. The length of a document cancels out.
     """
-    counts = term_counts(tokens)
     n_docs = docs.agg(F.count("*").alias("n")).scalar()
-    idf = inverse_document_frequency(counts, n_docs)
-    raw = counts.join(loose(idf), "term").select(
-        "doc_id", "term", (F.col("n") / F.col("doc_len") * F.col("idf")).alias("x")
-    )
-    return unit_length(raw, "doc_id", "term", "x")
+    counted = lambda rows: rows.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    idf = cut_lineage(inverse_document_frequency(counted(tokens), n_docs))
+    postings = idf.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-postings // PART_ROWS))
+    least = commonest(idf)
+    common = F.broadcast(idf.where(F.col("df") >= least).select("term", "idf"))
+    rare = idf.where(F.col("df") < least).select("term", "idf").repartition(parts, "term")
+    weight = (F.col("n") * F.col("idf")).alias("x")
+    here = counted(tokens).join(common, "term").select("doc_id", "term", weight)
+    apart = counted(tokens.join(common, "term", "left_anti")).repartition(parts, "term")
+    there = apart.join(rare, "term").select("doc_id", "term", weight)
+    return unit_length(here.unionByName(there).repartition(parts, "doc_id"), "doc_id", "term", "x")
 
 
 def unit_length(raw: DataFrame, doc: str, key: str, value: str) -> DataFrame:
