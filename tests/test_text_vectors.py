@@ -238,3 +238,45 @@ def test_a_block_hands_on_k_scores_a_query():
     rows = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array([5] * 5000), pa.array([0.5] * 4999 + [0.75])], ["bag", "h", "x"])
     out = [r for b in retrieval.block_scores(iter([rows]), slab, 2) for r in b.to_pylist()]
     assert [(r["qkey"], r["bag"], r["similarity"]) for r in out] == [(q, b, s) for q in (7, 8) for b, s in ((4999, 0.75), (0, 0.5))]
+
+
+def test_norms_and_frequencies_move_no_text(spark, monkeypatch):
+    plans = []
+
+    def kept(df, real=retrieval.cut_lineage):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(retrieval, "cut_lineage", kept)
+    monkeypatch.setattr(retrieval, "NORM_TERMS", 9)  # the others are joined by their hash
+    monkeypatch.setattr(retrieval, "RUN_WORDS", 7)
+    rng = random.Random(11)
+    docs = [" ".join(f"w{int(rng.paretovariate(0.8)) % 80}" for _ in range(rng.randint(0, 30))) for _ in range(80)] + ["w1 w1 w90", "", "w91"]
+    index = retrieval.build_index(docs_df(spark, docs), stop_words=(), max_k=3)
+    assert plans and not any("REPARTITION_BY" in plan for plan in plans)
+    vecs = brute_tfidf(docs)
+    for r in index.norms.join(index.texts, "doc_id").collect():
+        words = r["_text"].split()
+        idf = {w: math.log((1 + len(docs)) / (1 + sum(w in d.split() for d in docs))) + 1 for w in words}
+        assert r["norm"] == pytest.approx(math.sqrt(sum((words.count(w) * idf[w]) ** 2 for w in idf)))
+    assert index.norms.count() == len({d for v, d in zip(vecs, docs) if v})
+
+
+def test_no_turn_takes_more_than_half_of_the_cases(spark, monkeypatch):
+    taken = []
+
+    def watched(index, wanted, begin=0, end=None, real=retrieval._occurrences):
+        taken.append((begin, end))
+        return real(index, wanted, begin, end)
+
+    monkeypatch.setattr(retrieval, "BLOCK_CHARS", 60)
+    monkeypatch.setattr(retrieval, "_occurrences", watched)
+    rng = random.Random(5)
+    docs = [" ".join(f"w{rng.randint(0, 30)}" for _ in range(rng.randint(1, 9))) for _ in range(90)]
+    queries = [" ".join(f"w{rng.randint(0, 33)}" for _ in range(4)) for _ in range(12)]
+    index = retrieval.build_index(docs_df(spark, docs), stop_words=(), max_k=3)
+    asked = docs_df(spark, queries).withColumnRenamed("doc_id", "query_id")
+    hits = retrieval.retrieve(asked, index, 3, 0.0, direct_rows=-1)
+    got = {(r["query_id"], r["rank"], r["case_id"], round(r["similarity"], 6)) for r in hits.collect()}
+    assert got == brute_top(queries, docs, 3, 0.0)
+    assert taken == [(0, 1), (1, 4), (4, 16), (16, 32)]
