@@ -74,6 +74,18 @@ def test_pieces_equal_the_library(spark, texts):
         assert row["kept"] == "clash"
 
 
+def test_a_batch_is_encoded_in_portions(monkeypatch):
+    import pyarrow as pa
+
+    texts = [None, "", "one two " * 20, "x" * 500, "three", "naïve café", "漢字 " * 30, "four five"] * 3
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string()), "n": list(range(len(texts)))})
+    monkeypatch.setattr(pieces, "RUN_CHARS", 200)
+    parts = list(pieces.portions(batch.slice(2), "text"))
+    assert [n for part in parts for n in part.column(1).to_pylist()] == list(range(2, len(texts)))
+    assert all(part.num_rows == 1 or sum(len((x or "").encode()) for x in part.column(0).to_pylist()) <= 200 for part in parts)
+    assert len(parts) > 10
+
+
 def test_pieces_encode_decode(spark, texts):
     coded = pieces.encode(frame(spark, texts).withColumn("ids", F.lit(1)), MODEL, end=False, check="stretches")
     back = pieces.decode(coded, MODEL).toPandas().sort_values("doc_id")

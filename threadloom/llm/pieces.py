@@ -27,9 +27,11 @@ import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -37,8 +39,8 @@ from threadloom.llm.batches import extended, map_batches, put
 from threadloom.llm.words import run_hash
 
 MARK = "▁"
-#: Characters of whole documents handled at once.
-RUN_CHARS = 1 << 22
+#: Characters of whole documents handled at once; a run takes some 90 bytes for each.
+RUN_CHARS = 1 << 20
 #: A longer stretch is merged by the heap, since rounds over arrays would take its length squared.
 LONG = 48
 #: Stretches merged side by side.
@@ -259,16 +261,10 @@ class Pieces:
         if self.byte_of.keys().isdisjoint(ids):
             text = "".join(map(self.surface.__getitem__, ids))
         else:
-            parts, run = [], bytearray()
-            for i in ids:
-                if i in self.byte_of:
-                    run.append(self.byte_of[i])
-                    continue
-                if run:
-                    parts.append(run.decode("utf-8", "replace"))
-                    run.clear()
-                parts.append(self.surface[i])
-            parts.append(run.decode("utf-8", "replace"))
+            parts = [
+                bytes(map(self.byte_of.__getitem__, run)).decode("utf-8", "replace") if spelt else "".join(map(self.surface.__getitem__, run))
+                for spelt, run in groupby(ids, self.byte_of.__contains__)
+            ]
             text = "".join(parts)
         first = next((i for i in ids if i not in self.control), None)
         return text[1:] if first is not None and first not in self.byte_of and text.startswith(" ") else text
@@ -327,6 +323,16 @@ def runs_of(texts: list[str]) -> Iterator[list[str]]:
         i = j
 
 
+def portions(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch with about RUN_CHARS bytes of text, so that no more of it is ever spread out in Python."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    ends, i = np.cumsum(sizes, dtype=np.int64), 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + RUN_CHARS, "right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def plain(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
@@ -336,7 +342,7 @@ def encode(df: DataFrame, model_file: str, text: str = "text", out: str = "ids",
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_file)
-        for batch in source:
+        for batch in (part for whole in source for part in portions(whole, text)):
             ids = pieces.checked(plain(batch.column(text)), end, check)
             yield put(batch, {out: pa.array(ids, pa.list_(pa.int32()))})
 
@@ -365,15 +371,14 @@ def round_trip(df: DataFrame, model_file: str, text: str = "text", check: str |
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_file)
-        for batch in source:
+        for batch in (part for whole in source for part in portions(whole, text)):
             n_tokens, ids_hash, text_hash, all_ids = [], [], [], []
-            for part in runs_of(plain(batch.column(text))):
-                for ids in pieces.checked(part, True, check):
-                    n_tokens.append(len(ids))
-                    if keep_ids:
-                        all_ids.append(np.array(ids, np.int32))
-                    ids_hash.append(sha256(" ".join(map(pieces.decimal.__getitem__, ids)).encode()).hexdigest())
-                    text_hash.append(sha256(pieces.decode(ids).encode()).hexdigest())
+            for ids in pieces.checked(plain(batch.column(text)), True, check):
+                n_tokens.append(len(ids))
+                if keep_ids:
+                    all_ids.append(np.array(ids, np.int32))
+                ids_hash.append(sha256(" ".join(map(pieces.decimal.__getitem__, ids)).encode()).hexdigest())
+                text_hash.append(sha256(pieces.decode(ids).encode()).hexdigest())
             new = {
                 "n_tokens": pa.array(n_tokens, pa.int64()),
                 "ids_sha256": pa.array(ids_hash, pa.string()),
