@@ -207,3 +207,31 @@ def test_brand_statistics(spark):
     assert [r["brand"] for r in ranked.orderBy("rank").collect()] == ["AcmeHelp", "AcmeAir"]
     assert brands.recommend_brands(ranked).orderBy("rank").collect()[0]["reasons"] == ["response_rate"]
     assert {r["verdict"] for r in brands.brand_verdicts(brands.brand_stats(tweets)).collect()} == {"Marginal"}
+
+
+def test_near_replies_settle_without_rounds(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(graph, "cut_lineage", lambda df, real=graph.cut_lineage: cuts.append(1) or real(df))
+    # Chains of 400 messages; before, each doubling of a chain took a round of two checkpoints.
+    edges = spark.range(4000).where("id % 400 <> 0").selectExpr("id as src", "id - 1 as dst")
+    got = {r["id"]: r["component"] for r in graph.connected_components(edges.coalesce(1)).collect()}
+    assert got == {i: i // 400 * 400 for i in range(4000)}
+    assert len(cuts) <= 5
+
+
+def test_edges_of_a_task_are_contracted(monkeypatch):
+    import pyarrow as pa
+
+    rnd = random.Random(2)
+    ends = [(rnd.randint(-50, 300), rnd.randint(-50, 300)) for _ in range(180)]
+    ends = [(max(e), min(e)) for e in ends if e[0] != e[1]]
+    batch = pa.RecordBatch.from_arrays([pa.array([u for u, _ in ends]), pa.array([v for _, v in ends])], ["u", "v"])
+    least = {x: x for e in ends for x in e}
+    while any(least[u] != least[v] for u, v in ends):
+        for u, v in ends:
+            least[u] = least[v] = min(least[u], least[v])
+    got = {r["u"]: r["v"] for b in graph.contract(iter([batch.slice(0, 70), batch.slice(70)])) for r in b.to_pylist()}
+    assert got == {x: m for x, m in least.items() if x != m}
+    monkeypatch.setattr(graph, "RUN_EDGES", 50)
+    rows = [r for b in graph.contract(iter([batch.slice(0, 70), batch.slice(70)])) for r in b.to_pylist()]
+    assert all(least[r["u"]] == least[r["v"]] for r in rows) and {r["u"] for r in rows} | {r["v"] for r in rows} == set(least)
