@@ -280,3 +280,17 @@ def test_no_turn_takes_more_than_half_of_the_cases(spark, monkeypatch):
     got = {(r["query_id"], r["rank"], r["case_id"], round(r["similarity"], 6)) for r in hits.collect()}
     assert got == brute_top(queries, docs, 3, 0.0)
     assert taken == [(0, 1), (1, 4), (4, 16), (16, 32)]
+
+
+def test_kmeans_in_passes_equals_joins(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"{g}{i}" for g in "abcd" for i in range(12)]
+    docs = [" ".join(rng.choices(words[g * 12 : g * 12 + 14] if g < 3 else words[36:], k=rng.randint(2, 9))) for g in range(4) for _ in range(30)]
+    v = weights(spark, docs + ["zz"] * 3)
+    cuts = []
+    monkeypatch.setattr(cluster, "cut_lineage", lambda df, real=cluster.cut_lineage: cuts.append(1) or real(df))
+    few = {r["doc_id"]: r["cluster"] for r in cluster.spherical_kmeans(v, 6).collect()}
+    assert len(few) == len(docs) + 3 and len(set(few.values())) > 1
+    assert len(cuts) == 4  # none in a round
+    monkeypatch.setattr(cluster, "BROADCAST_CELLS", 0)
+    assert few == {r["doc_id"]: r["cluster"] for r in cluster.spherical_kmeans(v, 6).collect()}

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,7 +19,7 @@ from threadloom.functions.lexicons import (
     OTHER,
 )
 from threadloom.functions.ordering import sample_key
-from threadloom.session import cut_lineage
+from threadloom.session import cut_lineage, ship_package
 
 
 # Centroid weights that may be sent to every executor; counted before each round.
@@ -28,18 +31,134 @@ def spherical_kmeans(
 ) -> DataFrame:
     """K1: (doc_id, cluster) for every document with a non-empty vector.
 
-    ``vectors`` is (doc_id, term, w) with unit documents. Centroids are one row
-    per term with an array of k weights, so a round joins each posting to at
-    most one row and keeps k running sums per document instead of k rows.
-
-    Documents lie together in one partition each, so a round adds up complete
-    sums inside a task; postings are shuffled only when the counted centroids
-    are too many to broadcast.
+    ``vectors`` is (doc_id, term, w) with unit documents. While the weights of all
+    centroids are few enough to broadcast, a document is one row of numbered terms,
+    and a round is one pass in which each task places its documents in numpy and adds
+    up the sums of the next centroids. With more of them, centroids are one row per
+    term with an array of k weights, and the postings are joined to them.
 
     The first centroids are the k first documents of the seeded order. Ties and
     documents that share no term with any centroid go to the lowest cluster. An
     empty cluster restarts from the next document in that order.
     """
+    names = cut_lineage(vectors.select("term").distinct())
+    size = names.count()
+    if 0 < size * k <= BROADCAST_CELLS:
+        return _kmeans_in_passes(vectors, names, size, k, seed, max_iters)
+    return _kmeans_by_joins(vectors, k, seed, max_iters)
+
+
+def _kmeans_in_passes(vectors: DataFrame, names: DataFrame, size: int, k: int, seed: int, max_iters: int) -> DataFrame:
+    """One job a round; the driver holds the centroids, ``size`` times k numbers."""
+    spark = vectors.sparkSession
+    ship_package(spark)
+    # At most BROADCAST_CELLS terms, so they may be numbered in one task.
+    numbered = cut_lineage(names.select("term", (F.row_number().over(W.orderBy("term")) - 1).alias("at")))
+    docs = (
+        vectors.join(F.broadcast(numbered), "term")
+        .groupBy("doc_id")
+        .agg(F.collect_list(F.struct("at", "w")).alias("v"))
+        .select("doc_id", F.xxhash64("doc_id").alias("h"), F.col("v.at").alias("at"), F.col("v.w").alias("w"))
+    )
+    docs = cut_lineage(docs)
+    order = docs.select("doc_id").orderBy(sample_key(seed, "doc_id"), "doc_id")
+    first = lambda n: [r["doc_id"] for r in order.limit(n).collect()]
+    seeds = first(k)
+    used = k = len(seeds)
+
+    def start_from(table: np.ndarray, columns: list[int], ids: list) -> None:
+        rows = {r["doc_id"]: r for r in docs.where(F.col("doc_id").isin(ids)).collect()}
+        for column, doc in zip(columns, ids):
+            table[:, column] = 0.0
+            table[rows[doc]["at"], column] = rows[doc]["w"]
+
+    sums = np.zeros((size, k))
+    start_from(sums, list(range(k)), seeds)
+    table, before = sums / np.sqrt((sums * sums).sum(axis=0)), None
+    for last in range(1, max_iters + 1):
+        sums, mark = _pass(docs, table)
+        if mark == before or last == max_iters:
+            break
+        before = mark
+        norms = np.sqrt((sums * sums).sum(axis=0))
+        table = sums / np.where(norms > 0, norms, 1.0)
+        empty = [i for i in range(k) if not norms[i]]
+        if empty:
+            spare = first(used + len(empty))[used:] or seeds
+            used += len(empty)
+            start_from(table, empty, [spare[i % len(spare)] for i in range(len(empty))])
+    sent = spark.sparkContext.broadcast(table)
+
+    def task(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(placed(batch, sent.value)[0], pa.int32())], ["doc_id", "cluster"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    assigned = cut_lineage(docs.mapInArrow(task, f"doc_id {kind}, cluster int"))
+    sent.destroy()
+    return assigned
+
+
+def _pass(docs: DataFrame, table: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """The sums of each cluster's documents, and an order-free digest of which cluster each document is in."""
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    def task(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from cluster_sums(source, sent.value)
+
+    k = table.shape[1]
+    # Documents stream through a task, so a task for each core will do; each of them hands on a row for every term.
+    few = docs.coalesce(docs.sparkSession.sparkContext.defaultParallelism)
+    found = few.mapInArrow(task, "at int, x array<double>, mark bigint").groupBy("at")
+    rows = found.agg(F.bit_xor("mark").alias("mark"), *[F.sum(F.get("x", F.lit(i))).alias(f"x{i}") for i in range(k)]).toArrow()
+    sent.destroy()
+    at, x = rows["at"].to_numpy(), np.stack([rows[f"x{i}"].to_numpy() for i in range(k)], axis=1)
+    sums = np.zeros(table.shape)
+    sums[at[at >= 0]] = x[at >= 0]
+    return sums, (rows["mark"].to_numpy()[at < 0].tolist(), x[at < 0, 0].tolist())
+
+
+def placed(batch: pa.RecordBatch, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cluster of each document of a batch; place, weight and document of each posting. Scores are rounded so equal ones stay equal."""
+    at, w = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (2, 3))
+    sizes = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+    begin = np.cumsum(sizes) - sizes
+    scores = np.stack([np.add.reduceat(w * table[at, i], begin) for i in range(table.shape[1])], axis=1)
+    return np.round(scores, 9).argmax(axis=1), at, w, np.repeat(np.arange(len(sizes)), sizes)
+
+
+def cluster_sums(source: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (term, sum of weights in each cluster, 0) of one task, and (-1, documents, digest)."""
+    k = table.shape[1]
+    sums, mark, count = np.zeros(table.size), np.uint64(0), 0
+    for batch in source:
+        if not batch.num_rows:
+            continue
+        cluster, at, w, doc = placed(batch, table)
+        sums += np.bincount(at * k + cluster[doc], w, table.size)
+        h = batch.column(1).to_numpy().view(np.uint64) + (cluster.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mark ^= np.bitwise_xor.reduce(h ^ (h >> np.uint64(31)))
+        count += len(cluster)
+    if count:
+        sums = sums.reshape(table.shape)
+        terms = np.flatnonzero(sums.any(axis=1))
+        total = np.zeros((1, k))
+        total[0, 0] = count
+        at, x, marks = np.r_[-1, terms], np.concatenate([total, sums[terms]]), np.zeros(len(terms) + 1, np.uint64)
+        marks[0] = mark
+        for i in range(0, len(at), 100_000):
+            part = slice(i, i + 100_000)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x[part].size + 1, k), pa.int32()), pa.array(x[part].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(at[part], pa.int32()), lists, pa.array(marks[part].view(np.int64))], ["at", "x", "mark"])
+
+
+def _kmeans_by_joins(vectors: DataFrame, k: int, seed: int, max_iters: int) -> DataFrame:
+    """Documents lie together in one partition each, so a round adds up complete sums
+    inside a task; postings are shuffled when the counted centroids are too many to broadcast.
+    """
     vectors = cut_lineage(vectors.select("doc_id", "term", "w").repartition("doc_id"))
     ids = vectors.select("doc_id").distinct()
     order = ids.orderBy(sample_key(seed, "doc_id"), "doc_id")
