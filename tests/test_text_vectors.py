@@ -294,3 +294,33 @@ def test_kmeans_in_passes_equals_joins(spark, monkeypatch):
     assert len(cuts) == 4  # none in a round
     monkeypatch.setattr(cluster, "BROADCAST_CELLS", 0)
     assert few == {r["doc_id"]: r["cluster"] for r in cluster.spherical_kmeans(v, 6).collect()}
+
+
+def test_only_found_cases_move(spark, monkeypatch):
+    # No exchange by case holds texts, whatever the planner knows of the hits; several turns give the same rows.
+    from threadloom.operators import predict
+
+    texts = [f"text {i}" for i in range(60)]
+    cases = spark.createDataFrame([(i, t, t, "en" if i % 3 else "de", i % 2 == 0, t) for i, t in enumerate(texts)], "case_id long, customer_message string, brand_response string, intent string, escalate boolean, reply string")
+    found = [(q, r, 0 if r == 1 else (q * 7 + r) % 60, 2.0 / r - q % 4) for q in range(40) for r in (1, 2, 3)]
+    hits = spark.createDataFrame(found, "query_id long, rank int, case_id long, similarity double")
+    queries = spark.range(42).withColumnRenamed("id", "query_id")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        results = []
+        for most in (10, 500_000):
+            monkeypatch.setattr(retrieval, "SENT_HITS", most, raising=False)
+            frames = [retrieval.evidence_pack(hits, cases), predict.knn_predict(queries, hits, cases, 3, 0.5)]
+            for df in frames:
+                plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+                moved = [b for b in plan.split("\n\n") if "hashpartitioning(case_id" in b]
+                assert not any(c in b for b in moved for c in ("customer_message", "brand_response", "reply"))
+            results.append([sorted(map(str, df.collect())) for df in frames])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert results[0] == results[1]
+    evidence = {r["query_id"]: [(e["rank"], e["case_id"], e["brand_response"]) for e in r["evidence"]] for r in frames[0].collect()}
+    assert evidence == {q: [(r, c, texts[c]) for p, r, c, _ in found if p == q] for q in range(40)}
+    votes = {r["query_id"]: r["reply"] for r in frames[1].collect()}
+    assert len(votes) == 42 and all(votes[q] == texts[0] for q in range(40) if q % 4 < 2)
