@@ -235,3 +235,24 @@ def test_edges_of_a_task_are_contracted(monkeypatch):
     monkeypatch.setattr(graph, "RUN_EDGES", 50)
     rows = [r for b in graph.contract(iter([batch.slice(0, 70), batch.slice(70)])) for r in b.to_pylist()]
     assert all(least[r["u"]] == least[r["v"]] for r in rows) and {r["u"] for r in rows} | {r["v"] for r in rows} == set(least)
+
+
+def test_edges_read_tweets_once_and_brand_queries_store_no_text(spark, monkeypatch):
+    from threadloom.plans import catalog, tables
+
+    sf = "/root/testdata/sf0.001"
+    null = spark.createDataFrame([("1", None, "2"), ("3", "4,5", None), ("6", None, None)], "tweet_id string, response_tweet_id string, in_response_to_tweet_id string")
+    for split in (False, True):
+        plan = graph.reply_edges(null, split)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan ExistingRDD") == 1
+    assert {tuple(r) for r in graph.reply_edges(null).collect()} == {(1, 2)}
+    assert {tuple(r) for r in graph.reply_edges(null, True).collect()} == {(1, 2), (3, 4), (3, 5)}
+
+    stored = []
+    monkeypatch.setattr(tables, "cut_lineage", lambda df, real=tables.cut_lineage: stored.append(df) or real(df))
+    longest = tables.raw_tweets(spark, sf).selectExpr("max(length(text))").first()[0]
+    for name in ("brand_conversations", "brand_verdicts", "brand_attribution"):
+        catalog.QUERIES[name](spark, sf)
+        kept = stored.pop()
+        most = kept.selectExpr("max(length(text))").first()[0] if "text" in kept.columns else 0
+        assert most < 10 < longest and "response_tweet_id" not in kept.columns

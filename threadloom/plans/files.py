@@ -138,7 +138,7 @@ SELECT *, row_number() OVER (ORDER BY quality_score DESC, brand) AS position FRO
 )
 def ordered_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Brand statistics written in order of score over several files, and each row's place in them."""
-    scored = cut_lineage(brands.score_brands(brands.brand_stats(t.threaded_tweets(spark, sf))))
+    scored = cut_lineage(brands.score_brands(brands.brand_stats(t.brand_tweets(spark, sf))))
     path = folder(spark, "brands")
     writers.write_brand_stats(scored, path)
     return readers.read_ordered(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.schema.fields))
