@@ -282,6 +282,43 @@ def test_no_turn_takes_more_than_half_of_the_cases(spark, monkeypatch):
     assert taken == [(0, 1), (1, 4), (4, 16), (16, 32)]
 
 
+@pytest.mark.parametrize("sent,words", [(10**6, 10**6), (7, 5)])
+def test_no_turn_shuffles_texts(spark, monkeypatch, sent, words):
+    plans = []
+
+    def watched(index, wanted, begin=0, end=None, real=retrieval._occurrences):
+        rows = real(index, wanted, begin, end)
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return rows
+
+    monkeypatch.setattr(retrieval, "BLOCK_CHARS", 60)
+    monkeypatch.setattr(retrieval, "_occurrences", watched)
+    monkeypatch.setattr(retrieval, "SENT_NORMS", sent, raising=False)
+    monkeypatch.setattr(retrieval, "BLOCK_WORDS", words, raising=False)
+    rng = random.Random(6)
+    docs = [" ".join(f"w{rng.randint(0, 30)}" for _ in range(rng.randint(1, 9))) for _ in range(90)] + ["w1 w2 w2"] * 9
+    queries = [" ".join(f"w{rng.randint(0, 33)}" for _ in range(4)) for _ in range(12)]
+    rows = docs_df(spark, docs).coalesce(2)
+    index = retrieval.build_index(rows, stop_words=(), max_k=3)
+    asked = docs_df(spark, queries).withColumnRenamed("doc_id", "query_id")
+    hits = retrieval.retrieve(asked, index, 3, 0.0, direct_rows=-1)
+    got = {(r["query_id"], r["rank"], r["case_id"], round(r["similarity"], 6)) for r in hits.collect()}
+    assert got == brute_top(queries, docs, 3, 0.0)
+    assert not any("Exchange hashpartitioning" in plan or "REPARTITION" in plan for plan in plans)
+    assert len(plans) == 4 if sent > 90 else len(plans) > 10
+
+
+def test_a_case_lies_in_one_block():
+    import pyarrow as pa
+
+    bags = [3, 3, 1, 1, 1, 1, 1, 8, 2, 2, 2]
+    for size in (1, 2, 4, 11):
+        batches = [pa.RecordBatch.from_arrays([pa.array(bags[i : i + size])], ["bag"]) for i in range(0, 11, size)]
+        out = [[b for part in block for b in part.column(0).to_pylist()] for block in retrieval.blocks(batches, 2)]
+        assert sum(out, []) == bags and sum(len(set(x)) for x in out) == 4
+        assert len(out) > 1 or size == 11
+
+
 def test_kmeans_in_passes_equals_joins(spark, monkeypatch):
     rng = random.Random(9)
     words = [f"{g}{i}" for g in "abcd" for i in range(12)]
