@@ -256,3 +256,24 @@ def test_edges_read_tweets_once_and_brand_queries_store_no_text(spark, monkeypat
         kept = stored.pop()
         most = kept.selectExpr("max(length(text))").first()[0] if "text" in kept.columns else 0
         assert most < 10 < longest and "response_tweet_id" not in kept.columns
+
+
+def test_golden_candidates_number_turns_without_texts(spark, monkeypatch, tmp_path):
+    from threadloom.operators import conversations as conv
+    from threadloom.plans import catalog, tables
+
+    sf = "/root/testdata/sf0.001"
+    stored = []
+    monkeypatch.setattr(tables, "cut_lineage", lambda df, real=tables.cut_lineage: stored.append(df) or real(df))
+    catalog.QUERIES["golden_candidates"](spark, sf)
+    assert stored and not any("text" in df.columns for df in stored)
+
+    # A conversation that is there twice has two rows of each id.
+    table = tables.table(spark, sf, "conversations")
+    table.unionByName(table.where("conv_id % 5 = 2")).write.parquet(f"{tmp_path}/conversations.parquet")
+    for path in (sf, str(tmp_path)):
+        got = tables.numbered_brand_turns(spark, path)
+        want = conv.number_turns(tables.brand_turns(spark, path))
+        columns = [conv.CONV, "turn_number", "tweet_id", "author_id", "created_at", "text", "speaker"]
+        rows = [sorted(map(tuple, df.select(*columns).collect())) for df in (got, want)]
+        assert rows[0] == rows[1] and rows[0]

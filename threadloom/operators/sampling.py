@@ -134,14 +134,17 @@ def golden_candidates(
     """M2-M8: stratified sample of conversations for labelling, with null label fields.
 
     One row per example, or one per (example, part) where the context has several parts.
+    The turns are read twice: for the first messages, which are stored, and for the turns
+    of the sample, which the quotas bound.
     """
     first = first_qualifying_turn(turns, extra=("author_id", "created_at"))
-    first = first.withColumn("_fp", fingerprint("customer_message"))
+    first = cut_lineage(first.withColumn("_fp", fingerprint("customer_message")))
     unique = one_per_text_and_author(first, CONV, "_fp", "author_id", seed)
     tagged = unique.withColumn("candidate_intents", tag_intents("customer_message", lexicon))
     tagged = tagged.withColumn("stratum", stratum_of("candidate_intents"))
     chosen = cut_lineage(sample_quota(tagged, "stratum", CONV, quotas, seed))
-    numbered = sequential_ids(chosen, CONV, seed + 1).join(previous_turns(turns, chosen, max_turns_per_row=max_turns_per_row), CONV, "left")
+    near = cut_lineage(turns.join(F.broadcast(chosen.select(CONV)), CONV, "left_semi"))
+    numbered = sequential_ids(chosen, CONV, seed + 1).join(previous_turns(near, chosen, max_turns_per_row=max_turns_per_row), CONV, "left")
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     return numbered.select(
         "example_id",
