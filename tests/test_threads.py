@@ -277,3 +277,22 @@ def test_golden_candidates_number_turns_without_texts(spark, monkeypatch, tmp_pa
         columns = [conv.CONV, "turn_number", "tweet_id", "author_id", "created_at", "text", "speaker"]
         rows = [sorted(map(tuple, df.select(*columns).collect())) for df in (got, want)]
         assert rows[0] == rows[1] and rows[0]
+
+
+@pytest.mark.parametrize("few", [0, 3, 200_000])
+def test_components_that_are_stars_go_through_no_rounds(spark, monkeypatch, few):
+    sizes = []
+
+    def starred(pairs, real=graph._large_star):
+        sizes.append(pairs.count())
+        return real(pairs)
+
+    monkeypatch.setattr(graph, "_large_star", starred)
+    monkeypatch.setattr(graph, "FEW_IDS", few, raising=False)
+    # Strings are not contracted first, so what isn't a star of ten goes through rounds.
+    edges = [(i, i // 10 * 10) for i in range(1, 4000) if i % 10] + [(3999, 5), (3000, 1005), (3000, 2001)]
+    edges = [(f"{a:04d}", f"{b:04d}") for a, b in edges]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    got = {r["id"]: r["component"] for r in graph.connected_components(df).collect()}
+    assert got == closure(edges)
+    assert sizes and (few < 200_000 or max(sizes) < len(edges) / 4)
